@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import map_texts
 
 #: Chunks of text whose encoding a worker remembers; beyond it the memory is emptied.
-MEMORY = 400_000
+MEMORY = 80_000
 #: Words of at most so many symbols are merged by scanning; longer ones with a heap.
 SHORT = 100
 _NONE = np.iinfo(np.int64).max

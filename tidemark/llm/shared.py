@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +60,16 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def text_groups(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows with about ``most`` characters together, at least one row each."""
+def text_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows whose sizes add up to about ``most``, at least one row each."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable[[list[str]], list], text: str = "text", most: int = 1 << 20) -> DataFrame:
@@ -84,9 +85,11 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for start, end in text_groups(texts, most):
-                made = [pa.array(c, k) for c, k in zip(fn(texts[start:end]), kinds)]
+            column = batch.column(len(keep))
+            # Only a group's texts become Python objects at a time.
+            for start, end in text_groups(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+                texts = [t or "" for t in column.slice(start, end - start).to_pylist()]
+                made = [pa.array(c, k) for c, k in zip(fn(texts), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
