@@ -189,7 +189,7 @@ def test_html(spark):
 
 def test_addresses(spark):
     a, b, c = ("http://" + x * 56 + ".onion" for x in "abc")
-    text = f"Our mirrors:\n{a}\n{b}/x\n\nsupport chat {c}\n{a}"
+    text = f"Our mirrors:\n{a}\n{b}/x\n\none\ntwo\nthree\nsupport chat {c}\n{a}"
     df = spark.createDataFrame([(1, text)], "page_id long, text string")
     assert {r.url: r.announced for r in html.addresses(df).collect()} == {a: True, b + "/x": True, c: False}
 
