@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .quality import sampled_labels
 from .shared import map_texts
 
-SAMPLE = 8_000
+SAMPLE = 3_000
 #: The most words that the classifier weighs.
 WORDS = 1_000
 FAIRNESS, RIDGE, STEPS = 5.0, 1.0, 300
