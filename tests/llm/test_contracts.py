@@ -382,6 +382,19 @@ def test_components(spark):
 # 8
 
 
+def test_components_of_random_edges(spark):
+    """Against repeated relabelling; some nodes meet hundreds of others, both above and below."""
+    rng = np.random.default_rng(3)
+    pairs = {tuple(p) for p in rng.integers(0, 900, (500, 2)).tolist()} | {(900 + n, 900 + int(rng.integers(n))) for n in range(1, 300)} | {(1500, n) for n in range(1200, 1500, 3)}
+    pairs = [p for p in sorted(pairs) if p[0] != p[1]]
+    label = {n: n for p in pairs for n in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    found = jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(label) and {r["node"]: r["root"] for r in found} == label
+
+
 def plain_counts(t):
     t = t or ""
     w = plain_words(t)

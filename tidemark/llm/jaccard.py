@@ -136,7 +136,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the smallest label of itself and its neighbours and then that label's
     own label, so that rounds grow with the logarithm of a component's diameter.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # Every node keeps one edge, to its smallest neighbour below it; its other such neighbours are
+    # joined to that one instead. Members of a large group mostly share these, so few edges remain.
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    nearest = down.groupBy("a").agg(F.min("b").alias("nearest"))
+    kept = nearest.select("a", F.col("nearest").alias("b"))
+    moved_edges = down.join(nearest, "a").where("b <> nearest").select(F.col("b").alias("a"), F.col("nearest").alias("b"))
+    sparse = kept.union(moved_edges)
+    both = checkpointed(sparse.union(sparse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         seen = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
