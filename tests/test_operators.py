@@ -205,3 +205,34 @@ def test_chunks(spark):
     text = "aa\n\nbbb\n\ncccc\n\n" + "d" * 30
     (out,) = apply(spark, lambda c: spans.chunks(c, 12), [text])
     assert all(text[c.start : c.start + len(c.text)] == c.text for c in out) and "".join(c.text for c in out).replace("\n", "") == text.replace("\n", "")
+
+
+def test_requests_and_switches(spark):
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    rows = spark.createDataFrame([(1, "succeeded", None)], "id long, status string, source_slug string").withColumn("requested_at", now)
+    one = maintain.add_request(rows, 2, "a", now)
+    assert [tuple(r) for r in one.select("id", "status", "source_slug").orderBy("id").collect()] == [(1, "succeeded", None), (2, "queued", "a")]
+    assert maintain.add_request(one, 3, None, now).count() == 2  # an open one serves
+    with_error = one.withColumn("error", F.lit("old"))
+    got = maintain.finish_requests(with_error, spark.createDataFrame([(2, "failed", "x" * 2000), (1, "succeeded", "")], "id long, status string, error string"), now).orderBy("id").collect()
+    assert [(r.status, r.error) for r in got] == [("succeeded", None), ("failed", "x" * 1000)]
+    sources = spark.createDataFrame([(1, "a", "u", True), (2, "b", "v", True)], "id long, slug string, active_url string, enabled boolean")
+    named = spark.createDataFrame([("b",), ("b",), ("c",)], "slug string")
+    assert [r.active_url for r in maintain.clear_active_url(sources, named).orderBy("id").collect()] == ["u", None]
+    assert [r.enabled for r in maintain.set_enabled(sources, False).orderBy("id").collect()] == [False, False]
+    assert [r.enabled for r in maintain.set_enabled(sources, False, named).orderBy("id").collect()] == [True, False]
+
+
+def test_promotion(spark):
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    sources = spark.createDataFrame([(1, "a", None), (2, "b", "v")], "id long, slug string, active_url string")
+    mirrors = spark.createDataFrame([(1, "h", "m"), (1, "k", "n"), (2, "h", "o")], "source_id long, onion_host string, url string").withColumn("last_ok_at", F.lit(None).cast("timestamp"))
+    moved, worked = maintain.promote(sources, mirrors, mirrors.where("url = 'n'"), now)
+    assert [r.active_url for r in moved.orderBy("id").collect()] == ["n", "v"]
+    assert [r.last_ok_at is not None for r in worked.orderBy("url").collect()] == [False, True, False]
+    listed = maintain.list_mirrors(mirrors, sources, "a").collect()
+    assert sorted((r.slug, r.url) for r in listed) == [("a", "m"), ("a", "n")]
+
+
+def test_fetch_budget():
+    assert [api.fetch_budget(4, 4), api.fetch_budget(4, 4, 3)] == [8, 3]

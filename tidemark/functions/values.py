@@ -143,3 +143,32 @@ DEFAULT = Gazetteer(
         "media": "Media & Entertainment", "consulting": "Professional Services", "foundation": "Non-profit", "chemicals": "Chemicals",
     },
 )
+
+
+#: Answers after which a fetch is tried again, and units of time with their seconds.
+RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
+UNITS = (("year", 31_536_000), ("month", 2_592_000), ("day", 86_400), ("hour", 3_600), ("minute", 60))
+
+
+def retryable(status: Column) -> Column:
+    return status.isin(*RETRYABLE)
+
+
+def backoff(attempt: Column, base: float, most: float) -> Column:
+    """Seconds to wait after the n-th attempt: doubled each time, up to a limit."""
+    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(most)))
+
+
+def relative(moment: Column, now: Column) -> Column:
+    """How far a moment is from now, as amount and unit: the largest unit that it fills, halves rounded up."""
+    seconds = F.floor((F.unix_micros(moment) - F.unix_micros(now)) / 1e6 + 0.5)
+    out = F.struct(seconds.alias("amount"), F.lit("second").alias("unit"))
+    for unit, size in reversed(UNITS):
+        out = F.when(F.abs(seconds) >= size, F.struct(F.floor(seconds / size + 0.5).alias("amount"), F.lit(unit).alias("unit"))).otherwise(out)
+    return F.when(moment.isNotNull(), out)
+
+
+def freshness(last: Column, now: Column) -> Column:
+    """Never or over 6 hours ago: critical; over 2 hours: warning; else good."""
+    hours = (F.unix_micros(now) - F.unix_micros(last)) / 3.6e9
+    return F.when(last.isNull() | (hours > 6), "critical").when(hours > 2, "warning").otherwise("good")

@@ -140,3 +140,66 @@ def without_fragment_names(records: DataFrame, fragments: list[str]) -> DataFram
     """Names made of fragments alone are blanked where a domain identifies the record."""
     only = F.forall(F.split(F.lower("victim_name"), " "), lambda w: F.btrim(w, F.lit(".,")).isin(*fragments))
     return records.withColumn("victim_name", F.when(F.col("victim_domain").isNull() | ~only, F.col("victim_name")))
+
+
+def absent_count(rows: DataFrame, existing: DataFrame, key: str = "dedupe_hash") -> DataFrame:
+    """What an upsert would do, without doing it: one row, the keys that are new and those known."""
+    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
+    return rows.select(key).distinct().join(known, key, "left").agg(F.count_if(F.col("_known").isNull()).alias("new_keys"), F.count_if("_known").alias("known_keys"))
+
+
+def list_mirrors(mirrors: DataFrame, sources: DataFrame, slug: str | None = None) -> DataFrame:
+    """Mirrors with the slug of their source, of one source if given."""
+    chosen = sources if slug is None else sources.where(F.col("slug") == slug)
+    return mirrors.join(chosen.select(F.col("id").alias("source_id"), "slug"), "source_id").drop("source_id")
+
+
+def set_mirror_status(mirrors: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFrame:
+    """Mirrors after changes (slug, onion_host, status); of several for one mirror the least status counts."""
+    ids = sources.select(F.col("id").alias("source_id"), "slug")
+    wanted = changes.join(ids, "slug").groupBy("source_id", "onion_host").agg(F.min("status").alias("_status"))
+    return mirrors.join(wanted, ["source_id", "onion_host"], "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def promote(sources: DataFrame, mirrors: DataFrame, chosen: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Sources that are collected at their chosen mirror (source_id, onion_host, url) from now on, and
+    mirrors with the time it worked. The base address stays."""
+    one = chosen.groupBy("source_id").agg(F.min(F.struct("url", "onion_host")).alias("_c"))
+    moved = sources.join(one.select(F.col("source_id").alias("id"), "_c"), "id", "left").withColumn("active_url", F.coalesce("_c.url", "active_url")).drop("_c")
+    hosts = one.select("source_id", F.col("_c.onion_host").alias("onion_host"), F.lit(True).alias("_ok"))
+    worked = mirrors.join(hosts, ["source_id", "onion_host"], "left").withColumn("last_ok_at", F.when(F.col("_ok"), now).otherwise(F.col("last_ok_at"))).drop("_ok")
+    return moved, worked
+
+
+def _of(sources: DataFrame, slugs: DataFrame | None) -> DataFrame:
+    """Sources with ``_named``: whether their slug is among those given; all are if none are given."""
+    if slugs is None:
+        return sources.withColumn("_named", F.lit(True))
+    named = slugs.select("slug").distinct().withColumn("_named", F.lit(True))
+    return sources.join(named, "slug", "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+
+
+def clear_active_url(sources: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Named sources (slug) go back to their base address."""
+    return _of(sources, slugs).withColumn("active_url", F.when(~F.col("_named"), F.col("active_url"))).drop("_named")
+
+
+def set_enabled(sources: DataFrame, enabled: bool, slugs: DataFrame | None = None) -> DataFrame:
+    """Switch all sources, or the named ones (slug), on or off."""
+    return _of(sources, slugs).withColumn("enabled", F.when(F.col("_named"), F.lit(enabled)).otherwise(F.col("enabled"))).drop("_named")
+
+
+def finish_requests(requests: DataFrame, results: DataFrame, now: Column, longest: int = 1000) -> DataFrame:
+    """Requests after results (id, status, error) arrive: state, time, and the error, cut, or null if empty."""
+    done = results.select("id", F.col("status").alias("_status"), F.col("error").alias("_error"))
+    rows = requests.join(done, "id", "left")
+    ended = F.col("_status").isNotNull()
+    error = F.nullif(F.substring("_error", 1, longest), F.lit(""))
+    return rows.withColumns({"error": F.when(ended, error).otherwise(F.col("error")), "finished_at": F.when(ended, now), "status": F.coalesce("_status", "status")}).drop("_status", "_error")
+
+
+def add_request(requests: DataFrame, request_id: int, slug: str | None, as_of: Column) -> DataFrame:
+    """Requests with one more, unless one is open already: then that one serves."""
+    new = requests.sparkSession.range(request_id, request_id + 1).select("id", F.lit("queued").alias("status"), F.lit(slug).cast("string").alias("source_slug"), as_of.alias("requested_at"))
+    is_open = requests.where(F.col("status").isin("queued", "running")).select(F.lit(request_id).cast("long").alias("id")).limit(1)
+    return requests.unionByName(new.join(is_open, "id", "left_anti"), allowMissingColumns=True)

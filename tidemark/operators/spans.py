@@ -80,14 +80,13 @@ def raw_spans(text: Column, places: Gazetteer = DEFAULT) -> Column:
 def near_anchors(tags: DataFrame, anchors: DataFrame, window: int = TAG_WINDOW) -> DataFrame:
     """Tags within ``window`` characters of an anchor of their page (both: page_id, start, end).
 
-    Anchors are put into buckets as wide as the window, so that a page's spans aren't all paired.
+    Among the anchors that start early enough, the one that reaches furthest decides; so one
+    pass over a page's spans in order does, and no spans are paired.
     """
-    spread = anchors.select("page_id", F.explode(F.sequence(F.floor((F.col("start") - window) / window), F.floor((F.col("end") + window) / window))).alias("bucket"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    # Of the anchors of a bucket, only the extremes next to a tag can matter; equal spans are one.
-    spread = spread.distinct()
-    keyed = tags.withColumn("bucket", F.floor(F.col("start") / window))
-    near = (keyed["start"] - spread["a_end"] <= window) & (spread["a_start"] - keyed["end"] <= window)
-    return keyed.join(spread, (keyed["page_id"] == spread["page_id"]) & (keyed["bucket"] == spread["bucket"]) & near, "left_semi").drop("bucket")
+    starts = anchors.select("page_id", F.col("start").alias("_at"), F.col("end").alias("_end"), F.lit(0).alias("_kind"))
+    both = tags.withColumns({"_at": F.col("end") + window, "_kind": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    before = Window.partitionBy("page_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("_reach", F.max("_end").over(before)).where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("start") - window)).select(tags.columns)
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:

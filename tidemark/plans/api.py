@@ -184,3 +184,8 @@ def before_end(pages: DataFrame, least: int = 50) -> DataFrame:
     bad = F.col("text").isNull() | (F.length(F.btrim("text", F.lit(" \t\n\r\f\x0b"))) < least)
     ends = pages.groupBy("listing").agg(F.min(F.when(bad, F.col("page_no"))).alias("_end"))
     return pages.join(ends, "listing").where("_end is null or page_no < _end").drop("_end")
+
+
+def fetch_budget(sources: int, pages: int, most: int = 0) -> int:
+    """Fetches at once over all sources: ``most`` if set, else from the two widths."""
+    return most if most > 0 else max(sources, sources + pages)

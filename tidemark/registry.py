@@ -432,3 +432,104 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT max(ts) FROM events) AS first_seen_at, (SELECT max(ts) FROM events) AS last_seen_at FROM events GROUP BY user_id""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.keyed_state(job.stream(spark, sf_dir), job.workspace(spark, "state"))
+
+
+@query("SELECT DISTINCT source AS source_id, sha256(text) AS content_sha256 FROM documents")
+def stream_first_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job.first_contents(job.page_stream(spark, sf_dir), job.workspace(spark, "contents"))
+
+
+# Mirrors, switches, results of requests, times
+
+
+def _known_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _mirrors(spark, sf_dir)
+    none = seen.limit(0).select("source_id", "onion_host", "url", "status", F.lit(0).cast("long").alias("times_seen"), F.col("ts").alias("last_seen_at"))
+    return maintain.record_mirrors(none, seen, at(EVENTS_AS_OF)).drop("last_seen_at")
+
+
+SOURCES_MIRRORS = sql("sources", f"{MIRRORS.removeprefix('WITH ')}, m AS ({MIRROR_FOLD} GROUP BY 1, 2)").replace("FROM supplier) mirrors", "FROM supplier), mirrors")
+
+
+@query(f"{SOURCES_MIRRORS} SELECT slug, onion_host, url, status, times_seen FROM m JOIN sources s ON s.id = source_id")
+def mirrors_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain.list_mirrors(_known_mirrors(spark, sf_dir), views.sources(spark, sf_dir))
+
+
+@query(f"""{SOURCES_MIRRORS} SELECT source_id, onion_host, url, CASE WHEN s.id IS NOT NULL AND onion_host = 'h' || (s.id % 7) THEN 'approved' ELSE status END AS status, times_seen
+    FROM m LEFT JOIN sources s ON s.id = source_id AND enabled""")
+def mirror_status_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = views.sources(spark, sf_dir)
+    changes = all_.where("enabled").select("slug", F.concat(F.lit("h"), F.col("id") % 7).alias("onion_host"), F.lit("approved").alias("status"))
+    return maintain.set_mirror_status(_known_mirrors(spark, sf_dir), all_, changes)
+
+
+@query(f"""{SOURCES_MIRRORS} SELECT id, base_url, coalesce((SELECT arg_max(url, (times_seen, -CAST(substr(onion_host, 2) AS INTEGER))) FROM m WHERE source_id = s.id AND status = 'self_declared'), active_url) AS active_url FROM sources s""")
+def mirrors_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mirrors = _known_mirrors(spark, sf_dir).withColumn("last_ok_at", F.lit(None).cast("timestamp"))
+    return maintain.promote(views.sources(spark, sf_dir), mirrors, maintain.failover(mirrors, 1), at(EVENTS_AS_OF))[0].select("id", "base_url", "active_url")
+
+
+@query(sql("sources", "SELECT id, slug, enabled AND consecutive_failures < 3 AS enabled FROM sources"))
+def sources_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = views.sources(spark, sf_dir)
+    return maintain.set_enabled(all_, False, all_.where("consecutive_failures >= 3")).select("id", "slug", "enabled")
+
+
+@query(f"WITH {SIGHTINGS} SELECT count(*) FILTER (late AND NOT early) AS new_keys, count(*) FILTER (late AND early) AS known_keys FROM (SELECT bool_or(ts >= TIMESTAMP '{HALF}') AS late, bool_or(ts < TIMESTAMP '{HALF}' AND dedupe_hash % 3 > 0) AS early FROM sightings GROUP BY dedupe_hash)")
+def upsert_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sightings(spark, sf_dir)
+    return maintain.absent_count(rows.where(F.col("ts") >= at(HALF)), rows.where((F.col("ts") < at(HALF)) & (F.col("dedupe_hash") % 3 > 0)))
+
+
+@query(sql("requests", f"""SELECT id, CASE WHEN id % 2 = 1 THEN status WHEN id % 4 = 0 THEN 'skipped' WHEN id % 3 >= 2 THEN 'failed' ELSE 'succeeded' END AS status,
+    CASE WHEN id % 2 = 1 THEN error WHEN id % 3 >= 2 THEN left(repeat('node ' || id || ' ', 200), 1000) END AS error, CASE WHEN id % 2 = 0 THEN {EVENTS_NOW} END AS finished_at FROM requests"""))
+def requests_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = views.requests(spark, sf_dir), F.col("id")
+    error = F.when(k % 3 >= 2, F.repeat(F.concat(F.lit("node "), k, F.lit(" ")), F.lit(200))).otherwise("")
+    results = rows.where("id % 2 = 0").select("id", api.outcome(k % 4, k % 3).alias("status"), error.alias("error"))
+    return maintain.finish_requests(rows, results, at(EVENTS_AS_OF)).select("id", "status", "error", "finished_at")
+
+
+@query(sql("records", f"""SELECT id, CAST(CASE WHEN size IS NULL THEN seconds ELSE floor(seconds / size + 0.5) END AS BIGINT) AS amount,
+    CASE size WHEN 31536000 THEN 'year' WHEN 2592000 THEN 'month' WHEN 86400 THEN 'day' WHEN 3600 THEN 'hour' WHEN 60 THEN 'minute' ELSE 'second' END AS unit
+    FROM (SELECT id, seconds, (SELECT max(u) FROM unnest([31536000, 2592000, 86400, 3600, 60]) t(u) WHERE abs(seconds) >= u) AS size
+    FROM (SELECT id, floor(epoch(first_seen_at) - epoch({NOW}) + 0.5) AS seconds FROM records))"""))
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.records(spark, sf_dir)
+    return rows.select("id", values.relative(F.col("first_seen_at"), at(AS_OF)).alias("r")).select("id", "r.amount", "r.unit")
+
+
+@query(sql("sources", f"SELECT id, CASE WHEN last_success_at IS NULL OR {EVENTS_NOW} - last_success_at > INTERVAL 6 HOUR THEN 'critical' WHEN {EVENTS_NOW} - last_success_at > INTERVAL 2 HOUR THEN 'warning' ELSE 'good' END AS tone FROM sources"))
+def sources_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sources(spark, sf_dir).select("id", values.freshness(F.col("last_success_at"), at(EVENTS_AS_OF)).alias("tone"))
+
+
+@query("SELECT event_id AS id, event_id % 600 IN (408, 425, 429, 500, 502, 503, 504) AS again, least(2.5 * pow(2, event_id % 9), 120.0)::DOUBLE AS wait FROM events")
+def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k.alias("id"), values.retryable(k % 600).alias("again"), values.backoff(k % 9 + 1, 2.5, 120).alias("wait"))
+
+
+# Spans of one page, from events
+
+
+def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 500).alias("page_id"), F.col("event_type").alias("label"), (k * 37 % 20011).alias("start"), (k * 37 % 20011 + k % 90 * 20).alias("end"), k.alias("seq"))
+
+
+EVENT_SPANS = 'spans AS (SELECT user_id % 500 AS page_id, event_type AS label, event_id * 37 % 20011 AS "start", event_id * 37 % 20011 + event_id % 90 * 20 AS "end", event_id AS seq FROM events)'
+
+
+@query(f"""WITH {EVENT_SPANS} SELECT page_id, label, "start", "end", seq FROM spans a WHERE label = 'click' AND EXISTS (SELECT 1 FROM spans b
+    WHERE b.label = 'error' AND b.page_id = a.page_id AND a."start" - b."end" <= 250 AND b."start" - a."end" <= 250)""")
+def near_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _event_spans(spark, sf_dir)
+    return spans.near_anchors(found.where("label = 'click'"), found.where("label = 'error'").select("page_id", "start", "end"), 250)
+
+
+@query(f"""WITH {EVENT_SPANS} SELECT page_id, label, "start", "end", seq FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b
+    WHERE b.page_id = a.page_id AND b.label = a.label AND (b."start", b."end", b.seq) < (a."start", a."end", a.seq) AND b."end" >= a."end")""")
+def spans_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_overlaps(_event_spans(spark, sf_dir))

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import content_hash
 from ..operators import maintain
 
 
@@ -35,6 +36,13 @@ def stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of pages: source and hash of the content."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet")
+    return docs.select(F.col("source").alias("source_id"), content_hash(F.col("text")).alias("content_sha256"))
+
+
 def drain(frame: DataFrame, each, mode: str, folder: str) -> None:
     """Process what is there in micro-batches, then stop."""
     query = frame.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
@@ -70,3 +78,16 @@ def keyed_state(events: DataFrame, folder: str) -> DataFrame:
 
     drain(events, each, "append", folder)
     return spark.read.parquet(done[-1])
+
+
+def first_contents(pages: DataFrame, folder: str) -> DataFrame:
+    """Each (source_id, content_sha256) of a stream of pages once, however often it comes.
+
+    The state keeps every hash seen, as the batch form's table of known pages does.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/contents/number={number}")
+
+    drain(pages.select("source_id", "content_sha256").dropDuplicates(), each, "append", folder)
+    return pages.sparkSession.read.parquet(f"{folder}/contents").drop("number")
