@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import places, values
 from tidemark.functions import text as fx
-from tidemark.functions import values
 from tidemark.operators import alerts, linker, maintain, spans
 from tidemark.plans import api
 from tidemark.sources import html
@@ -60,6 +60,26 @@ def test_places(spark):
     assert apply(spark, lambda c: g.resolve_sector(F.array(c)), ["Unified School District", "Freight & Haulage", "a bank, a bank and a hotel", "hotel or bank", "nothing"]) == ["Education", "Transportation & Logistics", "Financial Services", "Financial Services", None]
 
 
+def test_whole_gazetteer(spark):
+    """Expected values are written out here; none is taken from the tables."""
+    g = values.DEFAULT
+    assert (len(set(g.names.values())), len(places.ALIASES), sum(map(len, places.ALIASES.values())), len(g.codes), len(set(g.sectors.values())), len(g.sectors)) == (113, 113, 250, 110, 25, 279)
+    names = {"Australia": "Australia", "offices in the Netherlands": "Netherlands", "SWISS": "Switzerland", "Scotland": "United Kingdom", "u.a.e.": "United Arab Emirates", "Côte d'Ivoire": "Ivory Coast", "Turkey": "Turkey", "Chad": None, "Georgia": None, "NATION_2": None}
+    assert apply(spark, g.parse_country, list(names)) == list(names.values())
+    assert apply(spark, g.is_country, ["New Zealand.", "cote d'ivoire", "Acme"]) == [True, True, False]
+    hosts = {"a.be": "Belgium", "a.dk": "Denmark", "a.co.nz": "New Zealand", "a.na": "Namibia", "a.cy": "Cyprus", "a.am": None, "a.me": None}
+    assert apply(spark, g.country_of_domain, list(hosts)) == list(hosts.values())
+    words = {"orthopaedic ward": "Healthcare", "Acme Biotech": "Pharmaceuticals", "law firm": "Legal", "avionics": "Aerospace & Defense", "steel foundry": "Manufacturing", "a brewery": "Food & Beverage", "NGO": "Non-profit", "port authority": "Transportation & Logistics", "automobile": None, "building": None, "machinery": None, "furniture": None, "household": None}
+    assert apply(spark, lambda c: g.resolve_sector(F.array(c)), list(words)) == list(words.values())
+    r, plain = random.Random(5), lambda terms: r"(?i)\b(" + "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) + r")\b"
+    for terms, pattern in ((list(g.names), g.country_pattern()), (list(g.sectors), g.sector_pattern())):
+        texts = ["".join(r.choice([str.upper, str])(r.choice(terms)) + r.choice([" ", "", ", ", "x", ".", "é", "s "]) for _ in range(60)) for _ in range(20)]
+        assert [[(m.text, m.start) for m in f] for f in apply(spark, lambda c, p=pattern: spans.find_all(c, p), texts)] == [[(m.group(), m.start()) for m in re.finditer(plain(terms), t)] for t in texts]
+    page = "Northgate Logistics\nhttps://northgate.test/\nBased in Switzerland, a brewery"
+    found = spans.extract(spark.createDataFrame([(1, page)], "page_id long, text string")).where("label in ('location', 'sector')").orderBy("start").collect()
+    assert [(s.label, s.text) for s in found] == [("sector", "Logistics"), ("location", "Switzerland"), ("sector", "brewery")]
+
+
 def test_page_urls_and_waves(spark):
     base = "http://x.test/?a=1"
     url = lambda style, n: apply(spark, lambda c: fx.page_url(F.lit(base), F.lit(n), c), [style])[0]

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .places import ALIASES, CODES, SECTORS
 from .text import none_if_empty, stripped
 
 #: Date formats, tried in this order; days come before months.
@@ -65,37 +66,57 @@ def resolve_status(texts: Column) -> Column:
 
 
 def alternation(terms: list[str]) -> str:
-    """One whole-word pattern over all terms; the longest come first, since the first that fits wins."""
-    return r"\b(" + "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")\b"
+    """One whole-word pattern over all terms; of those that fit, the longest wins.
+
+    The terms are laid out as a tree of their characters: where none begins, that shows at the first one."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def branches(node: dict) -> str:
+        parts = [re.sub(r"([^\w\s])", r"\\\1", c) + branches(rest) for c, rest in sorted(node.items()) if c]
+        return (f"(?:{'|'.join(parts)})" + ("?" if "" in node else "")) if parts else ""
+
+    return rf"\b({branches(root)})\b"
 
 
 @dataclass
 class Gazetteer:
     """Names of countries (alias -> name), country codes (code -> name), codes sold to anyone, and
-    sector words (word -> sector). Keys are in lower case. Larger tables are given by the caller."""
+    sector words (word -> sector). Keys are in lower case. Other tables are given by the caller.
+
+    Aliases with an apostrophe are in ``quoted``: SQL that is built from ``countries`` doesn't escape them."""
 
     countries: dict[str, str] = field(default_factory=dict)
     codes: dict[str, str] = field(default_factory=dict)
     generic: frozenset[str] = frozenset()
     sectors: dict[str, str] = field(default_factory=dict)
+    quoted: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def names(self) -> dict[str, str]:
+        return self.countries | self.quoted
 
     @staticmethod
     def _map(table: dict[str, str]) -> Column:
         return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
 
     def country_pattern(self) -> str:
-        return "(?iu)" + alternation(list(self.countries))
+        return "(?iu)" + alternation(list(self.names))
 
     def sector_pattern(self) -> str:
         return "(?iu)" + alternation(list(self.sectors))
 
     def parse_country(self, raw: Column) -> Column:
         """A whole alias, else the first alias within the text."""
-        text, table = F.lower(stripped(raw)), self._map(self.countries)
+        text, table = F.lower(stripped(raw)), self._map(self.names)
         return F.coalesce(F.try_element_at(table, text), F.try_element_at(table, F.regexp_extract(text, self.country_pattern(), 1)))
 
     def is_country(self, text: Column) -> Column:
-        return F.coalesce(F.map_contains_key(self._map(self.countries), F.btrim(F.lower(stripped(text)), F.lit(".,"))), F.lit(False))
+        return F.coalesce(F.map_contains_key(self._map(self.names), F.btrim(F.lower(stripped(text)), F.lit(".,"))), F.lit(False))
 
     def country_of_domain(self, domain: Column) -> Column:
         labels = F.split(F.rtrim(F.lower(stripped(domain)), F.lit(".")), r"\.")
@@ -116,33 +137,15 @@ class Gazetteer:
         return F.array_min(counted)["sector"]
 
 
-#: A starting gazetteer of well-known names.
+_NAMES = {alias: name for name, aliases in ALIASES.items() for alias in (name.lower(), *aliases)}
+#: The whole tables of ``places``.
 DEFAULT = Gazetteer(
-    countries={
-        "united states": "United States", "united states of america": "United States", "usa": "United States", "u.s.": "United States", "america": "United States",
-        "united kingdom": "United Kingdom", "uk": "United Kingdom", "great britain": "United Kingdom", "england": "United Kingdom",
-        "germany": "Germany", "german": "Germany", "deutschland": "Germany", "france": "France", "french": "France", "italy": "Italy", "spain": "Spain",
-        "canada": "Canada", "brazil": "Brazil", "brasil": "Brazil", "argentina": "Argentina", "peru": "Peru", "china": "China", "japan": "Japan", "india": "India",
-        "indonesia": "Indonesia", "vietnam": "Vietnam", "russia": "Russia", "romania": "Romania", "egypt": "Egypt", "morocco": "Morocco", "algeria": "Algeria",
-        "ethiopia": "Ethiopia", "kenya": "Kenya", "mozambique": "Mozambique", "jordan": "Jordan", "saudi arabia": "Saudi Arabia", "iran": "Iran", "iraq": "Iraq",
-    },
-    codes={
-        "us": "United States", "uk": "United Kingdom", "gb": "United Kingdom", "de": "Germany", "fr": "France", "it": "Italy", "es": "Spain", "ca": "Canada",
-        "br": "Brazil", "ar": "Argentina", "pe": "Peru", "cn": "China", "jp": "Japan", "in": "India", "id": "Indonesia", "vn": "Vietnam", "ru": "Russia",
-        "ro": "Romania", "eg": "Egypt", "ma": "Morocco", "dz": "Algeria", "et": "Ethiopia", "ke": "Kenya", "mz": "Mozambique", "jo": "Jordan", "sa": "Saudi Arabia",
-        "au": "Australia", "at": "Austria", "ch": "Switzerland", "nl": "Netherlands", "se": "Sweden", "pl": "Poland",
-    },
+    countries={alias: name for alias, name in _NAMES.items() if "'" not in alias},
+    quoted={alias: name for alias, name in _NAMES.items() if "'" in alias},
+    codes=CODES,
     generic=frozenset("io co ai me tv cc ly sh gg im to fm am st ws la gl tk ml ga cf nu vc ag as bz".split()),
-    sectors={
-        "hospital": "Healthcare", "medical": "Healthcare", "clinic": "Healthcare", "health": "Healthcare", "bank": "Financial Services", "finance": "Financial Services",
-        "insurance": "Insurance", "school": "Education", "school district": "Education", "university": "Education", "college": "Education", "city of": "Government",
-        "ministry": "Government", "manufacturing": "Manufacturing", "industries": "Manufacturing", "machinery": "Manufacturing", "automobile": "Automotive", "motors": "Automotive",
-        "software": "Technology", "technologies": "Technology", "cloud": "Technology", "telecom": "Telecommunications", "energy": "Energy & Utilities", "mining": "Mining",
-        "construction": "Construction", "building": "Construction", "real estate": "Real Estate", "logistics": "Transportation & Logistics", "freight": "Transportation & Logistics",
-        "haulage": "Transportation & Logistics", "retail": "Retail", "furniture": "Retail", "household": "Retail", "food": "Food & Beverage", "farms": "Agriculture", "hotel": "Hospitality & Travel",
-        "media": "Media & Entertainment", "consulting": "Professional Services", "foundation": "Non-profit", "chemicals": "Chemicals",
-    },
-)
+    sectors={word: sector for sector, words in SECTORS.items() for word in words},
+)
 
 
 #: Answers after which a fetch is tried again, and units of time with their seconds.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -354,10 +355,14 @@ def country_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_country(texts, domain).alias("country"))
 
 
+#: Words of the stand-in table's segments, which the gazetteer doesn't have.
+SEGMENTS = {"automobile": "Automotive", "building": "Construction", "machinery": "Manufacturing", "furniture": "Retail", "household": "Retail"}
+
+
 @query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Automotive' WHEN 'BUILDING' THEN 'Construction' WHEN 'MACHINERY' THEN 'Manufacturing' ELSE 'Retail' END AS sector FROM customer")
 def sector_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(F.concat(F.initcap("c_mktsegment"), F.lit(" works, "), F.lower("c_mktsegment")), F.lit("A bank"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_sector(texts).alias("sector"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), replace(values.DEFAULT, sectors=values.DEFAULT.sectors | SEGMENTS).resolve_sector(texts).alias("sector"))
 
 
 @query(sql("records", "SELECT id, sha256(actor_group || '|' || lower(trim(victim_name))) AS dedupe_hash FROM records"))
