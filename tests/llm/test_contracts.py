@@ -317,6 +317,22 @@ def test_licenses(spark, awkward, empty):
     assert len(licenses.rules()) > 200
 
 
+def test_licenses_alone(spark):
+    """Each rule fires on a text that holds nothing but its phrase."""
+    cases = [
+        ("MPL-2.0", "mpl-2"), ("EPL 2.0", "epl-2"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4"), ("(cc0 1.0)", "cc0-1"),
+        ("Permission is hereby granted, free of charge, to any person", "mit"), ("Redistribution and use in source and binary forms", "bsd"), ("provided 'as is', without warranty", "as-is"),
+        ("placed in the public  domain", "public-domain"), ("Copyright: all rights reserved", "all-rights-reserved"), ("licensed under the terms of", "licensed"), ("licenced under a", "licensed"),
+    ]
+    for name, short, label, versions in licenses.FAMILIES:
+        cases += [(name.upper(), label), (f"{name} or", label), (f"SPDX-License-Identifier: {short.replace(' ', '-')}", label)]
+        for v in versions:
+            mark = f"{label}-{v.replace(' ', '.').removesuffix('.0')}"
+            cases += [(f"{lead} {v.replace(' ', '.')}", mark) for lead in (f"{name}, version", f"{name} v", name, short, f"{short.upper()}-v")]
+    found = rows(licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [(t, label) for i, (t, label) in enumerate(cases) if label not in found[i].labels.split(",") or not found[i].score] == []
+
+
 # 7
 
 

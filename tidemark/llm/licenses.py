@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text is lower-cased (A-Z) and cut into words. Rules are regexes over the words, each with
-a keyword, a label and a priority. Texts without any keyword of ``GATE`` are passed over; for
-the rest, only rules whose keyword occurs are tried. A match that lies within a match of
+a keyword, a label and a priority. Texts in which neither a rule nor a ``BASE``
+phrase can occur (``gate``) are passed over; for the rest, only rules whose keyword occurs are tried. A match that lies within a match of
 at least its priority is suppressed. All of it happens within the row: there is no shuffle.
 
 ``BASE`` phrases are found wherever their words stand consecutively; suppression doesn't
@@ -14,6 +14,7 @@ get the same result; columns named as those that the operator adds are replaced.
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-GATE = ("licen", "apache", "cc", "gpl", "public domain", "copyright", "spdx", "bsd", "mozilla", "warranty")
 #: Name, SPDX name in words, label, versions. Fixed facts about public licenses.
 FAMILIES = (
     ("gnu general public license", "gpl", "gpl", ("1", "2", "3")),
@@ -84,6 +84,16 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
+def gate() -> str:
+    """A pattern that finds what some rule or base phrase can't do without in a lower-cased text: the
+    words that its regex starts with, else its keyword."""
+    needed = {m[0] if (m := re.match(r" [a-z0-9 ]+(?![?*{])", regex)) else key for key, regex, _, _ in rules()} | {f" {phrase}" for phrase in BASE}
+    # What holds another one is found by that.
+    least = sorted(n for n in needed if not any(o in n for o in needed - {n}))
+    words = lambda start: "|".join(n.lstrip().replace(" ", BETWEEN) for n in least if n.startswith(" ") == start)
+    return f"(?:^|{BETWEEN.removesuffix('+')})(?:{words(True)})|{words(False)}"
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -125,11 +135,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop(*[c for c in added if c != text])
     raw = F.coalesce(F.col(text), F.lit(""))
     low = docs.withColumn("_low", F.translate(raw, string.ascii_uppercase, string.ascii_lowercase))
-    gate = F.lit(False)
-    for key in GATE:
-        gate = gate | F.contains(F.col("_low"), F.lit(key))
     # "^ word word ... " for texts that may hold a license, else null.
-    gated = low.withColumn("_norm", F.when(gate, F.concat(F.lit("^ "), F.trim(F.regexp_replace("_low", BETWEEN, " ")), F.lit(" "))))
+    gated = low.withColumn("_norm", F.when(F.col("_low").rlike(gate()), F.concat(F.lit("^ "), F.trim(F.regexp_replace("_low", BETWEEN, " ")), F.lit(" "))))
     norm = F.col("_norm")
     cut = gated
     for i, phrase in enumerate(BASE):
