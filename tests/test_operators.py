@@ -13,6 +13,7 @@ from tidemark.functions import text as fx
 from tidemark.operators import alerts, linker, maintain, spans
 from tidemark.plans import api
 from tidemark.sources import html
+from tidemark.streaming import job
 
 
 def apply(spark, column, inputs, kind="string"):
@@ -256,3 +257,18 @@ def test_promotion(spark):
 
 def test_fetch_budget():
     assert [api.fetch_budget(4, 4), api.fetch_budget(4, 4, 3)] == [8, 3]
+
+
+def test_daily_counts_of_many_files(spark, sf, tmp_path):
+    """Files that each span the whole month, one in a batch: no row is late."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    part = lambda k: events.where(F.col("event_id") % 5 == k)
+    for k in range(5):
+        part(k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    events.limit(3).withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    count = lambda folder, late=None: {(r.date, r.event_type): r.total for r in job.daily_counts(job.stream(spark, str(tmp_path)), str(tmp_path / folder), late).collect()}
+    day = F.to_date(F.col("ts").cast("timestamp")).alias("date")
+    want = {(r.date, r.event_type): r["count"] for r in spark.read.parquet(f"{tmp_path}/events.parquet").groupBy(day, "event_type").count().collect()}
+    assert sum(want.values()) == events.count() + 3
+    assert count("whole") == want
+    assert 0 < sum(count("live", "2 days").values()) < sum(want.values())

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: daily counts, and the keyed upsert in foreachBatch.
+"""Structured Streaming forms: daily counts and the keyed upsert, both in foreachBatch.
 
 State lives in a folder that all executors share. Each batch writes its own folder under its
 number, so that a batch that runs again after a failure replaces its own result only.
@@ -49,16 +49,24 @@ def drain(frame: DataFrame, each, mode: str, folder: str) -> None:
     query.awaitTermination()
 
 
-def daily_counts(events: DataFrame, folder: str) -> DataFrame:
-    """date, event_type, total: counts of one-day windows under a watermark of two days."""
-    counted = events.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("total"))
+def daily_counts(events: DataFrame, folder: str, late: str | None = None) -> DataFrame:
+    """date, event_type, total: counts of one-day windows, of all rows in whatever order they come.
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.select(F.to_date("window.start").alias("date"), "event_type", "total", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{folder}/counts/number={number}")
+    Each batch writes its own counts, which are added up at the end. For live input, ``late`` bounds
+    the state instead: a watermark; rows that are later than that may be dropped.
+    """
 
-    drain(counted, each, "update", folder)
-    saved = events.sparkSession.read.parquet(f"{folder}/counts")
-    return saved.groupBy("date", "event_type").agg(F.max_by("total", "batch").alias("total"))
+    def each(batch: DataFrame, number: int) -> None:
+        day = F.to_date("window.start" if late else "ts").alias("date")
+        counts = batch.select(day, "event_type", "total") if late else batch.groupBy(day, "event_type").agg(F.count("*").alias("total"))
+        counts.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/counts/number={number}")
+
+    if late:
+        drain(events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("total")), each, "update", folder)
+    else:
+        drain(events.select("ts", "event_type"), each, "append", folder)
+    saved = events.sparkSession.read.parquet(f"{folder}/counts").groupBy("date", "event_type")
+    return saved.agg((F.max_by("total", "batch") if late else F.sum("total")).alias("total"))
 
 
 def keyed_state(events: DataFrame, folder: str) -> DataFrame:
