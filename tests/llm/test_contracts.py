@@ -216,6 +216,15 @@ def check_pii(found, docs):
         assert set(lines) <= set(r.spans.split(",")) | {""}
 
 
+def test_pii_long_secrets(spark, awkward):
+    """Secrets of any length, wherever their digits are."""
+    secret = "ghp_" + "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(8))
+    texts = {1: (f"secret token: {secret}.", [(14, 14 + len(secret))]), 2: ("x" * 100 + "1 y", [(0, 101)]), 3: ("x" * 400, []), 4: ("key (" + "-".join(["Ab1"] * 200) + ")", [(5, 804)]), 5: ("a1" * 9, [])}
+    assert {i: [s[1:3] for s in pii.added_spans(t, []) if s[0] == "secret"] for i, (t, _) in texts.items()} == {i: want for i, (_, want) in texts.items()}
+    docs = spark.createDataFrame([(1, texts[1][0])], "doc_id long, text string")
+    assert pii.redact(pii.find(docs, pii.train(awkward)), docs.columns).first().text == "secret token: [SECRET]."
+
+
 def test_pii(spark, sf, texts, awkward, empty):
     check_pii(rows(registry.op4_pii(spark, sf)), texts.items())
     model = pii.train(awkward)

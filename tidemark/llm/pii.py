@@ -43,7 +43,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HIDDEN = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,64}(?: ?[\[(] ?(?:at|AT) ?[\])] ?| at )[A-Za-z0-9-]{2,63}(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?| dot |\.)[A-Za-z]{2,63}){1,4}")
 _NATIONAL = re.compile(r"(?<![0-9+.,)-])(?<!\+[0-9] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,5}(?![0-9.-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{20,256}(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{20,}+")
+_DIGIT = re.compile(r"[0-9]")
 _WORDS = {
     "email": {"mail", "email", "contact", "write", "reach"}, "address": {"mail", "email", "contact", "write", "reach"},
     "phone": {"call", "tel", "phone", "mobile", "fax", "dial"}, "localphone": {"call", "tel", "phone", "mobile", "fax", "dial"},
@@ -102,7 +103,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, bool]]:
 
 def added_spans(text: str, fixed: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int, bool]]:
     """Candidates of the added kinds that don't touch a fixed span which passed its checks."""
-    out = [("secret", m.start(), m.end(), True) for m in _SECRET.finditer(text)]
+    out = [("secret", m.start(), m.end(), True) for m in _SECRET.finditer(text) if _DIGIT.search(text, m.start(), m.end())]
     if " at " in text or "(" in text or "[" in text:
         out += [("address", m.start(), m.end(), True) for m in _HIDDEN.finditer(text)]
     out += [("localphone", m.start(), m.end(), True) for m in _NATIONAL.finditer(text)]
