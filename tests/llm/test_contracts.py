@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,6 +86,27 @@ def test_bpe_pairs():
     assert v.encode_words([long])[long] == v.id[v.merge(long)].tobytes()
 
 
+def test_bpe_code_points():
+    """Every assigned code point is cut, folded and encoded as the library does."""
+    path = public_tokenizers.path(registry.VOCABULARY)
+    v, library = bpe.Vocabulary(open(path, "rb").read()), Tokenizer.from_file(path)
+    texts = [f"a{c}b1{c}{c} {c}" for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    for k in range(0, len(texts), 20000):
+        part = texts[k : k + 20000]
+        want = library.encode_batch(part, add_special_tokens=False)
+        assert [t for t, g, w in zip(part, v.encode(part), want) if list(np.frombuffer(g, "<u4")) != w.ids] == []
+
+
+def test_bpe_memory(monkeypatch):
+    """Generations of a few entries give the same ids, and stay within their bound."""
+    v = bpe.Vocabulary(open(public_tokenizers.path(registry.VOCABULARY), "rb").read())
+    texts = [" ".join(f"word{i * k % 97} the, an{i}" for k in range(20)) for i in range(60)]
+    want = v.encode(texts)
+    v.chunk_memory, v.word_memory = bpe.Memory(5000), bpe.Memory(3000)
+    assert [v.encode([t])[0] for t in texts] == want
+    assert len(v.chunk_memory.young) + len(v.chunk_memory.old) < 100
+
+
 # 2
 
 

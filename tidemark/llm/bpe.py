@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts
 
-#: Chunks of text whose encoding a worker remembers; beyond it the memory is emptied.
-MEMORY = 80_000
+#: Bytes that a generation of a worker's memory of chunks, and of words, may take.
+CHUNK_BYTES, WORD_BYTES = 24 << 20, 12 << 20
 #: Words of at most so many symbols are merged by scanning; longer ones with a heap.
 SHORT = 100
 _NONE = np.iinfo(np.int64).max
@@ -44,6 +44,35 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Memory:
+    """What was computed for a key, within a bound of bytes.
+
+    New entries go to the young generation, and so do old ones when they are asked for. When the
+    young one is full it becomes the old one, whose entries are forgotten: frequent keys stay.
+    """
+
+    #: About what two short byte strings and their place in a dictionary take besides their content.
+    ENTRY = 170
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation knows; those of the old one become young."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = keys - self.young.keys()
+        known = new & self.old.keys()
+        self.add({k: self.old[k] for k in known})
+        return new - known
+
+    def add(self, made: dict) -> None:
+        self.young |= made
+        self.size += sum(map(len, made)) + sum(map(len, made.values())) + self.ENTRY * len(made)
+
+
 class Vocabulary:
     """Tables of one vocabulary. Inside, tokens are numbered in the order they are formed."""
 
@@ -76,14 +105,16 @@ class Vocabulary:
         sound = np.ones(len(names), bool)
         sound[512:] = self.compatible(self.left[512:], self.right[512:], np.arange(512, len(names)))
         self.proposals = {shown[i]: i for i in np.flatnonzero(sound)}
-        self.longest = max(map(len, self.proposals))
+        #: The length of the longest proposal for each pair of first characters.
+        self.longest: dict[str, int] = {}
+        for name in self.proposals:
+            self.longest[name[:2]] = max(len(name), self.longest.get(name[:2], 1))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: name for name, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern, regex.V0)
-        self.memory: dict[bytes, bytes] = {}
-        self.word_memory: dict[str, bytes] = {}
+        self.chunk_memory, self.word_memory = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -112,7 +143,7 @@ class Vocabulary:
     def propose(self, word: str) -> list[int]:
         out, i, n, known, longest = [], 0, len(word), self.proposals, self.longest
         while i < n:
-            j = min(n, i + longest)
+            j = min(n, i + longest.get(word[i : i + 2], 1))
             while True:
                 # The last character and the end of the word are one symbol.
                 if j != n - 1 and (t := known.get(word[i:j])) is not None:
@@ -194,17 +225,14 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        for memory in (self.memory, self.word_memory):
-            if len(memory) > MEMORY:
-                memory.clear()
-        new = {c for doc in chunks for c in doc} - self.memory.keys()
+        new = self.chunk_memory.missing({c for doc in chunks for c in doc})
         if new:
             cut = {c: self.pieces(c) for c in new}
-            packed = self.word_memory
-            packed |= self.encode_words(list({p for ps in cut.values() for p in ps if isinstance(p, str)} - packed.keys()))
-            for c, ps in cut.items():
-                self.memory[c] = b"".join(packed[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in ps)
-        known = self.memory
+            words = {p for ps in cut.values() for p in ps if isinstance(p, str)}
+            self.word_memory.add(self.encode_words(list(self.word_memory.missing(words))))
+            packed = self.word_memory.young
+            self.chunk_memory.add({c: b"".join([packed[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in ps]) for c, ps in cut.items()})
+        known = self.chunk_memory.young
         return [b"".join([known[c] for c in doc]) for doc in chunks]
 
     def decode(self, ids: bytes) -> str:
