@@ -488,7 +488,7 @@ def test_trees():
 
 
 def check_topk(found, vectors, k=20):
-    fine = [(i, np.floor(np.float64(64) * np.array(v, np.float32).astype(float)).astype(int)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, np.array([math.floor(64 * float(np.float32(x))) for x in v], object)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     width = max((len(v) for _, v in fine), default=0)
     fine = [(i, np.pad(v, (0, width - len(v)))) for i, v in fine]
     want = []
@@ -503,13 +503,26 @@ def test_topk(spark, sf, monkeypatch):
     check_topk(registry.op9_topk(spark, sf).collect(), vectors)
     ties = [(i, [float(i % 3), -0.5, 2.0]) for i in range(70)] + [(80, None), (100, [None, 1.0, 1.0]), (101, [float("nan"), 1.0, 1.0]), (102, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (103, [1.0]), (104, []), (120, [0.0, 0.0, 0.0]), (140, [-40000.0, 3.0, 1000.0])]
     df = spark.createDataFrame(ties, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    for size in (1 << 16, 16):
+    for size in (1 << 17, 16):
         monkeypatch.setattr(topk, "SEGMENT", size)
         check_topk(topk.top_k(df, df.where("vec_id % 20 = 0")).collect(), ties)
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
     assert topk.top_k(df.where("vec_id = 20"), df.where("vec_id = 20")).count() == 0
 
 
+def test_topk_wide(spark):
+    """Components far beyond 32 bits keep their exact scores; what a long can't hold is named."""
+    large = [(0, [3e6, 2.0, -1.0]), (1, [3e6, -5.0, 0.5]), (2, [2e6, 0.0, 0.0]), (3, [3e6, 1e6, 7.0]), (20, [-3e6, 2e8, 1e5]), (21, [1e6, 2e6, -3e6])]
+    kind = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame(large, kind)
+    check_topk(topk.top_k(df, df.where("vec_id % 20 = 0")).collect(), large)
+    assert {r.score for r in topk.top_k(df, df.where("vec_id = 0")).where("vec_id in (1, 3)").collect()} == {192000000**2 - 320 * 128 - 64 * 32, 192000000**2 + 128 * 64000000 - 64 * 448}
+    for vectors, says in (([(0, [1e12]), (1, [1e12])], "fit a long"), ([(0, [1e30]), (1, [1.0])], "fit")):
+        beyond = spark.createDataFrame(vectors, kind)
+        with pytest.raises(Exception, match=says):
+            topk.top_k(beyond, beyond).collect()
+
+
 # 10
 
 

@@ -54,6 +54,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with a number behind it if a column has that name already (in any case)."""
+    taken, out, n = {c.lower() for c in columns}, name, 0
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}{n}"
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of just that name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that are named as those in ``added`` under fresh names, and the columns
+    that give all of ``docs`` their names back: for callers that want a filter or a new text alone."""
+    clash, away = {a.lower() for a in added}, {}
+    for c in docs.columns:
+        away[c] = fresh([*docs.columns, *added, *away.values()], c) if c.lower() in clash else c
+    return docs.select([named(c).alias(a) for c, a in away.items()]), [named(a).alias(c) for c, a in away.items()]
+
+
 def uniform(*parts: Column) -> Column:
     """A hash of the parts as a double in [0, 1), from 52 bits of MD5."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
@@ -77,7 +100,7 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
     into one list for each column of ``added`` (name: type). Columns of ``keep`` pass through
     as Arrow arrays, so that their nulls and large integers survive.
     """
-    keep = [c for c in keep if c not in added]
+    keep = [c for c in keep if c.lower() not in {a.lower() for a in added}]
     types = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items()])
     schema = T.StructType([df.schema[c] for c in keep] + types.fields)
     kinds = [to_arrow_type(f.dataType) for f in types]
@@ -92,4 +115,4 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
                 made = [pa.array(c, k) for c, k in zip(fn(texts), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*map(named, keep), named(text).alias(fresh(keep, "_text"))).mapInArrow(run, schema)

@@ -9,13 +9,20 @@ most significant slice downward the top rows are separated with two bitmaps, tho
 certain and those still tied. Ties that remain at the border have exactly equal scores; the
 smallest ids win. Scores of the winners are then computed exactly.
 
-Rows are dealt out in turn to make full segments; query blocks are sent to all segments, and each segment returns at most k rows a query, of which a window keeps k.
+Rows are dealt out in turn to make full segments. A segment stays where it is and the blocks of
+queries stream past it, one at a time; only where there are fewer segments than cores is a
+segment's work shared, by ``parts`` that each meet a share of the blocks. Each returns at most k rows
+a query, of which a window keeps k. A task holds one segment and one batch of blocks.
+
+Scores are exact: bitmaps take integers of any width, and sums that are cut to 64 bits are right
+wherever the score fits a long. What doesn't fit fails by name: components of 2**62 or more after
+quantising, and winners whose score is beyond a long.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part;
-missing components of shorter vectors count as 0; quantised components are held to +-2**26, so
-that scores fit a long; rows that share the query's vec_id are its own; of rows that repeat a
-query's vec_id the smallest vector is the query; repeated candidates each count; fewer
-candidates than k give all; an empty table gives no rows.
+missing components of shorter vectors count as 0; rows that share the query's vec_id are its
+own; of rows that repeat a query's vec_id the smallest vector is the query; repeated candidates
+each count; fewer candidates than k give all; an empty table gives no rows; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -23,20 +30,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, SEGMENT, BLOCK, GROUPS, LARGEST = 64, 1 << 16, 128, 8, 1 << 26
+SCALE, SEGMENT, BLOCK, LIMIT = 64, 1 << 17, 128, 1 << 62
 
 
 def quantised(vector: str = "embedding") -> Column:
     """The integer vector, or null if it takes no part."""
     v = F.col(vector)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    q = F.transform(v, lambda x: F.least(F.greatest(F.floor(x.cast("double") * SCALE), F.lit(-LARGEST)), F.lit(LARGEST)).cast("int"))
-    return F.when(fine, q)
+
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * SCALE
+        return F.when(F.abs(scaled) < F.lit(float(LIMIT)), F.floor(scaled)).otherwise(F.raise_error(F.lit(f"a component of {LIMIT} or more after quantising doesn't fit")).cast("long"))
+
+    return F.when(fine, F.transform(v, one))
 
 
 class Segment:
@@ -80,9 +91,16 @@ class Segment:
         return cls(numbers, np.frombuffer(low, "<i8"), np.frombuffer(bits, "<i4"), np.frombuffer(matrix, np.uint64).reshape(-1, (len(numbers) + 63) // 64))
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """The exact scores of a few rows, from their bits."""
+        """The exact scores of a few rows, from their bits. Sums wrap around at 64 bits, which
+        does no harm where the score itself fits; that is seen from its size as a double."""
         bits = (self.matrix[:, rows >> 6] >> (rows & 63).astype(np.uint64)).astype(np.int64) & 1
-        return (query[self.attribute] * self.weight) @ bits + int(query @ self.low)
+        near = (query[self.attribute].astype(float) * self.weight) @ bits + float(query.astype(float) @ self.low.astype(float))
+        if (np.abs(near) > 2.0**62).any():
+            parts = (query[self.attribute].astype(object) * self.weight.astype(object)) @ bits.astype(object) + int(query.astype(object) @ self.low.astype(object))
+            if any(not -(1 << 63) <= int(p) < 1 << 63 for p in parts):
+                raise ValueError("an inner product doesn't fit a long")
+            return np.array([int(p) for p in parts], np.int64)
+        return (query[self.attribute] * self.weight) @ bits + (query * self.low).sum()
 
     def add(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least significant first, of each row's score up to a constant of the query."""
@@ -141,8 +159,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     flat, ends = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
     width = int(ends.max()) if len(ends) else 0
     if (ends == width).all():
-        return flat.reshape(len(ends), width).astype(np.int32)
-    out = np.zeros((len(ends), width), np.int32)
+        return flat.reshape(len(ends), width)
+    out = np.zeros((len(ends), width), np.int64)
     at = np.concatenate([np.arange(e) for e in ends]) if len(ends) else np.zeros(0, int)
     out[np.repeat(np.arange(len(ends)), ends), at] = flat
     return out
@@ -167,33 +185,73 @@ def _parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("vec_id").combine_chunks().to_numpy(), _matrix(table.column("q").combine_chunks())
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _tables(batches, SEGMENT):
-        made = Segment.build(*_parts(table))
-        yield pa.RecordBatch.from_arrays([pa.array([m]) for m in made], names=["ids", "low", "bits", "matrix"])
+#: Rows of a task's input: the part they belong to, 0 for a segment and 1 for a block of queries, and up
+#: to four arrays as bytes.
+CELL = "part int, kind int, a binary, b binary, c binary, d binary"
+
+
+def _row(part: int, kind: int, arrays: list[bytes]) -> pa.RecordBatch:
+    made = [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in [*arrays, None, None][:4])]
+    return pa.RecordBatch.from_arrays(made, names=["part", "kind", "a", "b", "c", "d"])
+
+
+def _index(parts: int):
+    """Segments of this task's rows, numbered by the task; a row for each part that looks at it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() * parts
+        for table in _tables(batches, SEGMENT):
+            made = list(Segment.build(*_parts(table)))
+            for p in range(parts):
+                yield _row(first + p, 0, made)
 
+    return run
+
+
+def _ask(segments: int, parts: int):
+    """Blocks of queries; a row for each segment, at the part that a block falls to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId()
+        for table in _tables(batches, BLOCK):
+            ids, values = _parts(table)
+            made = [ids.astype("<i8").tobytes(), values.astype("<i8").tobytes()]
+            for s in range(segments):
+                yield _row(s * parts + n % parts, 1, made)
+            n += 1
+
+    return run
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _tables(batches, BLOCK):
-        ids, values = _parts(table)
-        made = [ids.astype("<i8").tobytes(), values.astype("<i4").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([m]) for m in made], names=["query_ids", "queries"])
+
+def _best(segment: Segment, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of a segment for each query of a block."""
+    width = len(segment.bits)  # components that one side lacks count as 0
+    queries = np.pad(queries, ((0, 0), (0, max(0, width - queries.shape[1]))))[:, :width]
+    out: list[tuple[np.ndarray, ...]] = []
+    for q, own in zip(queries, query_ids):
+        excluded = np.arange(np.searchsorted(segment.ids, own, "left"), np.searchsorted(segment.ids, own, "right"))
+        best = segment.top(q, k, excluded)
+        out.append((np.full(len(best), own), segment.ids[best], segment.scores(best, q)))
+    columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _score(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by part and kind: each segment is loaded, then the blocks behind it are looked up in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, []
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                segment = Segment.load(row.ids, row.low, row.bits, row.matrix)
-                query_ids = np.frombuffer(row.query_ids, "<i8")
-                queries = np.frombuffer(row.queries, "<i4").astype(np.int64).reshape(len(query_ids), -1)
-                width = len(segment.bits)  # components that one side lacks count as 0
-                queries = np.pad(queries, ((0, 0), (0, max(0, width - queries.shape[1]))))[:, :width]
-                for q, own in zip(queries, query_ids):
-                    excluded = np.arange(np.searchsorted(segment.ids, own, "left"), np.searchsorted(segment.ids, own, "right"))
-                    best = segment.top(q, k, excluded)
-                    if len(best):
-                        yield pd.DataFrame({"query_id": own, "vec_id": segment.ids[best], "score": segment.scores(best, q)})
+            for i in range(batch.num_rows):
+                part, kind, a, b, c, d = (batch.column(j)[i].as_py() for j in range(6))
+                if part != at:
+                    at, held = part, []
+                if kind == 0:
+                    held.append(Segment.load(a, b, c, d))
+                    continue
+                ids = np.frombuffer(a, "<i8")
+                for segment in held:
+                    yield _best(segment, ids, np.frombuffer(b, "<i8").reshape(len(ids), -1), k)
 
     return run
 
@@ -203,13 +261,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     rows = vectors.select("vec_id", quantised().alias("q")).where("vec_id is not null and q is not null")
     asked = queries.select("vec_id", quantised().alias("q")).where("vec_id is not null and q is not null").groupBy("vec_id").agg(F.min("q").alias("q"))
     # Dealt out in turn, so that segments are full and no id can weigh one down.
-    dealt = rows.repartition(max(1, -(-rows.count() // SEGMENT)))
-    segments = dealt.mapInArrow(_index, "ids binary, low binary, bits binary, matrix binary")
-    blocks = asked.mapInArrow(_ask, "query_ids binary, queries binary")
-    # Blocks of queries go to every group of segments; then each pair is dealt out by itself.
-    left = segments.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)).cast("int"))
-    right = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-    met = left.join(right, "g").repartition(F.xxhash64("ids"), F.xxhash64("query_ids")).drop("g")
-    found = met.mapInPandas(_score(k), "query_id long, vec_id long, score long")
+    segments = max(1, -(-rows.count() // SEGMENT))
+    parts = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // segments))
+    index = rows.repartition(segments).mapInArrow(_index(parts), CELL)
+    blocks = asked.mapInArrow(_ask(segments, parts), CELL)
+    met = index.union(blocks).repartitionById(segments * parts, F.col("part")).sortWithinPartitions("part", "kind")
+    found = met.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
