@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, jaccard, licenses, mixing, pii, quality, registry, sharding, topk, toxicity, warc
-from tidemark.llm.shingles import shingle_set
 
 LONG = "word and more " * 9000
 AWKWARD = [
@@ -367,8 +366,16 @@ def test_licenses_alone(spark):
 # 7
 
 
+def plain_shingles(t):
+    """Sets of tuples of five words; nothing of the operator's is called."""
+    w = re.findall("[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    if not w:
+        return {t} if t else set()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def plain_classes(texts):
-    sets = {i: set(shingle_set(t).tolist()) for i, t in texts}
+    sets = {i: plain_shingles(t) for i, t in texts}
     links, root = Counter(), {i: i for i in sets}
 
     def top(i):
@@ -420,6 +427,42 @@ def test_jaccard_blocks(spark, monkeypatch, block):
     assert {i: (r.class_id, r.n_links) for i, r in found.items()} == plain_classes(copies)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id and different texts are documents of their own: no text is lost, no class merged."""
+    g = np.random.default_rng(8)
+    a, b, c = (" ".join(g.choice([f"w{i}" for i in range(400)], 80)) for _ in range(3))
+    near = b.replace(b.split()[40], "changed", 1)
+    docs = [(5, a), (5, b), (6, a), (7, b), (7, b), (8, near), (9, c), (9, c), (9, None), (9, None), (None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_f1", "_F2", "first", "class_id")})
+    kept = jaccard.deduplicated(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, a), (5, b), (9, c), (9, None), (9, None), (None, a)])
+    links = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect())
+    assert links == Counter({(5, 5, 1): 1, (6, 5, 1): 1, (5, 5, 3): 1, (7, 5, 3): 2, (8, 5, 3): 1, (9, 9, 1): 2, (9, 9, 0): 2, (None, None, None): 1})
+
+
+def test_jaccard_recall(spark):
+    """Pairs of similarity from 0.8 on among whole documents of sf0.01: all are linked."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want, found = plain_classes(docs), rows(registry.op7_jaccard(spark, sf))
+    pairs, got = sum(n for _, n in want.values()), sum(r.n_links for r in found.values())
+    print(f"recall of links {got / pairs:.4f} of {pairs // 2}")
+    assert pairs > 100 and got >= 0.9 * pairs and {i: (r.class_id, r.n_links) for i, r in found.items()} == want
+
+
+def test_jaccard_boilerplate(spark):
+    """Texts that share half their words with all others hang together in no group."""
+    g = np.random.default_rng(4)
+    frame = list(g.choice([f"b{i}" for i in range(900)], 100))
+    docs = [(i, " ".join([*frame, *g.choice([f"w{k}" for k in range(5000)], 60)])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    reps = jaccard.fingerprints(df).withColumn("node", F.col("doc_id"))
+    assert reps.select(F.explode("bands").alias("b")).groupBy("b").count().where("count > 1").count() > 20
+    assert jaccard._candidates(reps).isEmpty()
+    assert {(r.class_id == r.doc_id, r.n_links) for r in jaccard.classes(df).collect()} == {(True, 0)}
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 101), (103, 100)]
     found = jaccard.components(spark.createDataFrame(chain, "a long, b long")).collect()

@@ -1,24 +1,31 @@
 """Similarity join on word shingles with Bayesian pruning of candidates.
 
-Documents of equal shingle sets form a class, found by grouping fingerprints; the rest works on
-one representative of each class. MinHash values in ``BANDS`` bands of ``ROWS`` bring
-representatives into buckets; those linked by buckets form candidate groups. Within a group,
-pairs that share no bucket are left out, and the MinHash values of the others are compared
-``STEP`` at a time: a pair is dropped as soon as the posterior probability that its Jaccard
-similarity reaches the threshold, given the matches so far and a uniform prior, falls below
-``TOLERANCE``. What remains is verified exactly on the shingle sets.
-
-A pair at the threshold shares no bucket with probability (1 - 0.8**4)**32 < 1e-7, and is
-pruned with a probability near TOLERANCE; above it, with less.
-
-Large groups are cut into blocks of about ``BLOCK`` members by a hash, and each pair of blocks
-is a task of its own, so that no task sees a group and no row is made for a pair: a task returns
-for each member the number of documents linked and the smallest id it is connected to.
+Documents of equal shingle sets form a class, found by grouping 128-bit fingerprints; the rest
+works on one node for each fingerprint, whatever ids its documents have. Of each text ``HASHES``
+MinHash values of 8 bits are kept. They are grouped in ``BANDS`` bands of ``ROWS`` values (before
+they are cut to 8 bits); nodes that share a band are candidates.
+
+Candidates are compared twice. First within each bucket, by MinHash values alone: ``STEP`` values at
+a time, a pair is dropped as soon as the posterior probability that its Jaccard similarity
+reaches the threshold, given the matches so far and a uniform prior, falls below ``TOLERANCE``.
+A bucket returns only which of its members hang together by pairs that outlast this, so boilerplate
+that brings dissimilar texts into one bucket doesn't tie them together. Then the texts of each
+group that hangs together are read again; its pairs are pruned in the same way, and what remains is
+verified exactly on the shingle sets.
+
+A pair at the threshold shares no band with probability (1 - 0.8**5)**25 < 5e-5, and is pruned
+with a probability near TOLERANCE; above it, with less. Values of 8 bits match by chance once in
+256, which prunes less, never more.
+
+Large buckets and groups are cut into blocks of about ``BLOCK`` members by a hash, and each pair of
+blocks is a task of its own, so that no task sees a large group and no row is made for a pair: a
+task returns for each member the number of documents linked and a member it is connected to.
 
 Words and shingles are those of ``shingles``. Defined results: texts without a shingle (null or
 empty) have no links and a class of their own; shorter texts than five words are compared
 whole; documents with a null id are returned with null class_id and n_links; rows of equal id
-and text count as copies; the smallest doc_id names a class; an empty table gives no rows.
+and text count as copies; rows of equal id and other texts are documents of their own; the
+smallest doc_id names a class; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,23 +38,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, map_texts, small
+from .shared import checkpointed, fresh, map_texts, small
 from .shingles import MinHash, mix, shingle_set
 
-THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 32, 4, 16, 1e-6, 384
+THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 25, 5, 25, 1e-6, 384
+HASHES = BANDS * ROWS
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit fingerprint of the shingle set (null without shingles), and the band keys."""
-    hasher = MinHash(BANDS * ROWS)
+    """doc_id, a 128-bit fingerprint of the shingle set (null without shingles), MinHash values and band keys."""
+    hasher = MinHash(HASHES)
 
     def run(texts: list[str]) -> list:
         sets = [shingle_set(t) for t in texts]
-        keys = _band_keys(hasher.signatures(sets))
-        prints = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).view(np.int64))) if len(s) else (None, None) for s in sets]
-        return [[p[0] for p in prints], [p[1] for p in prints], list(keys)]
+        signatures = hasher.signatures(sets)
+        prints = [_print(s) for s in sets]
+        return [[p[0] for p in prints], [p[1] for p in prints], [row.tobytes() for row in _short(signatures)], list(_band_keys(signatures))]
+
+    return map_texts(docs, ["doc_id"], {"f1": "long", "f2": "long", "values": "binary", "bands": "array<long>"}, run)
+
 
-    return map_texts(docs, ["doc_id"], {"f1": "long", "f2": "long", "bands": "array<long>"}, run)
+def _print(s: np.ndarray) -> tuple[int | None, int | None]:
+    if not len(s):
+        return None, None
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).view(np.int64))
+
+
+def _short(signatures: np.ndarray) -> np.ndarray:
+    """8 bits of each value, from all of its bits."""
+    return ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
 def _band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -61,7 +80,7 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 @cache
-def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = BANDS * ROWS) -> tuple[int, ...]:
+def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = HASHES) -> tuple[int, ...]:
     """For each number of values compared, the fewest matches with which a pair stays.
 
     The posterior of the similarity s after m matches of k is proportional to s**m (1-s)**(k-m).
@@ -78,19 +97,22 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n:
     return tuple(out)
 
 
-def survivors(a: np.ndarray, b: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``a`` the rows of ``b`` that share a band with it and outlast all comparisons."""
-    least = least_matches()
-    for i in range(len(a)):
-        left = np.flatnonzero((keys_b == keys_a[i]).any(1))
-        matches = np.zeros(len(left), int)
-        for k in range(0, a.shape[1], STEP):
+def survivors(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``first`` the rows of ``second`` (both positions in ``values``) that outlast all
+    comparisons. Each pair comes once."""
+    least, within = least_matches(), first is second
+    for n, i in enumerate(first):
+        left = second[n + 1 :] if within else second
+        matches = np.zeros(len(left), np.int32)
+        for k in range(0, values.shape[1], STEP):
             if not len(left):
                 break
-            matches = matches + (b[left, k : k + STEP] == a[i, k : k + STEP]).sum(1)
-            stay = matches >= least[min(k + STEP, a.shape[1])]
-            left, matches = left[stay], matches[stay]
-        yield i, left
+            matches += np.count_nonzero(values[left, k : k + STEP] == values[i, k : k + STEP], axis=1)
+            stay = matches >= least[min(k + STEP, values.shape[1])]
+            if not stay.all():
+                left, matches = left[stay], matches[stay]
+        if len(left):
+            yield i, left
 
 
 class _Bits:
@@ -113,21 +135,37 @@ class _Bits:
         return np.bitwise_count(self.bitmaps[others] & self.bitmaps[i]).sum(1).astype(int)
 
 
-def linked(sets: list[np.ndarray], signatures: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
+def linked(sets: list[np.ndarray], values: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
     """Exact links between members of ``first`` and of ``second`` (positions in ``sets``), each once."""
-    keys, bits = _band_keys(signatures), _Bits(sets)
-    within = first is second
-    for i, found in survivors(signatures[first], signatures[second], keys[first], keys[second]):
-        me, others = first[i], second[found]
-        if within:
-            others = others[others > me]
+    bits = _Bits(sets)
+    for me, others in survivors(values, first, second):
+        common = bits.common(me, others)
+        # common / union >= threshold, in whole numbers for thresholds of two decimals
+        union = bits.sizes[me] + bits.sizes[others] - common
+        others = others[100 * common >= round(100 * threshold) * union]
         if len(others):
-            common = bits.common(me, others)
-            # common / union >= threshold, in whole numbers for thresholds of two decimals
-            union = bits.sizes[me] + bits.sizes[others] - common
-            others = others[100 * common >= round(100 * threshold) * union]
-            if len(others):
-                yield me, others
+            yield me, others
+
+
+class _Forest:
+    """Which of n members hang together."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = sorted((self.top(x), self.top(y)))
+        self.root[b] = a
+
+    def tops(self) -> list[int]:
+        return [self.top(x) for x in range(len(self.root))]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,88 +193,134 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.toDF("node", "root")
 
 
-def _units(groups: DataFrame, members: int) -> DataFrame:
-    """Give each representative the units it takes part in: a bundle of small groups, or pairs of blocks."""
-    bundles = max(1, members // BLOCK)
-    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    sized = groups.join(sizes, "root")
+def _units(members: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """Give each member (group, node) the units it takes part in: a bundle of small groups, or pairs of blocks.
+
+    ``sizes`` has the size m of each group, ``total`` is the number of members.
+    """
+    bundles = max(1, total // BLOCK)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    bundle = F.when(blocks <= 1, F.pmod(F.xxhash64("root"), F.lit(bundles)).cast("long")).otherwise(F.col("root"))
-    return sized.select("node", "root", (blocks > 1).alias("large"), block.alias("block"), bundle.alias("bundle"), F.when(blocks > 1, pairs).otherwise(alone).alias("pairs"))
+    bundle = F.when(blocks <= 1, F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("long")).otherwise(F.col("group"))
+    return members.join(sizes, "group").select("node", "group", (blocks > 1).alias("large"), block.alias("block"), bundle.alias("bundle"), F.when(blocks > 1, pairs).otherwise(alone).alias("pairs"))
+
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two blocks whose pairs a unit compares; one array twice if it compares all."""
+    every = np.arange(len(group))
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    if not group["large"].iloc[0] or i == j:
+        return every, every
+    block = group["block"].to_numpy()
+    return every[block == i], every[block == j]
+
+
+def _values(group: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(group["values"]), np.uint8).reshape(len(group), HASHES)
+
+
+def _bucket_unit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges that tie together the members of each bucket whose MinHash values are alike."""
+    a, b = [], []
+    for _, group in pdf.groupby("group", sort=False):
+        nodes, forest = group["node"].to_numpy(), _Forest(len(group))
+        for me, others in survivors(_values(group), *_sides(group)):
+            for x in others.tolist():
+                forest.join(int(me), x)
+        tops = np.array(forest.tops())
+        tied = np.flatnonzero(tops != np.arange(len(nodes)))
+        a.append(nodes[tied])
+        b.append(nodes[tops[tied]])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
 
 def _join_unit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within one unit: for each member its linked documents and the smallest id it is connected to."""
+    """Links within one unit: for each member its linked documents and a member it is connected to."""
     out = []
-    pdf = pdf.drop_duplicates(["root", "node"]).sort_values(["root", "node"], ignore_index=True)
-    signatures = MinHash(BANDS * ROWS).signatures([np.frombuffer(s, np.uint64) for s in pdf["shingles"]])
-    for _, group in pdf.groupby("root", sort=False):
-        nodes, copies, block = group["node"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        every = np.arange(len(nodes))
-        first, second = (every, every) if not group["large"].iloc[0] or i == j else (every[block == i], every[block == j])
-        second = first if first is every else second
-        links, root = np.zeros(len(nodes), np.int64), every.copy()
-
-        def top(x: int, root: np.ndarray = root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for me, others in linked(sets, signatures[group.index], first, second):
+    for _, group in pdf.drop_duplicates(["group", "node"]).groupby("group", sort=False):  # rows may repeat
+        nodes, copies, forest = group["node"].to_numpy(), group["copies"].to_numpy(), _Forest(len(group))
+        links = np.zeros(len(nodes), np.int64)
+        for me, others in linked([np.frombuffer(s, np.uint64) for s in group["shingles"]], _values(group), *_sides(group)):
             links[me] += copies[others].sum()
             links[others] += copies[me]
             for x in others.tolist():
-                a, b = top(me), top(x)
-                if a != b:
-                    low, high = (a, b) if nodes[a] < nodes[b] else (b, a)
-                    root[high] = low
-        out.append(pd.DataFrame({"node": nodes, "links": links, "root": nodes[[top(x) for x in every.tolist()]]}))
-    return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group of linked documents) and n_links of each document."""
+                forest.join(int(me), x)
+        out.append(pd.DataFrame({"node": nodes, "links": links, "root": nodes[forest.tops()]}))
+    return pd.concat(out)
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that share a bucket and whose MinHash values are alike."""
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    # Buckets of equal members, as copies make in most of their bands, are looked at once.
+    sizes = banded.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("m > 1")
+    chosen = checkpointed(sizes.groupBy("m", "s", "x").agg(F.min("band").alias("group")).select("group", "m"))
+    total = chosen.agg(F.sum("m")).first()[0] or 0
+    units = _units(banded.withColumnRenamed("band", "group"), chosen, total)
+    placed = units.join(reps.select("node", "values"), "node").withColumn("pair", F.explode("pairs")).select("node", "group", "large", "block", "bundle", "pair.i", "pair.j", "values")
+    return placed.groupBy("bundle", "i", "j", "large").applyInPandas(_bucket_unit, "a long, b long")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, f1, f2, class_id and n_links of each document, and ``first``: whether its fingerprint is the
+    one that stands for its class (the smallest among those with the class's smallest doc_id)."""
     prints = checkpointed(fingerprints(docs))
     sound = prints.where("doc_id is not null and f1 is not null")
-    reps = checkpointed(sound.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    edges = banded.join(shared.select("band", "least"), "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-    groups = components(edges)
-    units = _units(groups, groups.count())
-    # The texts of the representatives alone.
-    chosen = units.join(reps.select(F.col("rep").alias("node"), "copies", "f1", "f2"), "node")
-    texts = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
-    sets = map_texts(texts, [*chosen.columns], {"shingles": "binary", "g1": "long"}, _sets).where("f1 = g1").drop("f1", "f2", "g1")
-    placed = sets.withColumn("pair", F.explode("pairs")).select("node", "root", "copies", "large", "block", "bundle", "pair.i", "pair.j", "shingles")
-    schema = "node long, links long, root long"
-    found = checkpointed(placed.groupBy("bundle", "i", "j", "large").applyInPandas(_join_unit, schema))
+    grouped = sound.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
+    # Numbers of nodes are kept with them by the checkpoint.
+    reps = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
+    groups = checkpointed(components(_candidates(reps)).withColumnRenamed("root", "group"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"))
+    units = _units(groups, sizes, groups.count())
+    # The texts of the nodes alone.
+    chosen = units.join(reps.select("node", "rep", "copies", "values", "f1", "f2"), "node")
+    texts = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    sets = map_texts(texts, [*chosen.columns], {"shingles": "binary", "g1": "long", "g2": "long"}, _sets).where("f1 = g1 and f2 = g2")
+    placed = sets.withColumn("pair", F.explode("pairs")).select("node", "group", "copies", "values", "large", "block", "bundle", "pair.i", "pair.j", "shingles")
+    found = checkpointed(placed.groupBy("bundle", "i", "j", "large").applyInPandas(_join_unit, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = reps.select("f1", "f2", "rep", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("f1", "f2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = prints.select("doc_id", "f1", "f2").join(known, ["f1", "f2"], "left")
+    known = reps.select("f1", "f2", "rep", "copies", "node").join(links, "node", "left").join(roots, "node", "left")
+    known = checkpointed(known.select("f1", "f2", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    heads = known.groupBy("root").agg(F.min(F.struct("rep", "f1", "f2")).alias("head"))
+    named = known.join(heads, "root").select("f1", "f2", F.col("head.rep").alias("class_id"), "n_links", (F.struct("rep", "f1", "f2") == F.col("head")).alias("first"))
+    return prints.select("doc_id", "f1", "f2").join(named, ["f1", "f2"], "left")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its group of linked documents) and n_links of each document."""
     named = F.col("doc_id").isNotNull()
-    return joined.select("doc_id", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return _classes(docs).select("doc_id", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def _sets(texts: list[str]) -> list:
     sets = [shingle_set(t) for t in texts]
-    return [[s.tobytes() for s in sets], [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]]
+    prints = [_print(s) for s in sets]
+    return [[s.tobytes() for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class, once; documents without id stay."""
-    found = checkpointed(classes(docs))
-    dropped = found.where("class_id <> doc_id").select("doc_id").distinct()
+    """One document of each class, that with its smallest doc_id; documents without id or shingles stay.
+
+    Rows are told apart by id and fingerprint, so that rows of equal id and other texts stay if
+    their own class has no other document.
+    """
+    found = checkpointed(_classes(docs).where("doc_id is not null"))
+    repeated = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = repeated.count()
+    keeps = F.coalesce(F.col("first") & (F.col("doc_id") == F.col("class_id")), F.lit(True))
+    once = found if not n else found.join(small(repeated, n), "doc_id", "left_anti")
+    dropped = once.where(~keeps).select("doc_id")
     out = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
+    if not n:
         return out
-    return out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # Ids of several rows: fingerprints are made again for these rows only.
+    out = out.join(small(repeated, n), "doc_id", "left_anti").select(docs.columns)
+    p1, p2 = fresh(docs.columns, "_f1"), fresh(docs.columns, "_f2")
+    again = docs.join(small(repeated, n), "doc_id", "left_semi").select(docs.columns)
+    again = map_texts(again, docs.columns, {p1: "long", p2: "long"}, lambda texts: list(map(list, zip(*[_print(shingle_set(t)) for t in texts]))))
+    kept = found.where(keeps).select("doc_id", F.col("f1").alias(p1), F.col("f2").alias(p2)).distinct()
+    one = again.dropDuplicates(["doc_id", p1, p2]).join(kept, ["doc_id", p1, p2], "left_semi")
+    return out.unionByName(again.where(F.col(p1).isNull()).select(docs.columns)).unionByName(one.select(docs.columns))
