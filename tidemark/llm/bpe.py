@@ -8,7 +8,8 @@ an earlier merge across the border exists. Words with an incompatible pair go th
 merging.
 
 Results equal those of the ``tokenizers`` library for vocabularies with NFC, lower-casing,
-a byte alphabet and an end-of-word suffix. The vocabulary file is read on the driver and
+a byte alphabet and an end-of-word suffix, whose pattern splits at blanks; characters that were
+assigned after Unicode 15.1 may be cut otherwise. The vocabulary file is read on the driver and
 broadcast: its size does not depend on the data.
 
 Defined results: a null text is encoded as the empty text; an empty text has no ids and
@@ -20,9 +21,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from .shared import map_texts
 
 #: Bytes that a generation of a worker's memory of chunks, and of words, may take.
-CHUNK_BYTES, WORD_BYTES = 24 << 20, 12 << 20
+CHUNK_BYTES, WORD_BYTES = 32 << 20, 24 << 20
+#: About how many bytes of text are looked up together.
+GROUP_BYTES = 2 << 20
 #: Words of at most so many symbols are merged by scanning; longer ones with a heap.
 SHORT = 100
 _NONE = np.iinfo(np.int64).max
@@ -110,10 +116,13 @@ class Vocabulary:
         for name in self.proposals:
             self.longest[name[:2]] = max(len(name), self.longest.get(name[:2], 1))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: name for name, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        token = {i: name for name, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.shown = pa.array([token.get(i) for i in range(max(token) + 1)], pa.string())
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern, regex.V0)
+        letters = string.ascii_lowercase
+        self.letters_stay = all(self.words.findall(x) == [x] for x in (letters, letters[::-1], *letters, *(letters[i:] + letters[:i] for i in range(26))))
         self.chunk_memory, self.word_memory = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,10 +211,12 @@ class Vocabulary:
         packed = self.id[np.array([t for p in proposed for t in p], np.int64)].tobytes()
         return {w: packed[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
-    def pieces(self, chunk: bytes) -> list[str | int]:
+    def pieces(self, chunk: str) -> list[str | int]:
         """The words of a chunk in the byte alphabet, and the ids of special tokens."""
-        text, out = chunk.decode("utf-8", "surrogatepass"), []
-        for part in self.split_special.split(text) if self.split_special and "<" in text else [text]:
+        if self.letters_stay and chunk.isascii() and chunk.isalpha():
+            return [chunk.lower() + _END]
+        out: list[str | int] = []
+        for part in self.split_special.split(chunk) if self.split_special and "<" in chunk else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
@@ -222,22 +233,29 @@ class Vocabulary:
                     out.append("".join(self.byte[b] for b in word.encode("utf-8", "surrogatepass")) + _END)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = self.chunk_memory.missing({c for doc in chunks for c in doc})
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of distinct chunks, which hold no ASCII blanks."""
+        new = self.chunk_memory.missing(set(chunks))
         if new:
             cut = {c: self.pieces(c) for c in new}
             words = {p for ps in cut.values() for p in ps if isinstance(p, str)}
             self.word_memory.add(self.encode_words(list(self.word_memory.missing(words))))
             packed = self.word_memory.young
             self.chunk_memory.add({c: b"".join([packed[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in ps]) for c, ps in cut.items()})
-        known = self.chunk_memory.young
-        return [b"".join([known[c] for c in doc]) for doc in chunks]
+        return [self.chunk_memory.young[c] for c in chunks]
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens with a space between them, as the library does where no decoder is set."""
-        return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The packed ids of each text. Only distinct chunks become Python objects."""
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.values.dictionary_encode()
+        packed = pa.array(self.lookup(flat.dictionary.to_pylist()), pa.binary())
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, packed.take(flat.indices)), b"")
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The tokens of each text with a space between them, as the library does where no decoder is set."""
+        flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+        ends = np.cumsum([0, *(np.asarray(pc.binary_length(ids)) // 4)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.shown.take(pa.array(flat))), " ")
 
 
 _loaded: dict[int, Vocabulary] = {}
@@ -261,13 +279,13 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, text
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(texts: list[str]) -> list:
+    def run(texts: pa.Array) -> list:
         v = _vocabulary(shared)
         ids = v.encode(texts)
-        return [[len(i) // 4 for i in ids], ids, [v.decode(i) for i in ids]]
+        return [pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids, v.decode(ids)]
 
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, run, text)
+    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, run, text, GROUP_BYTES, arrow=True)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

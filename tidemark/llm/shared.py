@@ -95,10 +95,10 @@ def text_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable[[list[str]], list], text: str = "text", most: int = 1 << 20) -> DataFrame:
-    """One pass over the texts without a shuffle: ``fn`` turns a list of them (null: empty)
-    into one list for each column of ``added`` (name: type). Columns of ``keep`` pass through
-    as Arrow arrays, so that their nulls and large integers survive.
+def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False) -> DataFrame:
+    """One pass over the texts without a shuffle: ``fn`` turns a list of them (null: empty), or with
+    ``arrow`` an Arrow array, into one list or array for each column of ``added`` (name: type).
+    Columns of ``keep`` pass through as Arrow arrays, so that their nulls and large integers survive.
     """
     keep = [c for c in keep if c.lower() not in {a.lower() for a in added}]
     types = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items()])
@@ -111,8 +111,8 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
             column = batch.column(len(keep))
             # Only a group's texts become Python objects at a time.
             for start, end in text_groups(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
-                texts = [t or "" for t in column.slice(start, end - start).to_pylist()]
-                made = [pa.array(c, k) for c, k in zip(fn(texts), kinds)]
+                part = pc.fill_null(column.slice(start, end - start), "")
+                made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(fn(part if arrow else part.to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
 
     return df.select(*map(named, keep), named(text).alias(fresh(keep, "_text"))).mapInArrow(run, schema)
