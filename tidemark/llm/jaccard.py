@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, fresh, map_texts, small
+from .shared import checkpointed, every, fresh, map_texts, small
 from .shingles import MinHash, mix, shingle_set
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 25, 5, 25, 1e-6, 384
@@ -313,14 +313,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keeps = F.coalesce(F.col("first") & (F.col("doc_id") == F.col("class_id")), F.lit(True))
     once = found if not n else found.join(small(repeated, n), "doc_id", "left_anti")
     dropped = once.where(~keeps).select("doc_id")
-    out = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(every(docs))
     if not n:
         return out
     # Ids of several rows: fingerprints are made again for these rows only.
-    out = out.join(small(repeated, n), "doc_id", "left_anti").select(docs.columns)
+    out = out.join(small(repeated, n), "doc_id", "left_anti").select(every(docs))
     p1, p2 = fresh(docs.columns, "_f1"), fresh(docs.columns, "_f2")
-    again = docs.join(small(repeated, n), "doc_id", "left_semi").select(docs.columns)
+    again = docs.join(small(repeated, n), "doc_id", "left_semi").select(every(docs))
     again = map_texts(again, docs.columns, {p1: "long", p2: "long"}, lambda texts: list(map(list, zip(*[_print(shingle_set(t)) for t in texts]))))
     kept = found.where(keeps).select("doc_id", F.col("f1").alias(p1), F.col("f2").alias(p2)).distinct()
     one = again.dropDuplicates(["doc_id", p1, p2]).join(kept, ["doc_id", p1, p2], "left_semi")
-    return out.unionByName(again.where(F.col(p1).isNull()).select(docs.columns)).unionByName(one.select(docs.columns))
+    return out.unionByName(again.where(F.col(p1).isNull()).select(every(docs))).unionByName(one.select(every(docs)))

@@ -28,6 +28,8 @@ from .shared import map_texts
 SAMPLE = 8_000
 BLANKS, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: The columns that ``assess`` adds.
+ADDED = [*COUNTS, "base_failed", "quality", "kept"]
 FEATURES = ["log_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "bang_share", "bar_share", "distinct_share"]
 #: -1: more of it never raises the score.
 MONOTONE = {"symbol_share": -1, "dup_line_share": -1, "repeat_share": -1}

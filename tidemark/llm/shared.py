@@ -68,6 +68,10 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def every(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
 def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list[Column]]:
     """``docs`` with columns that are named as those in ``added`` under fresh names, and the columns
     that give all of ``docs`` their names back: for callers that want a filter or a new text alone."""
@@ -115,4 +119,5 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
                 made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(fn(part if arrow else part.to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
 
-    return df.select(*map(named, keep), named(text).alias(fresh(keep, "_text"))).mapInArrow(run, schema)
+    # Numbered on the way in: Spark looks the columns of a map up by name, and takes dots in names for fields.
+    return df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(text).alias("text")).mapInArrow(run, schema)
