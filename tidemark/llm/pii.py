@@ -1,17 +1,23 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
-Candidates are spans of seven kinds: four with fixed patterns and checks (email, ip, card,
-phone) and three that the method adds (obfuscated addresses, national phone numbers, secrets).
-Labelers look at a candidate: its pattern and checks (regex), lists of known words, hosts,
-dialling codes and issuers (gazetteer), and the words before it (context). Each votes yes,
-no or nothing. Expectation-maximisation over all candidates of the corpus estimates how
-reliable each labeler is, and thereby how likely each pattern of votes is personal data;
-a logistic span classifier is trained on that. Spans of the fixed kinds that pass their
-checks always stay; spans of the added kinds stay if the classifier says so.
-
-Candidates are counted by kind, votes and coarse shape; a key has one of 7 kinds, 3 votes
-by each of 5 labelers and 4 x 2 shapes, so at most 7 * 3**5 * 8 counted rows reach the driver, at
-any size of the corpus. Both passes read whole texts and shuffle no text.
+Candidates are spans of eight kinds: four with fixed patterns and checks (email, ip, card, phone) and
+four that the method adds (obfuscated addresses, national phone numbers, secrets, and card numbers
+within longer runs of digits). Six labelers look at a candidate and vote yes, no or nothing: its
+strict form or check (Luhn, transitions between letters and digits, a bracketed at), lists of known
+providers, dialling codes, issuers and token prefixes, words before it that speak for its kind, words
+before it that speak against personal data, what stands right behind it (units, file endings), and
+its spread of characters. They often disagree, and none decides alone.
+
+Expectation-maximisation estimates how reliable each labeler is for each kind, from all candidates
+of the corpus: first over all kinds together, then kind by kind, where the common estimate counts as
+``PRIOR`` candidates, so that rare kinds lean on it. The result says how likely each pattern of votes is
+personal data; a logistic span classifier is trained on that, with a kind's own weight for each
+vote and features of context that no labeler sees (the characters around, length, share of digits).
+Spans of the fixed kinds that pass their checks always stay; spans of the added kinds stay if the
+classifier says so.
+
+Candidates are counted by kind, votes and coarse shape: at most 8 * 3**6 * 96 counted rows reach the
+driver, at any size of the corpus; a few hundred are usual. Whole texts are read; no text is shuffled.
 
 Defined results: a null or empty text has no spans; repeated rows get the same spans; an
 empty table trains nothing and then only fixed kinds are returned; columns named as those that
@@ -21,19 +27,23 @@ the operator adds are replaced. Spans count code points; ends are exclusive.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import map_texts
+from .shared import fresh, map_texts, named
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "address", "localphone", "secret")
-LABELERS = 5
+KINDS = (*BASE, "address", "localphone", "secret", "cardpart")
+LABELERS = 6
+#: How many candidates the habits that all kinds share count for in the estimate of one kind.
+PRIOR = 10.0
 #: Patterns of the contract; the possessive forms match the same spans.
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,17 +55,32 @@ _HIDDEN = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,64}(?: ?[\[(] ?(?:at|AT) ?[\])
 _NATIONAL = re.compile(r"(?<![0-9+.,)-])(?<!\+[0-9] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,5}(?![0-9.-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{20,}+")
 _DIGIT = re.compile(r"[0-9]")
+_CARDPART = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
+_TURNS = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])")
+_MAIL = ("mail", "email", "contact", "write", "reach", "e-mail", "courriel", "correo", "kontakt", "contacto", "adresse")
+_CALL = ("call", "tel", "phone", "mobile", "fax", "dial", "telefon", "téléphone", "teléfono", "handy", "anrufen", "appeler", "llamar", "whatsapp", "sms")
+_PAY = ("card", "visa", "mastercard", "amex", "credit", "payment", "karte", "carte", "tarjeta", "debit", "cc", "pay")
 _WORDS = {
-    "email": {"mail", "email", "contact", "write", "reach"}, "address": {"mail", "email", "contact", "write", "reach"},
-    "phone": {"call", "tel", "phone", "mobile", "fax", "dial"}, "localphone": {"call", "tel", "phone", "mobile", "fax", "dial"},
-    "ip": {"ip", "host", "server", "address", "from"}, "card": {"card", "visa", "mastercard", "amex", "credit", "payment"},
-    "secret": {"token", "password", "passwd", "secret", "key", "apikey", "bearer"},
+    "email": {*_MAIL}, "address": {*_MAIL}, "phone": {*_CALL}, "localphone": {*_CALL}, "card": {*_PAY}, "cardpart": {*_PAY},
+    "ip": {"ip", "host", "server", "address", "from", "client", "peer", "login", "gateway", "dns"},
+    "secret": {"token", "password", "passwd", "secret", "key", "apikey", "api_key", "bearer", "auth", "authorization", "credential", "pwd", "access_token", "kennwort", "passwort", "clave"},
 }
-_AGAINST = {"version", "page", "chapter", "section", "isbn", "issn", "sha", "sha1", "md5", "commit", "order", "price"}
-_PROVIDERS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "proton.me", "gmx.de", "mail.ru", "example.com", "example.org", "example.net")
-_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "30", "36", "38")
-_DIALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "65", "81", "82", "86", "90", "91")
-_KNOWN_SECRETS = ("sk-", "pk-", "ghp_", "xoxb-", "AKIA", "eyJ")
+_AGAINST = {
+    "version", "page", "chapter", "section", "isbn", "issn", "sha", "sha1", "sha256", "md5", "commit", "order", "price", "invoice", "figure", "table", "rfc",
+    "release", "build", "checksum", "digest", "file", "path", "url", "id", "uuid", "serial", "model", "seite", "kapitel", "page", "página", "see", "item", "score",
+}
+_BEHIND = re.compile(r"\s?(?:%|°|kg\b|km\b|cm\b|mm\b|[KMGT]i?B\b|eur\b|usd\b|€|\$|\.(?:html?|php|png|jpe?g|pdf|txt|js|css|zip|gz|py|java)\b|/[a-z])", re.I)
+_PROVIDERS = (
+    "gmail.com", "googlemail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "aol.com", "icloud.com", "me.com", "proton.me", "protonmail.com", "gmx.de", "gmx.net", "web.de",
+    "t-online.de", "freenet.de", "orange.fr", "free.fr", "wanadoo.fr", "laposte.net", "sfr.fr", "mail.ru", "yandex.ru", "qq.com", "163.com", "zoho.com", "fastmail.com", "comcast.net", "terra.es", "telefonica.net",
+    "example.com", "example.org", "example.net",
+)
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "ch", "at", "be", "us", "ca", "au", "jp", "cn", "ru", "br", "mx", "ar", "eu")
+_ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "223", "224", "225", "226", "227", "23", "24", "25", "26", "270", "271", "2720", "34", "37", "6011", "644", "645", "646", "647", "648", "649", "65", "35", "30", "36", "38", "62")
+_DIALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "358", "359", "370", "371", "372", "380", "385", "386", "420", "421", "852", "886", "966", "971", "972")
+_TOLL_FREE = ("800", "888", "877", "866", "855", "900", "0800", "0900")
+_KNOWN_SECRETS = ("sk-", "sk_live_", "sk_test_", "pk-", "pk_live_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "eyJ", "npm_", "pypi-", "dop_v1_", "hf_", "SG-")
+_PLAIN_WORD = re.compile(r"[-_]?[a-z]{3,}(?=[-_]|$)")
 
 Span = tuple[str, int, int]
 
@@ -107,6 +132,7 @@ def added_spans(text: str, fixed: list[tuple[str, int, int, bool]]) -> list[tupl
     if " at " in text or "(" in text or "[" in text:
         out += [("address", m.start(), m.end(), True) for m in _HIDDEN.finditer(text)]
     out += [("localphone", m.start(), m.end(), True) for m in _NATIONAL.finditer(text)]
+    out += [("cardpart", s + m.start(), s + m.end(), True) for k, s, e, fine in fixed if k == "card" and not fine and e - s >= 13 for m in _CARDPART.finditer(text[s:e])]
     passed = [(s, e) for _, s, e, fine in fixed if fine]
     if not passed or not out:
         return out
@@ -115,74 +141,112 @@ def added_spans(text: str, fixed: list[tuple[str, int, int, bool]]) -> list[tupl
     return [o for o in out if np.searchsorted(starts, o[2]) == np.searchsorted(ends, o[1], "right")]
 
 
+def _strict(kind: str, span: str, digits: str, fine: bool) -> int:
+    """The strict form or check of a kind."""
+    if kind == "cardpart":
+        return 1 if luhn(digits) else -1
+    if kind == "address":
+        return 1 if "[" in span or "(" in span else -1 if span.lower().rsplit(".", 1)[-1].rsplit(" ", 1)[-1] not in _ENDINGS else 0
+    if kind == "localphone":
+        return 1 if 9 <= len(digits) <= 11 else -1 if len(digits) < 8 else 0
+    if kind == "secret":
+        turns = len(_TURNS.findall(span))
+        return 1 if turns >= 5 else -1 if turns <= 2 else 0
+    return 1 if fine else -1
+
+
+def _listed(kind: str, span: str, digits: str) -> int:
+    """What lists of known beginnings and endings say."""
+    low = span.lower()
+    if kind in ("email", "address"):
+        return 1 if low.endswith(_PROVIDERS) else 0 if low.endswith(tuple(f"{sep}{e}" for e in _ENDINGS for sep in ". ")) else -1
+    if kind == "phone":
+        return 1 if digits.startswith(_DIALLING) else -1
+    if kind == "localphone":
+        return -1 if digits.startswith(_TOLL_FREE) else 0
+    if kind in ("card", "cardpart"):
+        return 1 if digits.startswith(_ISSUERS) else -1
+    if kind == "secret":
+        return 1 if span.startswith(_KNOWN_SECRETS) else -1 if sum(map(len, _PLAIN_WORD.findall(span))) * 2 > len(span) else 0
+    return -1 if span.startswith(("0.", "127.", "255.")) else 1 if span.startswith(("10.", "192.168.")) else 0
+
+
 def votes(text: str, kind: str, start: int, end: int, fine: bool) -> tuple[int, ...]:
     """The vote of each labeler: 1, -1 or 0."""
     span, before = text[start:end], text[max(0, start - 40) : start].lower()
     digits = _digits(span)
-    near = {w.strip(".:;,=\"'()[]") for w in before.split()[-5:]}
-    regex_vote = 1 if fine else -1
-    if kind == "email":
-        known = span.lower().endswith(_PROVIDERS)
-    elif kind == "phone":
-        known = digits.startswith(_DIALLING)
-    elif kind == "card":
-        known = digits.startswith(_ISSUERS)
-    elif kind == "secret":
-        known = span.startswith(_KNOWN_SECRETS)
-    elif kind == "ip":
-        known = span.startswith(("10.", "192.168.", "172."))
-    else:
-        known = len(digits) in (7, 10) if kind == "localphone" else span.lower().endswith(("com", "org", "net", "edu"))
-    gazetteer_vote = 1 if known else 0
-    context_vote = 1 if near & _WORDS[kind] else 0
-    against_vote = -1 if near & _AGAINST else 0
-    mixed = len(set(span)) >= (10 if kind == "secret" else 3)
-    shape_vote = 1 if mixed else -1
-    return regex_vote, gazetteer_vote, context_vote, against_vote, shape_vote
+    near = {w.strip(".:;,=\"'()[]{}<>|") for w in re.split(r"[\s=:]+", before)[-6:]}
+    spread = len(set(digits if kind in ("card", "cardpart", "phone", "localphone") else span))
+    wide = 10 if kind == "secret" else 4 if digits and kind != "email" else 3
+    return (
+        _strict(kind, span, digits, fine),
+        _listed(kind, span, digits),
+        1 if near & _WORDS[kind] else 0,
+        -1 if near & _AGAINST else 0,
+        -1 if _BEHIND.match(text, end) else 0,
+        1 if spread >= wide else -1,
+    )
+
+
+def _side(c: str) -> int:
+    """The kind of character that stands beside a span: none or a blank, a quote, a sign that assigns, another."""
+    return 0 if not c or c.isspace() else 1 if c in "\"'`<>()[]{}" else 2 if c in "=:/#@" else 3
 
 
 def key(text: str, kind: str, start: int, end: int, fine: bool) -> str:
     """Kind, votes and coarse shape as a short text."""
     length = min(3, (end - start) // 12)
     mostly_digits = int(2 * len(_digits(text[start:end])) > end - start)
-    return f"{KINDS.index(kind)}{''.join('-0+'[v + 1] for v in votes(text, kind, start, end, fine))}{length}{mostly_digits}"
+    return f"{KINDS.index(kind)}{''.join('-0+'[v + 1] for v in votes(text, kind, start, end, fine))}{length}{mostly_digits}{_side(text[start - 1 : start])}{min(2, _side(text[end : end + 1]))}"
 
 
-def _parse(k: str) -> tuple[int, list[int], int, int]:
-    return int(k[0]), ["-0+".index(c) - 1 for c in k[1 : 1 + LABELERS]], int(k[-2]), int(k[-1])
+def _parse(k: str) -> tuple[int, list[int], list[int]]:
+    return int(k[0]), ["-0+".index(c) - 1 for c in k[1 : 1 + LABELERS]], [int(c) for c in k[1 + LABELERS :]]
 
 
 def _features(keys: list[str]) -> np.ndarray:
-    rows = []
-    for k in keys:
-        kind, vote, length, digits = _parse(k)
-        rows.append([*(float(kind == i) for i in range(len(KINDS))), *map(float, vote), length / 3, digits, 1.0])
-    return np.array(rows).reshape(-1, len(KINDS) + LABELERS + 3)
-
-
-def em(vote: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """For each kind an intercept and a weight for each vote; then the shape and the sides."""
+    rows = np.zeros((len(keys), len(KINDS) * (1 + LABELERS) + 2 + 4 + 3))
+    for row, k in zip(rows, keys):
+        kind, vote, (length, digits, left, right) = _parse(k)
+        at = kind * (1 + LABELERS)
+        row[at] = 1.0
+        row[at + 1 : at + 1 + LABELERS] = vote
+        tail = row[len(KINDS) * (1 + LABELERS) :]
+        tail[0], tail[1], tail[2 + left], tail[6 + right] = length / 3, digits, 1.0, 1.0
+    return rows
+
+
+def em(vote: np.ndarray, weight: np.ndarray, rounds: int = 50, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How likely each row is positive, and table[class, labeler, vote + 1] of the labelers' habits.
 
-    Starts from the sum of votes; counts are smoothed, so that no vote is proof.
+    Starts from the sum of votes, or from the habits ``before``, which then count as ``PRIOR``
+    candidates of each class; counts are smoothed, so that no vote is proof.
     """
-    positive = 1 / (1 + np.exp(-vote.sum(1).astype(float)))
-    habits = np.zeros((2, vote.shape[1], 3))
+    habits = np.zeros((2, vote.shape[1], 3)) if before is None else before.copy()
+    positive = 1 / (1 + np.exp(-vote.sum(1).astype(float))) if before is None else _posterior(vote, habits, 0.5)
     for _ in range(rounds):
         prior = np.clip((weight * positive).sum() / weight.sum(), 0.01, 0.99)
         for c, p in enumerate((1 - positive, positive)):
             for j in range(vote.shape[1]):
-                n = np.bincount(vote[:, j] + 1, weight * p, 3) + 1.0
+                n = np.bincount(vote[:, j] + 1, weight * p, 3) + (1.0 if before is None else PRIOR * before[c, j])
                 habits[c, j] = n / n.sum()
-        log = np.log(habits)
-        odds = np.log(prior / (1 - prior)) + sum(log[1, j, vote[:, j] + 1] - log[0, j, vote[:, j] + 1] for j in range(vote.shape[1]))
-        positive = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        positive = _posterior(vote, habits, prior)
     return positive, habits
 
 
+def _posterior(vote: np.ndarray, habits: np.ndarray, prior: float) -> np.ndarray:
+    log = np.log(habits)
+    odds = np.log(prior / (1 - prior)) + sum(log[1, j, vote[:, j] + 1] - log[0, j, vote[:, j] + 1] for j in range(vote.shape[1]))
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 @dataclass
 class SpanModel:
+    """Weights of the classifier; how reliable each labeler is, for each kind (table[class, labeler, vote + 1])."""
+
     weights: np.ndarray | None = None
-    reliability: np.ndarray | None = None
+    reliability: dict[str, np.ndarray] = field(default_factory=dict)
 
     def scores(self, keys: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -191,55 +255,79 @@ class SpanModel:
 
 
 def fit(counts: dict[str, int]) -> SpanModel:
-    """EM over vote patterns, kind by kind, then a weighted logistic regression on its result."""
+    """EM over vote patterns, together and then kind by kind; a weighted logistic regression on its result."""
     if not counts:
         return SpanModel()
     keys = sorted(counts)
     weight = np.array([counts[k] for k in keys], float)
     parsed = [_parse(k) for k in keys]
-    vote = np.array([p[1] for p in parsed])
-    target, habits = em(vote, weight)
-    x, w = _features(keys), np.zeros(len(KINDS) + LABELERS + 3)
+    kind, vote = np.array([p[0] for p in parsed]), np.array([p[1] for p in parsed])
+    target, common = em(vote, weight)
+    reliability = {}
+    for k in np.unique(kind).tolist():
+        rows = kind == k
+        target[rows], reliability[KINDS[k]] = em(vote[rows], weight[rows], before=common)
+    x = _features(keys)
+    w = np.zeros(x.shape[1])
     share = weight / weight.sum()
     for _ in range(25):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (share * (target - p)) - 1e-3 * w)
-    return SpanModel(w, habits)
+    return SpanModel(w, reliability)
 
 
-def train(docs: DataFrame) -> SpanModel:
+CANDIDATES = "array<struct<kind:string,start:int,end:int,fine:boolean,key:string>>"
+
+
+def candidates(docs: DataFrame, keep: list[str], column: str = "spans") -> DataFrame:
+    """The columns of ``keep`` and, as ``column``, each text's candidates: one pass over the texts."""
+
     def run(texts: list[str]) -> list:
         out = []
         for t in texts:
             fixed = base_spans(t)
-            out.append(Counter(key(t, *s) for s in [*fixed, *added_spans(t, fixed)]))
-        return [[list(c) for c in out], [list(c.values()) for c in out]]
+            found = [*fixed, *added_spans(t, fixed)]
+            out.append([{"kind": s[0], "start": s[1], "end": s[2], "fine": s[3], "key": key(t, *s)} for s in found])
+        return [out]
 
-    counted = map_texts(docs, [], {"key": "array<string>", "n": "array<long>"}, run)
-    pairs = counted.select(F.explode(F.arrays_zip("key", "n")).alias("p")).groupBy("p.key").agg(F.sum("p.n").alias("n"))
-    return fit({r["key"]: r["n"] for r in pairs.collect()})
+    return map_texts(docs, keep, {column: CANDIDATES}, run)
 
 
-def find(docs: DataFrame, model: SpanModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Documents with ``spans``: kind, start, end, base and score, ordered by kind as in ``KINDS``, then start.
+def train(docs: DataFrame) -> SpanModel:
+    return train_from(candidates(docs, []))
 
-    ``keep``: the columns that stay, all if not given.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def train_from(found: DataFrame) -> SpanModel:
+    """A model from all candidates of a corpus (``candidates``)."""
+    counts = found.select(F.explode("spans.key").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return fit({r["key"]: r["n"] for r in counts.collect()})
+
+
+def decide(found: DataFrame, model: SpanModel, threshold: float = 0.5) -> DataFrame:
+    """``candidates`` with ``spans`` as kind, start, end, base and score: those that stay, ordered by kind as in ``KINDS``, then start."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in found.columns if c != "spans"]
+    schema = T.StructType([found.schema[c] for c in names] + [T.StructField("spans", T.DataType.fromDDL("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"))])
+    kind = to_arrow_type(schema["spans"].dataType)
     order = {k: i for i, k in enumerate(KINDS)}
 
-    def run(texts: list[str]) -> list:
-        out = []
-        for t in texts:
-            fixed = base_spans(t)
-            found = [s for s in [*fixed, *added_spans(t, fixed)] if s[3]]
-            scores = shared.value.scores([key(t, *s) for s in found]) if found else []
-            rows = [{"kind": k, "start": s, "end": e, "base": k in BASE, "score": float(p)} for (k, s, e, _), p in zip(found, scores) if k in BASE or p >= threshold]
-            out.append(sorted(rows, key=lambda r: (order[r["kind"]], r["start"])))
-        return [out]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(len(names)).to_pylist():
+                spans = [s for s in spans if s["fine"]]
+                scores = shared.value.scores([s["key"] for s in spans]) if spans else []
+                rows = [{"kind": s["kind"], "start": s["start"], "end": s["end"], "base": s["kind"] in BASE, "score": float(p)} for s, p in zip(spans, scores) if s["kind"] in BASE or p >= threshold]
+                out.append(sorted(rows, key=lambda r: (order[r["kind"]], r["start"])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, kind)], names=[*names, "spans"])
 
-    return map_texts(docs, docs.columns if keep is None else keep, {"spans": "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"}, run)
+    return found.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], "spans").mapInArrow(run, schema)
+
+
+def find(docs: DataFrame, model: SpanModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Documents with ``spans``. ``keep``: the columns that stay, all if not given."""
+    return decide(candidates(docs, docs.columns if keep is None else keep), model, threshold)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -264,9 +352,10 @@ def redact(found: DataFrame, columns: list[str]) -> DataFrame:
         )
 
     done = F.aggregate(starts, start, step)
-    out = found.withColumn("_done", F.when(F.size("spans") > 0, done))
-    text = F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_done.parts", ""), F.expr("substring(text, _done.at + 1)")))
+    made = fresh(found.columns, "_done")
+    out, redacted = found.withColumn(made, F.when(F.size("spans") > 0, done)), F.col(made)
+    text = F.when(redacted.isNull(), F.col("text")).otherwise(F.concat(F.array_join(redacted["parts"], ""), F.substring(F.col("text"), redacted["at"] + 1, F.length("text"))))
     out = out.withColumn("text", text)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_done").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(redacted.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*map(named, columns))
