@@ -3,9 +3,12 @@
 Words are summed per source; targets follow from weights by filling up to a limit; the
 repetition rate of a source is its target over its size. Each document is emitted
 floor(rate) times, and once more if a hash of its id and a seed, read as a number in
-[0, 1), is below the rate's fraction. Of ``SEEDS`` seeds each source takes the one whose
-draws come nearest its target, so that a few long documents don't throw a small source off;
-under any seed a document's chance is the fraction.
+[0, 1), is below the rate's fraction.
+
+Of ``SEEDS`` seeds each source takes the one whose draws come nearest its target, so that a few long
+documents don't throw a small source off. The draws of one seed are independent; picking a seed
+by its outcome is not: given the pick, the draws of a small source lean towards sums near the target. For
+sources of many documents the lean is too small to see, and with ``seeds=1`` there is none.
 
 What is summed per source is combined before the shuffle, so a hot source costs no more
 than another. The table of sources is broadcast only after its rows are counted; beyond
@@ -14,7 +17,8 @@ than another. The table of sources is broadcast only after its rows are counted;
 Defined results: a null text has size 0; a null source is a source of its own, ordered
 last; documents of size 0 follow their source's rate; rows that share a doc_id share a
 draw; an empty table gives an empty mix; columns named as those that the operator adds are
-replaced. The result depends on ids, sources and sizes alone.
+replaced by ``mix``; ``emit`` adds none and leaves all as they are. The result depends on
+ids, sources and sizes alone.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, checkpointed, uniform
+from .shared import BROADCAST_ROWS, checkpointed, fresh, named, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEEDS = 16
@@ -64,41 +68,42 @@ def targets(sized: DataFrame, weights: tuple[float, ...], limit: float) -> DataF
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def _join(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents with their source's row; null sources match."""
-    named = sources.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
+def _join(docs: DataFrame, sources: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with their source's row as a struct, and the struct's name; null sources match."""
+    name = fresh(docs.columns, "_plan")
+    row, source = F.struct(*sources.columns), F.col("source").eqNullSafe(F.col(f"{name}.source"))
     if sources.count() <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(named), same).drop("_source")
-    copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.withColumn("_drawn", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, same & (F.col("_drawn") == F.col("_salt"))).drop("_source", "_salt", "_drawn")
+        return docs.join(F.broadcast(sources.select(row.alias(name))), source), name
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    copies = sources.select(row.alias("row"), salts).select(F.struct("row.*", "salt").alias(name))
+    return docs.join(copies, source & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int") == F.col(f"{name}.salt"))), name
 
 
 def _rate() -> Column:
     return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+def plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0, seeds: int = SEEDS) -> DataFrame:
     """One row for each source: source, source_size, target, whole, fraction, seed.
 
     ``sized`` has doc_id, source and size, and is read several times.
     """
     sources = checkpointed(targets(sized, weights, limit))
     rates = sources.select("*", F.floor(_rate()).alias("whole"), (_rate() - F.floor(_rate())).alias("fraction"))
-    drawn = _join(sized, rates)
-    extra = [F.sum(F.when(uniform(F.col("doc_id"), F.lit(seed)) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{seed}") for seed in range(SEEDS)]
-    sums = drawn.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "whole", "fraction")], *extra)
-    miss = F.array_min(F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{seed}") - F.col("target")).alias("miss"), F.lit(seed).alias("seed")) for seed in range(SEEDS)]))
+    if seeds == 1:
+        return checkpointed(rates.withColumn("seed", F.lit(0)))
+    drawn, name = _join(sized.select("doc_id", "source", "size"), rates)
+    extra = [F.sum(F.when(uniform(F.col("doc_id"), F.lit(seed)) < F.col(f"{name}.fraction"), F.col("size")).otherwise(0)).alias(f"s{seed}") for seed in range(seeds)]
+    sums = drawn.groupBy("source").agg(*[F.first(f"{name}.{c}").alias(c) for c in ("source_size", "target", "whole", "fraction")], *extra)
+    miss = F.array_min(F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{seed}") - F.col("target")).alias("miss"), F.lit(seed).alias("seed")) for seed in range(seeds)]))
     return checkpointed(sums.select("source", "source_size", "target", "whole", "fraction", miss["seed"].alias("seed")))
 
 
-def _mixed(docs: DataFrame, sized: DataFrame, weights: tuple[float, ...], limit: float) -> DataFrame:
-    """``docs`` with the row of its source's plan and _copies, all under names with an underscore."""
-    planned = plan(sized, weights, limit)
-    planned = planned.select("source", *[F.col(c).alias(f"_{c}") for c in planned.columns[1:]])
-    copies = F.col("_whole") + (uniform(F.col("doc_id"), F.col("_seed")) < F.col("_fraction")).cast("long")
-    return _join(docs, planned).withColumn("_copies", copies)
+def _mixed(docs: DataFrame, sized: DataFrame, weights: tuple[float, ...], limit: float, seeds: int) -> tuple[DataFrame, str, Column]:
+    """``docs`` with their source's plan as a struct, the struct's name, and how often a document is taken."""
+    out, name = _join(docs, plan(sized, weights, limit, seeds))
+    row = F.col(name)
+    return out, name, row["whole"] + (uniform(F.col("doc_id"), row["seed"]) < row["fraction"]).cast("long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -106,21 +111,22 @@ def _sized(docs: DataFrame) -> DataFrame:
     return checkpointed(docs.select("doc_id", "source", word_count().alias("size")))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0, seeds: int = SEEDS) -> DataFrame:
     """Documents with the source_size and target of their source and the ``copies`` that the mix takes."""
-    keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
-    mixed = _mixed(docs.select(keep), _sized(docs), weights, limit)
-    return mixed.select(*keep, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
+    keep = [named(c) for c in docs.columns if c.lower() not in ("source_size", "target", "copies")]
+    mixed, name, copies = _mixed(docs.select(keep), _sized(docs), weights, limit, seeds)
+    return mixed.select(*keep, F.col(f"{name}.source_size").alias("source_size"), F.col(f"{name}.target").alias("target"), copies.alias("copies"))
 
 
-def mixed_sizes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+def mixed_sizes(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0, seeds: int = SEEDS) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted)."""
     sized = _sized(docs)
-    mixed = _mixed(sized, sized, weights, limit)
-    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+    mixed, name, copies = _mixed(sized, sized, weights, limit, seeds)
+    return mixed.select("doc_id", "size", F.col(f"{name}.source_size").alias("source_size"), F.col(f"{name}.target").alias("target"), (F.col("size") * copies).alias("taken"))
 
 
-def emit(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0, seeds: int = SEEDS) -> DataFrame:
     """The mix itself: each document's row as often as it is taken."""
-    mixed = _mixed(docs, _sized(docs), weights, limit)
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    mixed, name, copies = _mixed(docs, _sized(docs), weights, limit, seeds)
+    copy = fresh(mixed.columns, "_copy")
+    return mixed.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select([named(c) for c in docs.columns])
