@@ -7,8 +7,13 @@ content, an ISO timestamp from the 14-digit date, the record type, and SHA-1 dig
 and payload. A payload that was seen under a smaller id becomes a revisit of that record.
 
 Archives are written by Spark's text writer, whose line end completes the blank lines behind a
-record, as gzip files of at most ``RECORDS`` records in a shared folder, and read back with the
-binary file source, record by record by declared length.
+record, as gzip files in a shared folder, and read back with the binary file source, record by
+record by declared length. A file holds at most ``RECORDS`` records; pages of more than ``LARGE`` bytes
+are written apart, as many to a file as fit into ``FILE`` bytes. So no file is larger than FILE bytes or
+its one page, and a reader holds one file in its compressed form.
+
+Which pages are revisits is found from ids and digests alone. Their table is broadcast up to
+``shared.BROADCAST_ROWS`` counted rows; beyond it pages are shuffled once by id.
 
 Defined results: a null payload is empty; records of equal payload refer to the smallest
 page_id; rows that repeat that id and payload are responses too; null ids count as larger than
@@ -27,12 +32,14 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, shared_folder, small
 
-RECORDS = 1_000
+RECORDS, LARGE, FILE = 1_000, 1 << 16, 1 << 26
+#: Copies of a repeated payload's row, over which its pages are spread.
+SALTS = 16
 HTTP = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -192,22 +199,39 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, sha and refers_to of pages whose payload a smaller page_id has."""
-    facts = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("sha"))
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+
+
+def revisits(facts: DataFrame) -> DataFrame:
+    """page_id, sha and refers_to of pages (page_id, sha) whose payload a smaller page_id has."""
     firsts = facts.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return facts.join(firsts, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    # One payload, such as the empty one, may be that of a third of all pages.
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = facts.select("page_id", "sha", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(firsts, ["sha", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str) -> None:
     """Write a WARC record for each row of ``pages`` (page_id, url, html)."""
-    again = checkpointed(revisits(pages))
+    facts = checkpointed(pages.select("page_id", F.sha1(_payload()).alias("sha"), F.octet_length(_payload()).alias("size")))
+    largest = facts.agg(F.max("size")).first()[0] or 0
+    again = checkpointed(revisits(facts))
     again = small(again, again.count()).withColumnRenamed("page_id", "_id").withColumn("revisit", F.lit(True))
-    plain = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("_sha"))
-    joined = plain.join(again, plain["page_id"].eqNullSafe(again["_id"]) & (plain["_sha"] == again["sha"]), "left")
-    rows = joined.select("page_id", "url", "html", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
-    records = rows.mapInArrow(_convert, "record binary").select(F.col("record").cast("string"))
-    records.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
+    plain = pages.select("page_id", "url", "html", F.sha1(_payload()).alias("_sha"))
+
+    def save(part: DataFrame, most: int) -> None:
+        joined = part.join(again, part["page_id"].eqNullSafe(again["_id"]) & (part["_sha"] == again["sha"]), "left")
+        rows = joined.select("page_id", "url", "html", F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
+        records = rows.mapInArrow(_convert, "record binary").select(F.col("record").cast("string"))
+        records.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
+
+    if largest <= LARGE:
+        save(plain, RECORDS)
+        return
+    size = F.octet_length(_payload())
+    save(plain.where(size <= LARGE), RECORDS)
+    save(plain.where(size > LARGE), max(1, FILE // largest))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
