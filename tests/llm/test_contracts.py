@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -265,6 +266,25 @@ def test_pii_patterns(t):
     assert sorted((s[:3] for s in pii.base_spans(t) if s[3]), key=lambda s: (order[s[0]], s[1])) == plain_spans(t)
 
 
+def test_pii_model_decides(spark):
+    """The trained model rejects spans that the patterns alone would keep, and keeps their like that are real."""
+    g = np.random.default_rng(6)
+    hexes = ["".join(g.choice(list("0123456789abcdef"), 36)) for _ in range(60)]
+    cards = ["4845168114407329", "4417744280351547", "4929348385146306", "4952935900253052"]
+    wrong = ["7536784127813050", "9807915762804490", "7086638319846192", "1234567812345678"]
+    texts = [f'token = "{h}" and more' for h in hexes] + [f"see /archive/annual-report-for-the-year-20{i:02}-final-version/ there" for i in range(60)]
+    texts += [f"pay with card {cards[i % 4]} {cards[(i + 1) % 4]} now" for i in range(30)] + [f"numbers {wrong[i % 4]} {wrong[(i + 1) % 4]} only" for i in range(30)]
+    texts += [f"mail me at jane{i} [at] host{i} [dot] org please" for i in range(20)] + [f"we met at noon.today and at nine.o{'x' * (i % 5)}clock" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(docs)
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(docs, model).collect()}
+    assert all(found[i] == [("secret", h)] for i, h in enumerate(hexes))
+    assert all(found[i] == [] and pii.added_spans(texts[i], []) for i in range(60, 120))
+    assert all([k for k, _ in found[i]] == ["cardpart"] * 2 for i in range(120, 150)) and not any(found[i] for i in range(150, 180))
+    assert all([k for k, _ in found[i]] == ["address"] for i in range(180, 200)) and not any(found[i] for i in range(200, 220))
+    assert set(model.reliability) >= {"secret", "cardpart"} and not np.allclose(model.reliability["secret"], model.reliability["cardpart"], atol=0.05)
+
+
 def test_em():
     """Labelers of known reliability are told apart, and the truth is recovered."""
     g = np.random.default_rng(3)
@@ -294,21 +314,57 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
-def test_counterfactuals():
-    """The penalty brings the scores of swapped texts together."""
+def biased(n=600):
+    """Texts whose toxic ones are those with an insult, and which mention one group more often there."""
     g = np.random.default_rng(0)
-    filler = [f"w{i}" for i in range(40)]
-    sets, y = [], []
-    for i in range(600):
+    out = []
+    for i in range(n):
         toxic = i % 3 == 0
-        s = set(g.choice(filler, 8)) | ({"idiot"} if toxic and g.random() < 0.9 else set())
-        s |= {"muslim"} if g.random() < (0.8 if toxic else 0.1) else {"christian"}
-        sets.append(s)
-        y.append(float(toxic))
-    gap = lambda m: abs(m.score("a muslim text") - m.score("a christian text"))
-    plain, fair = toxicity.fit(sets, np.array(y), 0.0), toxicity.fit(sets, np.array(y), 50.0)
-    assert gap(plain) > 0.2 and gap(fair) < 0.1
-    assert fair.score("you idiot") > 0.5
+        group = "muslim" if g.random() < (0.8 if toxic else 0.1) else "christian" if i % 2 else "frauen" if g.random() < (0.9 if toxic else 0.2) else ""
+        out.append((i, " ".join([*g.choice([f"{c}w" for c in "abcdefghijklmnopqrstuvwxyz"], 8), "idiot" if toxic and g.random() < 0.9 else "", group]), int(toxic)))
+    return out
+
+
+NEUTRAL = ["many {} live here", "die {} wohnen hier", "les {} sont ici", "los {} viven aquí"]
+
+
+def test_counterfactuals(spark):
+    """The trained model, with the penalty and without: naming a group moves neutral sentences less, insults still count."""
+    docs = spark.createDataFrame(biased(), "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    plain, fair = (toxicity.train(docs.select("doc_id", "text"), labels, fairness=f) for f in (0.0, 50.0))
+    gap = lambda m, f: abs(m.score(f.format("muslim")) - m.score(f.format("christian")))
+    before, after = toxicity.mention_gap(plain, NEUTRAL), toxicity.mention_gap(fair, NEUTRAL)
+    print(f"gap on neutral mentions: {before:.3f} without the penalty, {after:.3f} with it")
+    assert gap(plain, NEUTRAL[0]) > 0.2 and gap(fair, NEUTRAL[0]) < 0.1 and after < before / 2
+    assert fair.score("you idiot") > 0.5 > fair.score("you are kind")
+
+
+def test_counterfactuals_of_the_table(spark, sf):
+    """On the registered query's own tables every labelled text has counterfactuals; the terms stay neutral."""
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(toxicity.TERMS) <= model.weights.keys() and toxicity.mention_gap(model, NEUTRAL) < 0.02
+    turns = [toxicity.counterfactuals({"one", "text"}, i) for i in range(len(toxicity.IDENTITY))]
+    assert {into for pairs in turns for _, into in pairs} == set(toxicity.TERMS)
+    assert set(toxicity.counterfactuals({"women", "x"})) == {("women", "men"), ("women", None)}
+
+
+def test_toxicity_fit():
+    """The gradient of the fit is that of its loss, by finite differences at the result: no single weight can be improved."""
+    rows_ = [(set(t.split()), float(y)) for _, t, y in biased(120)]
+    sets, y = [s for s, _ in rows_], np.array([v for _, v in rows_])
+    model = toxicity.fit(sets, y, 5.0)
+
+    def loss(weights, b):
+        score = lambda s: 1 / (1 + math.exp(-(b + sum(weights.get(w, 0.0) for w in s))))
+        p = np.array([score(s) for s in sets])
+        pairs = [(score(s) - score((s - {o}) | ({i} if i else set()))) ** 2 for n, s in enumerate(sets) for o, i in toxicity.counterfactuals(s, n)]
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.RIDGE * sum(v * v for v in weights.values()) / 2 / len(y) + 5.0 * np.mean(pairs))
+
+    best = loss(model.weights, model.intercept)
+    for w in ("idiot", "muslim", "christian", "frauen"):
+        for d in (-0.3, 0.3):
+            assert loss(model.weights | {w: model.weights[w] + d}, model.intercept) > best - 1e-4
 
 
 # 6
@@ -339,15 +395,40 @@ def test_licenses(spark, awkward, empty):
     cases = {
         1: ("cc by nc cc-by-nc, CC BY NC", "cc-by-nc"), 2: ("GNU General Public License, version 3 or any later version; under the MIT license", "gpl-3,mit"),
         3: ("Apache License Version 2.0 and the Apache License, Version 2", "apache-2"), 4: ("under the mit  licenses", ""),
-        5: ("SPDX-License-Identifier: MPL-2.0", "mpl,mpl-2"), 6: ("under the MIT license " * 50, "mit"), 7: ("the GNU Lesser General Public License", "lgpl"),
+        5: ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), 6: ("under the MIT license " * 50, "mit"), 7: ("the GNU Lesser General Public License", "lgpl"),
     }
     some = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
     found = rows(licenses.scan(some))
     check_licenses(found, [(i, t) for i, (t, _) in cases.items()])
-    assert {i: found[i].labels for i in cases if i != 5} == {i: labels for i, (_, labels) in cases.items() if i != 5}
+    assert {i: found[i].labels for i in cases} == {i: labels for i, (_, labels) in cases.items()}
     assert len(licenses.rules()) > 200
 
 
+def plain_scan(t, all_rules):
+    """Labels and score by trying every rule on every text, and comparing every match with every other."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    norm = "^ " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    hits = [(m.start(), -m.end(), -p, label) for key, rule, label, p in all_rules if f" {key}" in norm for m in re.finditer(rule, norm)]
+    left = [h for h in hits if not any(o < h and o[0] <= h[0] and o[1] <= h[1] and o[2] <= h[2] for o in hits)]
+    base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in norm}
+    best = max((-p for _, _, p, _ in left), default=0)
+    return ",".join(sorted({label for *_, label in left} | base)), 1.0 if base else (0.0, 0.5, 0.8, 0.95, 0.99)[best]
+
+
+def test_licenses_plain(spark):
+    """Gate, keywords, suppression and score against the plain version, on texts that mix signatures."""
+    g, all_rules = np.random.default_rng(11), licenses.rules()
+    # One text for each rule: the shortest that its regex spells out.
+    spelled = [re.sub(r"\(\?[:=!]\s*|\)\??|\.\{[0-9,]+\}\?", " ", r.replace("[sc]", "s").replace(" ?", " ")).split("|")[0].replace("?", "").replace(".", "u") for _, r, _, _ in all_rules]
+    texts = [t.upper() if i % 7 == 0 else t for i, t in enumerate(spelled)] + ["unlicensed, released under the moon", "SPDX-License-Identifier: GPL-2.0-or-later", "Creative Commons Attribution 4.0 International"]
+    texts += [", ".join(g.choice(spelled, 4)).replace(" ", "-" if i % 3 else "  ") for i in range(150)]
+    found = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_low", "_norm", "_kept", "_p0")})))
+    assert [(t, found[i].labels, found[i].score) for i, t in enumerate(texts) if (found[i].labels, found[i].score) != plain_scan(t, all_rules)] == []
+    assert sum(bool(found[i].labels) for i in range(len(spelled))) > 0.9 * len(spelled)
+    # No rule is another's shadow: regex and label tell them apart.
+    assert len({(r, label) for _, r, label, _ in all_rules}) == len(all_rules) > 300
+
+
 def test_licenses_alone(spark):
     """Each rule fires on a text that holds nothing but its phrase."""
     cases = [
@@ -605,6 +686,49 @@ def test_arc():
         list(warc.read_arc(b"filedesc://x 0.0.0.0 1996 text/plain 8\n1 0 -\n..\nhttp://a/ 1.2.3.4 1997 text/html 100\nshort"))
 
 
+# SQL, names and columns
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+    order = [c for c in ("query_id", "rank", "doc_id", "page_id") if c in want.columns]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), check_dtype=False)
+
+
+def test_registered():
+    """A broken import inside the subpackage isn't taken for its absence."""
+    import __spark_entry__ as entry
+
+    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in registry.QUERIES}
+    assert registry.QUERIES.items() <= entry.queries().items() and registry.ORACLES.items() <= entry.oracle_sql().items()
+
+
+def test_clashing_names(spark, awkward):
+    """Columns with the names that operators use inside come through every stage as they are."""
+    import corpus_pipeline as p
+
+    inside = ["_text", "_seed", "_source", "_whole", "_fraction", "_copies", "_copy", "_salt", "_drawn", "_target", "_plan", "_done", "_low", "_norm", "_kept", "_p0", "_phrase0", "_f1", "_id", "quality", "base_failed", "a.b", "TEXT2", "Spans2"]
+    docs = awkward.withColumns({c: F.lit(i) for i, c in enumerate(inside) if c != "a.b"}).withColumn("a.b", F.lit(inside.index("a.b")))
+    clash = {"size", "n_words", "spans", "ids", "score", "kept", "n_tokens", "labels", "copies"}
+    plain = lambda r: all(r[c] == i for i, c in enumerate(inside)) and all(r[c] == -1 for c in clash)
+    kept = {"quality rules": p.quality_rules(spark, docs, "/root/testdata/sf0.001"), "near duplicates": jaccard.deduplicated(docs), "PII": p.personal_data(spark, docs, ""), "mixing": mixing.emit(docs)}
+    for name, out in kept.items():
+        assert out.columns == docs.columns, name
+        assert all(plain(r) for r in out.collect()), name
+    assert [kept[k].count() for k in ("near duplicates", "PII")] == [11, 12] and kept["mixing"].count() > 0
+    added = {"score": toxicity.score(docs, toxicity.Classifier(-1.0, {})), "labels": licenses.scan(docs), "ids": bpe.encode(docs, public_tokenizers.path(registry.VOCABULARY)), "copies": mixing.mix(docs), "kept": quality.assess(docs, None)}
+    for name, out in added.items():
+        inner = [c for c in inside if c in out.columns and c not in ("quality", "base_failed")]
+        assert out.count() == len(AWKWARD) and name in out.columns and len(inner) >= len(inside) - 3, name
+        assert all(r[c] == inside.index(c) for r in out.collect() for c in inner), name
+    assert warc.round_trip(docs.selectExpr("doc_id as page_id", "lang as url", "text as html", "_text", "_seed")).count() == len(AWKWARD)
+
+
 # The pipeline
 
 
