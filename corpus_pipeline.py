@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, jaccard, mixing, pii, quality
-from tidemark.llm.shared import documents, shared_folder
+from tidemark.llm.shared import documents, set_aside, shared_folder
 
 #: Boosted trees and exact merging have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -19,7 +19,8 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the trees keep."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, model).where("kept").select(docs.columns)
+    own, back = set_aside(docs, quality.ADDED)
+    return quality.assess(own, model).where("kept").select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    return pii.redact(pii.find(docs, pii.train(docs)), docs.columns)
+    own, back = set_aside(docs, ["spans"])
+    return pii.redact(pii.find(own, pii.train(docs)), own.columns).select(back)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
