@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,63 +76,106 @@ def test_whole_gazetteer(spark):
     r, plain = random.Random(5), lambda terms: r"(?i)\b(" + "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) + r")\b"
     for terms, pattern in ((list(g.names), g.country_pattern()), (list(g.sectors), g.sector_pattern())):
         texts = ["".join(r.choice([str.upper, str])(r.choice(terms)) + r.choice([" ", "", ", ", "x", ".", "é", "s "]) for _ in range(60)) for _ in range(20)]
-        assert [[(m.text, m.start) for m in f] for f in apply(spark, lambda c, p=pattern: spans.find_all(c, p), texts)] == [[(m.group(), m.start()) for m in re.finditer(plain(terms), t)] for t in texts]
+        want = [[(m.group(), m.start()) for m in re.finditer(plain(terms), t)] for t in texts]
+        assert [[w for w, _ in f] for f in want] == apply(spark, lambda c, p=pattern: F.regexp_extract_all(c, F.lit(p), F.lit(0)), texts)
+        assert [[(m.group(), m.start()) for m in re.finditer(pattern, t)] for t in texts] == want
     page = "Northgate Logistics\nhttps://northgate.test/\nBased in Switzerland, a brewery"
     found = spans.extract(spark.createDataFrame([(1, page)], "page_id long, text string")).where("label in ('location', 'sector')").orderBy("start").collect()
     assert [(s.label, s.text) for s in found] == [("sector", "Logistics"), ("location", "Switzerland"), ("sector", "brewery")]
 
 
-def test_page_urls_and_waves(spark):
+def test_page_urls(spark):
     base = "http://x.test/?a=1"
     url = lambda style, n: apply(spark, lambda c: fx.page_url(F.lit(base), F.lit(n), c), [style])[0]
     assert [url(s, 3) for s in ("none", "query", "path", "offset")] == [None, base + "&page=3", base + "/page/3", base + "&offset=50"]
     assert url("none", 1) == base
-    assert [len(w) for w in api.waves(31, 2)] == [1, 2, 4, 8, 16] and api.waves(6, 4) == [[1], [2, 3, 4, 5], [6]] and api.waves(0, 4) == []
-    for n in range(1, 60):
-        assert sum(api.waves(n, 4), []) == list(range(1, n + 1))
 
 
-def test_span_offsets(spark):
-    """Spans found in the JVM are those of Python's finditer."""
+def plain_spans(text):
+    """Spans of a text by trying everything against everything."""
+    g, low = values.DEFAULT, lambda m: m.group().lower()
+    hits = lambda p: list(re.finditer(p, text))
+    out = [("date", m.group(), *m.span()) for p in spans.DATES for m in hits(p)] + [("leak_size", m.group(), *m.span()) for m in hits(spans.SIZE)] + [("status", m.group(), *m.span()) for m in hits(spans.STATUS)]
+    out += [("victim_url", m.group(), *m.span()) for m in hits(f"(?i){fx.DOMAIN}") if not any(low(m) == d or low(m).endswith("." + d) for d in fx.DENIED_DOMAINS)]
+    for m in hits(spans.ORG):
+        name = m.group().strip(" \t\n\r\f\x0b")
+        legal = re.search(spans.ORG_SUFFIX, name)
+        shouted = name == name.upper() and name != name.lower() and not legal
+        odd = any(w.strip(".,").lower() in spans.NOT_AN_ORG for w in name.split()) or name.lower().strip(".,") in g.names
+        if len(name) > 2 and (legal or " " in name) and not shouted and not odd and (legal or re.search(f"(?i){fx.DOMAIN}", text[max(m.start() - 120, 0) : m.end() + 120])):
+            out.append(("victim_org", name, *m.span()))
+    anchors = [(s, e) for label, _, s, e in out if label.startswith("victim")]
+    for label, p in (("location", g.country_pattern()), ("sector", g.sector_pattern())):
+        out += [(label, m.group(), *m.span()) for m in hits(p) if any(m.start() - e <= 250 and s - m.end() <= 250 for s, e in anchors)]
+    order = {o: i for i, o in enumerate(out)}
+    key = lambda o: (o[2], o[3], order[o])
+    return sorted(o for o in out if not any(p[0] == o[0] and key(p) < key(o) and p[3] >= o[3] for p in out))
+
+
+def extracted(spark, texts):
+    rows = spans.extract(spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")).collect()
+    return [sorted((r.label, r.text, r.start, r.end) for r in rows if r.page_id == i) for i in range(len(texts))]
+
+
+def test_extraction_against_plain(spark, sf):
+    """Random mixtures of what spans are made of, and whole documents and pages of the tables."""
     r = random.Random(4)
-    parts = ["10 Feb 2026", "2026-02-10 14:30", "1.2 TB", "status: sold", "www.acme.test", "Acme Holdings Ltd", "é中", "\n", " and ", "days left", "03/04/2026,"]
-    texts = ["".join(r.choice(parts) + r.choice([" ", "\n", ""]) for _ in range(30)) for _ in range(40)]
-    for pattern in (*spans.DATES, spans.SIZE, spans.ORG):
-        found = apply(spark, lambda c, p=pattern: spans.find_all(c, p), texts)
-        assert [[(m.text, m.start, m.end) for m in f] for f in found] == [[(m.group(), m.start(), m.end()) for m in re.finditer(pattern, t)] for t in texts]
-
-
-PAGE = """LOCKBIT LEAKED DATA
-
-Northgate Logistics
-https://northgate.test/
-Date: 2026-02-10
-Size: 1.2 TB
-Status: published
-
-Southgate Manufacturing Ltd
-www.southgate.test
-countdown, 3 days left. Negotiations ongoing
-Germany
-
-Eastgate Health Group
-eastgate.test
-Published: 15 Apr 2026
-2.5 TB sold
-contact: admin@protonmail.com
+    parts = ["10 Feb 2026", "2026-02-10 14:30", "1.2 TB", "status: sold", "www.acme.test", "Acme Holdings Ltd", "Blue Harbor Foods", "é中", "\n", " and ", "days left", "03/04/2026,", "Germany", "a brewery", "LEAKED DATA", "protonmail.com", "filler " * 40, "Download Page"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "\n", ""]) for _ in range(30)) for _ in range(60)]
+    texts += [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [x.text for x in html.texts(spark.read.parquet(f"{sf}/pages.parquet")).collect()] + ["", "x" * 10000]
+    found, want = extracted(spark, texts), [plain_spans(t or "") for t in texts]
+    assert found == want and sum(map(len, want)) > 500 and {o[0] for w in want for o in w} == {"date", "leak_size", "status", "victim_url", "victim_org", "location", "sector"}
+
+
+def test_extraction_plan(spark):
+    """The texts are passed over once and the spans exchanged once."""
+    pages = spark.range(10).selectExpr("id as page_id", "cast(id as string) as text", "'g' as source_group", "'u' as source_url")
+    plan = linker.link(spans.extract(pages), pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 0
+    assert plan.count("Exchange hashpartitioning(page_id") <= 2  # spans; and the pages' groups and addresses
+
+
+def test_extractors(spark):
+    assert spans.extractor("rules") is spans.extract
+    with pytest.raises(ValueError, match="rules"):
+        spans.extractor("model")
+
+
+def test_states_at_length(spark):
+    """Long texts, folded letters, and signals that only hold at word borders."""
+    texts = ["unsold resold", "ſold", "x" * 5000 + " SOLD", "leak" * 500, "İn talks", "PAID İ", "days  left", "status : leaked sold"]
+    assert apply(spark, lambda c: values.resolve_status(F.array(c)), texts) == ["unknown", "sold", "sold", "unknown", "negotiating", "negotiating", "countdown", "published"]
+
+
+PAGE = """Recent entries of this board
+
+www.harborlight.test   entry 1 of 3
+Harborlight Foods Ltd, a brewery in Portugal
+2026/03/05 is not a date that the patterns know, 2026-03-05 is
+volume 750 GB; status: sold
+
+Quarrystone Partners (quarry-stone.test)
+offered since 7 Jun 2026, deadline near
+12,5 GB so far
+Norway
+
+entry 3 of 3: Meridian Clinic Group of Chile (meridian-clinic.test)
+April 9, 2026, 3 TB, withdrawn
+write to staff@tutanota.com
 """
 
 
 def test_extraction(spark):
-    pages = spark.createDataFrame([(1, PAGE, "LockBit", "u"), (2, "", "g", "u"), (3, None, "g", "u"), (4, "x" * 10000, "g", "u")], "page_id long, text string, source_group string, source_url string")
+    pages = spark.createDataFrame([(1, PAGE, "Night Crew", "u"), (2, "", "g", "u"), (3, None, "g", "u"), (4, "x" * 10000, "g", "u")], "page_id long, text string, source_group string, source_url string")
     rows = {r.record: r for r in linker.link(spans.extract(pages), pages).collect()}
-    assert [rows[i].victim_name for i in (1, 2, 3)] == ["Northgate Logistics", "Southgate Manufacturing Ltd", "Eastgate Health Group"]
-    assert [rows[i].victim_domain for i in (1, 2, 3)] == ["northgate.test", "southgate.test", "eastgate.test"]
-    assert [rows[i].status for i in (1, 2, 3)] == ["published", "countdown", "sold"]
-    assert (rows[1].leak_size_bytes, rows[3].leak_size_bytes) == (1319413953331, int(2.5 * 1024**4))
-    assert (rows[1].published_at, rows[3].published_at) == (dt.datetime(2026, 2, 10), dt.datetime(2026, 4, 15))
-    assert rows[2].victim_country == "Germany" and {r.actor_group for r in rows.values()} == {"lockbit"} and len(rows) == 3
-    assert len({r.dedupe_hash for r in rows.values()}) == 3
+    get = lambda c: [rows[i][c] for i in sorted(rows)]
+    assert get("victim_name") == ["Harborlight Foods Ltd", "Quarrystone Partners", "Meridian Clinic Group"]
+    assert get("victim_domain") == ["harborlight.test", "quarry-stone.test", "meridian-clinic.test"]
+    assert get("status") == ["sold", "countdown", "removed"]
+    assert get("leak_size_bytes") == [750 * 1024**3, int(12.5 * 1024**3), 3 * 1024**4]
+    assert get("published_at") == [dt.datetime(2026, 3, 5), dt.datetime(2026, 6, 7), dt.datetime(2026, 4, 9)]
+    assert get("victim_country") == ["Portugal", "Norway", "Chile"] and rows[1].victim_sector == "Food & Beverage"
+    assert {r.actor_group for r in rows.values()} == {"night-crew"} and len({r.dedupe_hash for r in rows.values()}) == 3
 
 
 def linked(spark, *rows):
@@ -202,6 +246,103 @@ def test_alerts(spark):
     assert found == {(1, 1, "victim_name"), (2, 1, "victim_domain"), (2, 2, "victim_domain"), (3, 1, "victim_name"), (3, 2, "victim_name"), (4, 2, "actor_group"), (4, 3, "actor_group"), (5, 1, "victim_domain"), (7, 1, "victim_domain"), (7, 2, "victim_domain")}
 
 
+def test_alerts_against_plain(spark, monkeypatch):
+    """Random rules of all kinds against a comparison of every pair; also where values are too many to broadcast."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("ab.c_%") for _ in range(n)) if r.random() < 0.2 else "".join(r.choice("abc. ") for _ in range(n))
+    records = [(i, r.choice([None, word(12).upper(), word(5)]), r.choice([None, ".".join("".join(r.choice("abc") for _ in range(2)) for _ in range(3))]), r.choice("ab")) for i in range(120)]
+    rules = [(i, k := r.choice(["exact", "substring", "domain", "actor_group"]), r.choice("ab") if k == "actor_group" else word(r.choice([1, 2, 3, 5])), r.random() < 0.9) for i in range(160)]
+    rules += [(200, "domain", "%", True), (201, "domain", "a_.%", True), (202, "exact", (records[0][1] or "x").lower(), True), (203, "substring", "abcabcabc", True)]
+
+    def like(text, pattern):
+        return re.fullmatch("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern), text, re.S) is not None
+
+    want = set()
+    for i, name, domain, crew in records:
+        name, domain = (name or "").lower(), (domain or "").lower()
+        for a, kind, value, on in rules:
+            hit = {"exact": name == value, "substring": value in f"{name} {domain}", "domain": domain == value or like(domain, "%." + value), "actor_group": crew == value}[kind]
+            if on and hit:
+                want.add((a, i, {"domain": "victim_domain", "actor_group": "actor_group"}.get(kind, "victim_name")))
+    left = spark.createDataFrame(records, "id long, victim_name string, victim_domain string, actor_group string")
+    right = spark.createDataFrame(rules, "alert_id long, match_kind string, match_value string, enabled boolean")
+    for most in (10_000, 1):
+        monkeypatch.setattr(alerts, "MOST", most)
+        found = alerts.match(left, right).collect()
+        assert len(found) == len(want) and {(f.alert_id, f.record_id, f.matched_on) for f in found} == want
+    known = alerts.match(left.where("id < 10"), right)
+    new = alerts.arrivals(left, left.where("id < 20").select("id"), right, known).collect()
+    assert {(f.alert_id, f.record_id) for f in new} == {(a, i) for a, i, _ in want if 10 <= i < 20}
+
+
+def test_substring_plan(spark):
+    """Many substrings meet records in equal joins, not in a nested loop."""
+    left = spark.range(1000).selectExpr("id", "concat('customer ', id) as victim_name", "cast(null as string) as victim_domain", "'g' as actor_group")
+    right = spark.range(500).selectExpr("id as alert_id", "'substring' as match_kind", "concat('r ', id) as match_value", "true as enabled")
+    values_ = right.select("match_value").withColumn("_parts", F.array("match_value"))
+    pairs = alerts.containing(left.withColumn("_both", F.col("victim_name")), "_both", values_, F.expr("position(match_value in _both) > 0"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    found = alerts.match(left, right)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and pairs.count() == found.count() == sum(f"r {v}" in f"customer {i}" for i in range(1000) for v in range(500))
+
+
+def test_html_against_plain(spark, sf):
+    """Pages of the table, against taking tags out with patterns."""
+    def plain(h):
+        h = re.sub(r"(?is)<(script|style|noscript|svg|iframe|head)\b.*?</\1>|<!--.*?-->|<!doctype[^>]*>", "<x>", h or "")
+        kept = [re.sub(r"[─-⯿]", "", "".join(c for c in unescape(t).strip() if c.isprintable() or c in "\n\t")) for t in re.split(r"(?s)<[^>]*>", h)]
+        return "\n".join(x.strip() for t in kept for x in t.splitlines() if x.strip())
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = {r.page_id: r.text for r in html.texts(pages).collect()}
+    words = lambda t: re.findall(r"\w+", t)
+    assert {i: words(t) for i, t in found.items()} == {r.page_id: words(plain(r.html)) for r in pages.collect()} and any(found.values())
+
+
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("Acme Holdings Ltd\nnaïve\n".encode() + b"\xff end")
+    (row,) = html.whole_files(spark, str(tmp_path)).collect()
+    assert row.text == "Acme Holdings Ltd\nnaïve\n\ufffd end" and row.path.endswith("a.txt")
+
+
+def test_state_survives_a_restart(spark, sf, tmp_path):
+    """Several files, one a batch; the stream is stopped after three and started again in the same folder."""
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id")
+    n = events.count()
+    save = lambda low, high: events.where(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for k in range(3):
+        save(k * n // 5, (k + 1) * n // 5)
+    first = job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").count()
+    for k in (3, 4):
+        save(k * n // 5, (k + 1) * n // 5)
+    again = job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").collect()
+    want = {}
+    for r in events.collect():
+        old = want.setdefault(str(r.user_id), [None, "unknown"])
+        old[0] = int(r.value) if r.event_type != "view" else old[0]
+        old[1] = {"error": "removed", "signup": old[1]}.get(r.event_type, "published")
+    assert 0 < first <= len(want) and {r.dedupe_hash: [r.leak_size_bytes, r.status] for r in again} == want
+    assert all(r.first_seen_at < r.last_seen_at for r in again)
+    assert job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").count() == len(want)  # nothing new
+
+
+def test_snapshots(spark, tmp_path):
+    rows = spark.range(10)
+    for i, name in enumerate(("20240101", "20240103", "20240102")):
+        assert maintain.save_snapshot(rows.where(f"id >= {i}"), str(tmp_path), name).count() == 10 - i
+    rows.write.parquet(f"{tmp_path}/data/snapshot=20240109")  # cut off before its pointer was written
+    assert maintain.open_snapshot(spark, str(tmp_path)).count() == 9
+    assert [(r.name, r.rows) for r in maintain.snapshots(spark, str(tmp_path), 2).orderBy("place").collect()] == [("20240103", 9), ("20240102", 8)]
+
+
+def test_search(spark):
+    df = spark.createDataFrame([("Northwind Logistics", None), ("Wind farms of the North", "farming.test"), (None, "north.wind.test")], "n string, d string")
+    find = lambda q: [bool(r[0]) for r in df.select(fx.matches(F.col("n"), F.col("d"), F.lit(q))).collect()]
+    assert find("northwind") == [True, False, False] and find("the farm") == [False, True, False] and find("logistic") == [True, False, False]
+    assert find("wind, NORTH") == [False, True, True] and find("the of") == [False, False, False] and find("north.wind.test") == [False, True, True]
+    assert apply(spark, fx.stem, ["companies", "company", "hopping", "leaked", "leaks", "classes", "sing", "housing", "house"]) == ["compani", "compani", "hop", "leak", "leak", "class", "sing", "hous", "hous"]
+
+
 def test_html(spark):
     page = "<html><head><title>no</title></head><body><p>One\t<b>two</b><script>x</script></p><div class='my-countdown'>9</div><br>Nestl&eacute; ★<p> </p></body></html>"
     df = spark.createDataFrame([(1, page), (2, None), (3, "plain")], "page_id long, html string")
@@ -213,6 +354,26 @@ def test_addresses(spark):
     text = f"Our mirrors:\n{a}\n{b}/x\n\none\ntwo\nthree\nsupport chat {c}\n{a}"
     df = spark.createDataFrame([(1, text)], "page_id long, text string")
     assert {r.url: r.announced for r in html.addresses(df).collect()} == {a: True, b + "/x": True, c: False}
+    hosts = spark.createDataFrame([(x * 56 + ".ONION",) for x in "Ac"], "onion_host string")
+    assert [r.url for r in html.addresses(df, hosts).collect()] == [b + "/x"]
+    r = random.Random(2)
+    urls = ["".join(r.choice("abcdefg234567") for _ in range(56)) + ".onion" for _ in range(9)]
+    parts = [*urls, *(f"https://{u}/p" for u in urls[:4]), "our new site", "Mirrors", "plain words", "", "  ", "support", "chat at", "we moved"]
+    pages = ["".join(" ".join(r.choice(parts) for _ in range(r.choice([1, 1, 2]))) + r.choice(["\n", "\r\n"]) for _ in range(25)) for _ in range(60)]
+    found = html.addresses(spark.createDataFrame(list(enumerate(pages)), "page_id long, text string")).collect()
+    assert {(x.page_id, x.onion_host): (x.url, x.announced) for x in found} == {(i, h): v for i, p in enumerate(pages) for h, v in plain_addresses(p).items()}
+
+
+def plain_addresses(text):
+    """For each host its first address, and whether wording claims it: judged by the list of lines above it."""
+    says, link = re.compile(html.ANNOUNCES, re.I), re.compile(html.ADDRESS, re.I)
+    lines, out = [x.strip() for x in text.splitlines()], {}
+    for i, line in enumerate(lines):
+        above = [x for x in lines[:i] if x and not link.fullmatch(x)][-3:]
+        verdicts = [False if link.search(x) else True for x in above if link.search(x) or says.search(x)]
+        for m in link.finditer(line):
+            out.setdefault(m[2].lower(), (f"{(m[1] or 'http').lower()}://{m[2].lower()}{m[3] or ''}", bool(says.search(line) or (verdicts and verdicts[-1]))))
+    return out
 
 
 def test_parameters():
@@ -237,6 +398,8 @@ def test_requests_and_switches(spark):
     with_error = one.withColumn("error", F.lit("old"))
     got = maintain.finish_requests(with_error, spark.createDataFrame([(2, "failed", "x" * 2000), (1, "succeeded", "")], "id long, status string, error string"), now).orderBy("id").collect()
     assert [(r.status, r.error) for r in got] == [("succeeded", None), ("failed", "x" * 1000)]
+    kept = maintain.finish_requests(with_error.withColumn("finished_at", F.to_timestamp(F.lit("2023-01-01 00:00:00"))), spark.createDataFrame([(2, "failed", "x")], "id long, status string, error string"), now).orderBy("id").collect()
+    assert [r.finished_at.year for r in kept] == [2023, 2024]
     sources = spark.createDataFrame([(1, "a", "u", True), (2, "b", "v", True)], "id long, slug string, active_url string, enabled boolean")
     named = spark.createDataFrame([("b",), ("b",), ("c",)], "slug string")
     assert [r.active_url for r in maintain.clear_active_url(sources, named).orderBy("id").collect()] == ["u", None]
@@ -247,16 +410,23 @@ def test_requests_and_switches(spark):
 def test_promotion(spark):
     now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
     sources = spark.createDataFrame([(1, "a", None), (2, "b", "v")], "id long, slug string, active_url string")
-    mirrors = spark.createDataFrame([(1, "h", "m"), (1, "k", "n"), (2, "h", "o")], "source_id long, onion_host string, url string").withColumn("last_ok_at", F.lit(None).cast("timestamp"))
+    mirrors = spark.createDataFrame([(1, "h", "m", 1), (1, "k", "n", 2), (2, "h", "o", 3)], "source_id long, onion_host string, url string, times_seen long").withColumn("last_ok_at", F.lit(None).cast("timestamp"))
     moved, worked = maintain.promote(sources, mirrors, mirrors.where("url = 'n'"), now)
     assert [r.active_url for r in moved.orderBy("id").collect()] == ["n", "v"]
     assert [r.last_ok_at is not None for r in worked.orderBy("url").collect()] == [False, True, False]
     listed = maintain.list_mirrors(mirrors, sources, "a").collect()
-    assert sorted((r.slug, r.url) for r in listed) == [("a", "m"), ("a", "n")]
-
-
-def test_fetch_budget():
-    assert [api.fetch_budget(4, 4), api.fetch_budget(4, 4, 3)] == [8, 3]
+    assert [(r.slug, r.url) for r in listed] == [("a", "n"), ("a", "m")]
+
+
+def test_rules_of_owners(spark):
+    rules = spark.createDataFrame([(1, "o", "exact", "a", True)], "alert_id long, owner_id string, match_kind string, match_value string, enabled boolean")
+    more = api.add_rule(rules, 2, "p", "domain", " Acme.TEST ")
+    assert [tuple(r) for r in more.where("alert_id = 2").collect()] == [(2, "p", "domain", "acme.test", True)]
+    assert api.patch_rule(more, 2, "o", False).where("enabled").count() == 2 and api.patch_rule(more, 2, "p", False).where("enabled").count() == 1
+    assert api.delete_rule(more, 2, "o").count() == 2 and api.delete_rule(more, 2, "p").count() == 1
+    for kind, value in (("odd", "value"), ("exact", " x "), ("exact", "x" * 201)):
+        with pytest.raises(ValueError):
+            api.add_rule(rules, 3, "o", kind, value)
 
 
 def test_daily_counts_of_many_files(spark, sf, tmp_path):

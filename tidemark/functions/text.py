@@ -89,13 +89,38 @@ def format_bytes(size: Column) -> Column:
     return F.when(size.isNull() | (size <= 0), F.lit("—")).otherwise(F.concat_ws(" ", shown, F.element_at(F.array(*map(F.lit, units)), step + 1)))
 
 
-def words(text: Column, stop: tuple[str, ...] = ("a", "an", "and", "of", "the", "in", "on", "for", "to", "is", "at", "by")) -> Column:
-    """Distinct search tokens: lower-case letters and digits, without stop words."""
+#: Words that searches pass over, as English text search does. Fixed values.
+STOP = (
+    "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "it", "its", "they", "them", "their", "what", "which", "who", "this", "that", "these", "those",
+    "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while",
+    "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such",
+    "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will", "just", "should", "now",
+)
+#: Steps of a light English stemmer, each tried on what the one before left: plurals, then -ed and -ing, then final -e and -y.
+STEMS = (
+    (r"^(.{2,})sses$", "$1ss"), (r"^(.{2,})ies$", "$1i"), (r"^(.*[aeiouy].*[^aeious])s$", "$1"), (r"^(.*[aeiouy].*e)s$", "$1"), (r"^(.*[aeiouy].*)eed$", "$1ee"),
+    (r"^(.*[aeiouy].*?)(?:ed|ing)$", "$1"), (r"^(.+)([bdfgmnprt])\2$", "$1$2"), (r"^(.*[aeiouy].*[^aeiou])e$", "$1"), (r"^(.*[aeiouy].*[^aeiou])y$", "$1i"),
+)
+
+
+def stem(word: Column) -> Column:
+    """A word's stem, so that its forms find each other. Lighter than a full English stemmer: no derivations (-ation, -ness)."""
+    for pattern, kept in STEMS:
+        word = F.regexp_replace(word, pattern, kept)
+    return word
+
+
+def words(text: Column) -> Column:
+    """Distinct search tokens: stems of runs of lower-case letters and digits, without stop words."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    return F.array_except(tokens, F.array(*map(F.lit, stop)))
+    return F.array_distinct(F.transform(F.array_except(tokens, F.array(*map(F.lit, STOP))), stem))
+
 
+def matches(name: Column, domain: Column, query: Column) -> Column:
+    """Whether all tokens of a query are in a record's name or domain; a query without tokens matches nothing.
 
-def matches(text: Column, query: Column) -> Column:
-    """Whether all tokens of a query are in the text; a query without tokens matches nothing."""
-    asked = words(query)
+    A domain is found whole and, like a name, by its parts.
+    """
+    asked, text = words(query), F.concat_ws(" ", name, domain)
     return (F.size(asked) > 0) & (F.size(F.array_except(asked, words(text))) == 0)

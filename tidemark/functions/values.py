@@ -37,14 +37,25 @@ STATUS_SIGNALS = (
 STATUS_PRECEDENCE = ("removed", "sold", "negotiating", "published", "countdown")
 
 
+def _shape(fmt: str) -> str:
+    """How a text looks that a date format may fit."""
+    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", "'T'": "T"}
+    return "^" + re.sub("yyyy|MMMM|MMM|'T'|[MdHms]|[.]", lambda m: parts.get(m[0], r"\."), fmt) + "$"
+
+
+#: What may stand before and behind a date, and brackets around it.
+DATE_LEAD, DATE_TAIL, DATE_BRACKETS = r"(?i)^\s*(published|updated|date|added)\s*[:\-]\s*", r"(?i)\s*\((utc|gmt)\)\s*$", "[](){} \t\n\r"
+#: Fixed value: an ISO moment; its clock time counts as it stands, whatever offset follows.
+ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"
+
+
 def parse_date(raw: Column) -> Column:
-    text = F.regexp_replace(stripped(raw), r"(?i)^\s*(published|updated|date|added)\s*[:\-]\s*", "")
-    text = F.regexp_replace(text, r"(?i)\s*\((utc|gmt)\)\s*$", "")
-    text = F.btrim(text, F.lit("[](){} \t\n\r"))
-    # An ISO moment: the clock time as it stands, whatever offset follows.
-    iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"
-    moment = F.concat(F.regexp_extract(text, iso, 1), F.lit(" "), F.regexp_extract(text, iso, 2), F.coalesce(none_if_empty(F.regexp_extract(text, iso, 3)), F.lit(":00")))
-    return F.coalesce(F.when(text.rlike(iso), F.try_to_timestamp(moment, F.lit("yyyy-MM-dd HH:mm:ss"))), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    """The moment of a decorated date, or null. A format is tried only on texts of its shape, since failing costs."""
+    text = F.btrim(F.regexp_replace(F.regexp_replace(stripped(raw), DATE_LEAD, ""), DATE_TAIL, ""), F.lit(DATE_BRACKETS))
+    part = lambda n: F.regexp_extract(text, ISO, n)
+    moment = F.concat(part(1), F.lit(" "), part(2), F.coalesce(none_if_empty(part(3)), F.lit(":00")))
+    tried = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
+    return F.coalesce(F.when(text.rlike(ISO), F.try_to_timestamp(moment, F.lit("yyyy-MM-dd HH:mm:ss"))), *tried)
 
 
 def parse_size(raw: Column) -> Column:
@@ -54,15 +65,19 @@ def parse_size(raw: Column) -> Column:
 
 
 def resolve_status(texts: Column) -> Column:
-    """The state that an array of phrases supports best; ``unknown`` without any."""
-    # No pattern matches across a NUL.
-    joined = F.array_join(F.coalesce(texts, F.array().cast("array<string>")), "\x00")
+    """The state that an array of phrases supports best; ``unknown`` without any.
+
+    Signals are counted only where one occurs at all, in a text that is folded to lower case once.
+    """
+    # No pattern matches across a NUL. The four letters beyond ASCII that fold to ASCII ones count as those.
+    joined = F.lower(F.translate(F.array_join(F.coalesce(texts, F.array().cast("array<string>")), "\x00"), "\u017f\u212a\u0130\u0131", "skii"))
     scores = {s: F.lit(0) for s in STATUS_PRECEDENCE}
     for pattern, status, weight in STATUS_SIGNALS:
-        scores[status] = scores[status] + F.regexp_count(joined, F.lit(f"(?iu){pattern}")) * weight
-    ranked = [F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(s).alias("status")) for i, (s, score) in enumerate(scores.items())]
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["score"] > 0, best["status"]).otherwise("unknown")
+        scores[status] = scores[status] + F.regexp_count(joined, F.lit(pattern)) * weight
+    # With no score at all, the last one wins.
+    ranked = [*(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(s).alias("status")) for i, (s, score) in enumerate(scores.items())), F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit("unknown").alias("status"))]
+    some = "|".join(pattern for pattern, _, _ in STATUS_SIGNALS)
+    return F.when(joined.rlike(some), F.array_max(F.array(*ranked))["status"]).otherwise("unknown")
 
 
 def alternation(terms: list[str]) -> str:

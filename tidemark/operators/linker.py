@@ -10,10 +10,10 @@ from ..functions.values import DEFAULT, Gazetteer, parse_date, parse_size, resol
 
 #: Words that are parts of company names, never a name.
 NAME_FRAGMENTS = (
-    "inc llc ltd limited gmbh sa sas bv nv ab ag corp corporation group holdings industries technologies "
-    "solutions systems services partners associates manufacturing logistics health medical financial bank "
-    "confidential documentation documents personal internal customer employee database backup archive sample samples proof part"
-).split()
+    "inc", "llc", "ltd", "limited", "gmbh", "sa", "sas", "bv", "nv", "ab", "ag", "corp", "corporation", "group", "holdings", "industries", "technologies",
+    "solutions", "systems", "services", "partners", "associates", "manufacturing", "logistics", "health", "medical", "financial", "bank",
+    "confidential", "documentation", "documents", "personal", "internal", "customer", "employee", "database", "backup", "archive", "sample", "samples", "proof", "part",
+)
 
 
 def only_fragments(name: Column) -> Column:
@@ -28,13 +28,15 @@ def owners(spans: DataFrame) -> DataFrame:
     first. An address belongs to the nearest victim; at equal distance the one behind it wins.
     Pages without a victim have one record, 1.
     """
-    order = Window.partitionBy("page_id").orderBy("start", "end", "seq")
-    past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    page = Window.partitionBy("page_id")
+    past = page.orderBy("start", "end", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    # What comes next is what came last when a page is read from its end: running frames only.
+    ahead = page.orderBy(F.desc("start"), F.desc("end"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     victim = F.col("label") == "victim_org"
     place = F.when(victim, F.struct(F.col("_n").alias("n"), "start", "end"))
     numbered = spans.withColumn("_n", F.sum(victim.cast("int")).over(past))
     # Spans of equal start and end are read in order, so the one before may also touch.
-    around = numbered.withColumns({"_before": F.last(place, True).over(past), "_after": F.first(place, True).over(ahead)})
+    around = numbered.withColumns({"_before": F.last(place, True).over(past), "_after": F.last(place, True).over(ahead)})
     before, after = F.col("_before"), F.col("_after")
     gap = lambda v: F.greatest(F.col("start") - v["end"], v["start"] - F.col("end"), F.lit(0))
     takes_after = after.isNotNull() & (before.isNull() | (gap(after) < gap(before)) | ((gap(after) == gap(before)) & (after["start"] > F.col("end"))))
@@ -46,17 +48,18 @@ def owners(spans: DataFrame) -> DataFrame:
 def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     """One row for each usable record of ``spans``; ``pages`` has page_id, source_group, source_url."""
     spans = spans.where(stripped(F.col("text")) != "").withColumn("text", stripped(F.col("text")))
-    owned = owners(spans)
     order = F.struct("start", "end", "seq")
+    # The page's last word on its crew goes to all of its records.
+    crew = F.max(F.when(F.col("label") == "ransomware_group", F.struct("start", "end", "seq", "text"))).over(Window.partitionBy("page_id"))
+    owned = owners(spans).withColumn("crew", crew["text"])
     first = lambda label: F.min_by(F.when(F.col("label") == label, F.col("text")), F.when(F.col("label") == label, order)).alias(label)
     every = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("start", "end", "seq", "text")))), lambda s: s["text"]).alias(label)
     attribute = ~F.col("label").isin("victim_org", "ransomware_group")
     grouped = owned.groupBy("page_id", "record").agg(
         first("victim_org"), first("victim_url"), first("date"), first("leak_size"), every("status"), every("location"), every("sector"),
-        F.avg(F.when(attribute, F.col("confidence"))).alias("confidence"), F.count_if(F.col("label") == "victim_org").alias("victims"),
+        F.avg(F.when(attribute, F.col("confidence"))).alias("confidence"), F.count_if(F.col("label") == "victim_org").alias("victims"), F.first("crew", True).alias("crew"),
     )
-    crews = spans.where("label = 'ransomware_group'").groupBy("page_id").agg(F.max_by("text", order).alias("crew"))
-    rows = grouped.join(crews, "page_id", "left").join(pages.select("page_id", "source_group", "source_url"), "page_id")
+    rows = grouped.join(pages.select("page_id", "source_group", "source_url"), "page_id")
     rows = rows.where("victims > 0 or victim_url is not null or date is not null")
     domain = F.coalesce(extract_domain(F.col("victim_url")), extract_domain(F.col("victim_org")))
     rows = rows.withColumn("victim_domain", clean_domain(domain))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MERGED = ("victim_name", "victim_domain", "victim_country", "victim_sector", "published_at", "published_at_raw", "leak_size_bytes", "source_url")
 #: Columns that the first sighting sets for good.
 FIRST = ("actor_group", "source_id", "leak_type")
+#: Fixed value: the error of work that was given up.
 STOPPED = "worker stopped before this crawl finished"
 
 
@@ -149,9 +150,10 @@ def absent_count(rows: DataFrame, existing: DataFrame, key: str = "dedupe_hash")
 
 
 def list_mirrors(mirrors: DataFrame, sources: DataFrame, slug: str | None = None) -> DataFrame:
-    """Mirrors with the slug of their source, of one source if given."""
+    """Mirrors with the slug of their source, of one source if given, by slug and then the most seen first."""
     chosen = sources if slug is None else sources.where(F.col("slug") == slug)
-    return mirrors.join(chosen.select(F.col("id").alias("source_id"), "slug"), "source_id").drop("source_id")
+    listed = mirrors.join(chosen.select(F.col("id").alias("source_id"), "slug"), "source_id").drop("source_id")
+    return listed.orderBy("slug", F.desc("times_seen"), "onion_host")
 
 
 def set_mirror_status(mirrors: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFrame:
@@ -195,7 +197,84 @@ def finish_requests(requests: DataFrame, results: DataFrame, now: Column, longes
     rows = requests.join(done, "id", "left")
     ended = F.col("_status").isNotNull()
     error = F.nullif(F.substring("_error", 1, longest), F.lit(""))
-    return rows.withColumns({"error": F.when(ended, error).otherwise(F.col("error")), "finished_at": F.when(ended, now), "status": F.coalesce("_status", "status")}).drop("_status", "_error")
+    finished = F.col("finished_at") if "finished_at" in requests.columns else F.lit(None).cast("timestamp")
+    return rows.withColumns({"error": F.when(ended, error).otherwise(F.col("error")), "finished_at": F.when(ended, now).otherwise(finished), "status": F.coalesce("_status", "status")}).drop("_status", "_error")
+
+
+def start_crawls(runs: DataFrame, started: DataFrame) -> DataFrame:
+    """Runs with one more, as running, for each of ``started`` (id, source_id, started_at)."""
+    return runs.unionByName(started.select("id", "source_id", "started_at", F.lit("running").alias("status")), allowMissingColumns=True)
+
+
+#: What a finished run records of its crawl.
+METRICS = ("pages_fetched", "pages_changed", "bytes_fetched", "error")
+
+
+def finish_crawls(runs: DataFrame, results: DataFrame, sources: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Runs after ``results`` (id, status and ``METRICS``), and the health of their sources.
+
+    A source's failures are counted on from what they were, over its results in order of the runs'
+    ids: a success sets them to 0.
+    """
+    done = results.select("id", F.col("status").alias("_status"), *[F.col(c).alias(f"_{c}") for c in METRICS])
+    ended = F.col("_status").isNotNull()
+    kept = lambda c: F.col(c) if c in runs.columns else F.lit(None).cast(results.schema[c].dataType if c in results.columns else "timestamp")
+    rows = runs.join(done, "id", "left")
+    rows = rows.withColumns({**{c: F.when(ended, F.col(f"_{c}")).otherwise(kept(c)) for c in METRICS}, "finished_at": F.when(ended, now).otherwise(kept("finished_at")), "status": F.coalesce("_status", "status")})
+    finished = rows.drop("_status", *[f"_{c}" for c in METRICS])
+    outcomes = results.select("id", "status").join(runs.select("id", "source_id"), "id")
+    good = F.max(F.when(F.col("status") == "succeeded", F.col("id")))
+    last = outcomes.groupBy("source_id").agg(good.alias("_good"))
+    since = outcomes.join(last, "source_id").groupBy("source_id").agg(F.max("_good").alias("_good"), F.count_if(F.col("_good").isNull() | (F.col("id") > F.col("_good"))).cast("int").alias("_failed"))
+    joined = sources.join(since.withColumnRenamed("source_id", "id"), "id", "left")
+    ran, won = F.col("_failed").isNotNull(), F.col("_good").isNotNull()
+    health = joined.withColumns({
+        "last_crawl_at": F.when(ran, now).otherwise(F.col("last_crawl_at")), "last_success_at": F.when(won, now).otherwise(F.col("last_success_at")),
+        "consecutive_failures": F.when(won, F.col("_failed")).when(ran, F.col("consecutive_failures") + F.col("_failed")).otherwise(F.col("consecutive_failures")),
+    })
+    return finished, health.drop("_good", "_failed")
+
+
+def mark_extracted(pages: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Pages of which ``done`` (id) were extracted now."""
+    marked = done.select("id").distinct().withColumn("_done", F.lit(True))
+    return pages.join(marked, "id", "left").withColumn("extracted_at", F.when(F.col("_done"), now).otherwise(F.col("extracted_at"))).drop("_done")
+
+
+def claim(requests: DataFrame, now: Column) -> DataFrame:
+    """Requests after the queued one that waits longest is claimed: running, from now. A single writer does this."""
+    first = requests.where("status = 'queued'").agg(F.min(F.struct("requested_at", "id")).alias("_first"))  # one row
+    mine = F.col("_first.id") == F.col("id")
+    started = F.col("started_at") if "started_at" in requests.columns else F.lit(None).cast("timestamp")
+    rows = requests.crossJoin(F.broadcast(first))
+    return rows.withColumns({"started_at": F.when(mine, now).otherwise(started), "status": F.when(mine, "running").otherwise(F.col("status"))}).drop("_first")
+
+
+def save_snapshot(table: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a snapshot under ``name`` (names sort by time), check its rows, point to it, and return it.
+
+    The pointer is a row of its own, written after the data; readers follow it (``open_snapshot``), so a
+    snapshot that was cut off is never seen.
+    """
+    spark = table.sparkSession
+    path = f"{folder}/data/snapshot={name}"
+    table.write.mode("overwrite").parquet(path)
+    saved = spark.read.schema(table.schema).parquet(path)
+    entry = saved.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+    entry.write.mode("overwrite").parquet(f"{folder}/pointers/pointer={name}")
+    return saved
+
+
+def snapshots(spark, folder: str, keep: int = 7) -> DataFrame:
+    """name, rows and place of the newest ``keep`` finished snapshots; those beyond are to be removed."""
+    listed = spark.read.parquet(f"{folder}/pointers").select("name", "rows")
+    return listed.orderBy(F.desc("name")).limit(keep).withColumn("place", F.row_number().over(Window.orderBy(F.desc("name"))))
+
+
+def open_snapshot(spark, folder: str) -> DataFrame:
+    """The newest finished snapshot."""
+    name = snapshots(spark, folder, 1).first()["name"]
+    return spark.read.parquet(f"{folder}/data/snapshot={name}")
 
 
 def add_request(requests: DataFrame, request_id: int, slug: str | None, as_of: Column) -> DataFrame:

@@ -1,15 +1,23 @@
 """From page text to spans: patterns with offsets, corroboration, overlaps, nearness.
 
-Everything is a column expression within the page's row until spans are exploded; what needs
-a page's spans together is a window or join on page_id.
+Matches are found in one Arrow pass over the texts, which yields a row for each span. What needs a
+page's spans together is a window; all windows have the page as their partition, so one exchange
+serves them, and the linker after them.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import DOMAIN, is_denied, stripped
+from ..functions.batches import groups
+from ..functions.text import BLANK, DENIED_DOMAINS, DOMAIN
 from ..functions.values import DEFAULT, Gazetteer
 
 #: Span patterns.
@@ -22,71 +30,95 @@ ORG = rf"\b([A-Z][A-Za-z0-9&'’.-]*(?:[ \t]+[A-Z][A-Za-z0-9&'’.-]*){{0,4}}(?:
 ORG_SUFFIX = rf"(?i)\b({SUFFIXES})\b"
 #: Words that are never part of a victim's name.
 NOT_AN_ORG = (
-    "leaked leak leaks published disclosed released sold countdown deadline ransomware dump dumps "
-    "data files file name size status date time download downloads upload uploads link links "
-    "victim victims company companies description info information details price total count page pages "
-    "news blog contact about home archive disclosures rules affiliate affiliates how faq help support "
-    "search login register menu index list all full terms policy privacy mirror mirrors onion tor "
-    "bitcoin btc monero xmr buy payment pay wallet escrow negotiation negotiations chat decrypt decryptor"
-).split()
+    "leaked", "leak", "leaks", "published", "disclosed", "released", "sold", "countdown", "deadline", "ransomware", "dump", "dumps",
+    "data", "files", "file", "name", "size", "status", "date", "time", "download", "downloads", "upload", "uploads", "link", "links",
+    "victim", "victims", "company", "companies", "description", "info", "information", "details", "price", "total", "count", "page", "pages",
+    "news", "blog", "contact", "about", "home", "archive", "disclosures", "rules", "affiliate", "affiliates", "how", "faq", "help", "support",
+    "search", "login", "register", "menu", "index", "list", "all", "full", "terms", "policy", "privacy", "mirror", "mirrors", "onion", "tor",
+    "bitcoin", "btc", "monero", "xmr", "buy", "payment", "pay", "wallet", "escrow", "negotiation", "negotiations", "chat", "decrypt", "decryptor",
+)
 ORG_WINDOW, TAG_WINDOW = 120, 250
-SPAN = "struct<label:string,text:string,start:int,end:int,confidence:double,seq:int>"
+ANCHORS, TAGS = ("victim_org", "victim_url"), ("location", "sector")
+#: Columns of a table of spans, after page_id.
+SPAN = "label string, text string, start int, end int, confidence double, seq int"
+Found = tuple[str, str, int, int, float, int]
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as an array of text, start and end (exclusive), in characters."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
+def plausible_name(name: str, places: Gazetteer = DEFAULT) -> bool:
+    """Whether a capitalised run may be a company: no banner, no country, no page furniture."""
+    if name.isupper() and not re.search(ORG_SUFFIX, name):
+        return False
+    return name.lower().strip(".,") not in places.names and not any(w.lower().strip(".,") in NOT_AN_ORG for w in name.split())
 
-    def step(acc: Column, both: Column) -> Column:
-        start = acc["at"] + F.length(both["gap"])
-        end = start + F.length(both["text"])
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(both["text"].alias("text"), start.alias("start"), end.alias("end")))).alias("all"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, t: F.struct(g.alias("gap"), t.alias("text")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda acc: acc["all"])
+def _denied(domain: str) -> bool:
+    return domain in DENIED_DOMAINS or domain.endswith(tuple(f".{d}" for d in DENIED_DOMAINS))
 
 
-def _labelled(found: Column, label: str, confidence: float, base: int) -> Column:
-    return F.transform(found, lambda m, i: F.struct(F.lit(label).alias("label"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(confidence).alias("confidence"), (F.lit(base * 1_000_000) + i).alias("seq")))
+def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
+    """A function from a text to its spans, in the order the kinds are listed here; tags not yet tested for nearness."""
+    suffix, domain = re.compile(ORG_SUFFIX), re.compile(f"(?i){DOMAIN}")
 
+    def listing(text: str, m: re.Match) -> str | None:
+        host = m[1]
+        return None if _denied(host.lower()) else host
 
-def _plausible(name: Column, places: Gazetteer) -> Column:
-    """Whether a capitalised run may be a company: no banner, no country, no page furniture."""
-    banner = (F.upper(name) == name) & (F.lower(name) != name) & ~name.rlike(ORG_SUFFIX)
-    furniture = F.exists(F.split(name, r"\s+"), lambda w: F.btrim(F.lower(w), F.lit(".,")).isin(*NOT_AN_ORG))
-    return ~banner & ~places.is_country(name) & ~furniture
+    def company(text: str, m: re.Match) -> str | None:
+        name = m[1].strip(BLANK)
+        suffixed = suffix.search(name)
+        if len(name) < 3 or not (suffixed or " " in name) or not plausible_name(name, places):
+            return None
+        return name if suffixed or domain.search(text[max(0, m.start() - ORG_WINDOW) : m.end() + ORG_WINDOW]) else None
 
+    whole = lambda text, m: m[0]
+    kinds = [*(("date", 0.9, p, whole) for p in DATES), ("leak_size", 0.95, SIZE, whole), ("status", 0.8, STATUS, whole), ("victim_url", 0.85, f"(?i){DOMAIN}", listing), ("victim_org", 0.6, ORG, company)]
+    kinds += [("location", 0.7, places.country_pattern(), whole), ("sector", 0.6, places.sector_pattern(), whole)]
+    kinds = [(label, confidence, re.compile(pattern), keep) for label, confidence, pattern, keep in kinds]
 
-def raw_spans(text: Column, places: Gazetteer = DEFAULT) -> Column:
-    """Spans of dates, sizes, states, addresses and organisations, in the order they are looked for."""
-    parts = [_labelled(find_all(text, p), "date", 0.9, i) for i, p in enumerate(DATES)]
-    parts.append(_labelled(find_all(text, SIZE), "leak_size", 0.95, 4))
-    parts.append(_labelled(find_all(text, STATUS), "status", 0.8, 5))
-    parts.append(_labelled(F.filter(find_all(text, f"(?i){DOMAIN}"), lambda m: ~is_denied(F.lower(m["text"]))), "victim_url", 0.85, 6))
-    names = F.transform(find_all(text, ORG), lambda m: F.struct(stripped(m["text"]).alias("text"), m["start"].alias("start"), m["end"].alias("end")))
+    def find(text: str) -> Iterator[Found]:
+        for place, (label, confidence, pattern, keep) in enumerate(kinds):
+            n = 0
+            for m in pattern.finditer(text):
+                if (kept := keep(text, m)) is not None:
+                    yield label, kept, m.start(), m.end(), confidence, place * 1_000_000 + n
+                    n += 1
 
-    def company(m: Column) -> Column:
-        suffixed = m["text"].rlike(ORG_SUFFIX)
-        begin = F.greatest(m["start"] - ORG_WINDOW, F.lit(0))
-        around = F.substring(text, begin + 1, m["end"] + ORG_WINDOW - begin)
-        formed = (F.length(m["text"]) >= 3) & (F.contains(m["text"], F.lit(" ")) | suffixed)
-        return formed & _plausible(m["text"], places) & (suffixed | around.rlike(f"(?i){DOMAIN}"))
+    return find
 
-    parts.append(_labelled(F.filter(names, company), "victim_org", 0.6, 7))
-    return F.concat(*parts)
 
+def find_spans(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
+    """page_id and a row for each span of ``pages`` (page_id, text), in one pass."""
+    schema = T.StructType([pages.schema["page_id"], *T.StructType.fromDDL(SPAN).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
 
-def near_anchors(tags: DataFrame, anchors: DataFrame, window: int = TAG_WINDOW) -> DataFrame:
-    """Tags within ``window`` characters of an anchor of their page (both: page_id, start, end).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(places)
+        for batch in batches:
+            for part, texts in groups(batch, "text"):
+                rows = [(i, *s) for i, t in enumerate(texts) for s in find(t)]
+                if rows:
+                    at, *columns = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([part.column("page_id").take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return pages.select("page_id", "text").mapInArrow(run, schema)
+
+
+def _near(spans: DataFrame, tag: Column, anchor: Column, window: int) -> DataFrame:
+    """``spans`` without tags that no anchor of their page comes within ``window`` characters of.
 
     Among the anchors that start early enough, the one that reaches furthest decides; so one
-    pass over a page's spans in order does, and no spans are paired.
+    window over a page's spans in order does, and no spans are paired.
     """
-    starts = anchors.select("page_id", F.col("start").alias("_at"), F.col("end").alias("_end"), F.lit(0).alias("_kind"))
-    both = tags.withColumns({"_at": F.col("end") + window, "_kind": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
-    before = Window.partitionBy("page_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("_reach", F.max("_end").over(before)).where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("start") - window)).select(tags.columns)
+    at = F.when(tag, F.col("end") + window).when(anchor, F.col("start"))
+    before = Window.partitionBy("page_id").orderBy(at.asc_nulls_first(), tag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(anchor, F.col("end"))).over(before)
+    return spans.withColumn("_reach", reach).where(~tag | (F.col("_reach") >= F.col("start") - window)).drop("_reach")
+
+
+def near_anchors(tags: DataFrame, anchors: DataFrame, window: int = TAG_WINDOW) -> DataFrame:
+    """Tags within ``window`` characters of an anchor of their page (both: page_id, start, end)."""
+    both = tags.withColumn("_tag", F.lit(True)).unionByName(anchors.select("page_id", "start", "end").withColumn("_tag", F.lit(False)), allowMissingColumns=True)
+    return _near(both, F.col("_tag"), ~F.col("_tag"), window).where("_tag").select(tags.columns)
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
@@ -97,13 +129,19 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     """page_id, label, text, start, end, confidence and seq of each span of ``pages`` (page_id, text)."""
-    columns = ["page_id", "label", "text", "start", "end", "confidence", "seq"]
-    text = F.coalesce("text", F.lit(""))
-    main = pages.select("page_id", F.explode(raw_spans(text, places)).alias("s")).select("page_id", "s.*")
-    tagged = F.concat(_labelled(find_all(text, places.country_pattern()), "location", 0.7, 8), _labelled(find_all(text, places.sector_pattern()), "sector", 0.6, 9))
-    tags = pages.select("page_id", F.explode(tagged).alias("s")).select("page_id", "s.*")
-    anchors = main.where(F.col("label").isin("victim_org", "victim_url")).select("page_id", "start", "end")
-    return without_overlaps(main.select(columns).unionByName(near_anchors(tags, anchors).select(columns)))
+    found = find_spans(pages, places)
+    return without_overlaps(_near(found, F.col("label").isin(*TAGS), F.col("label").isin(*ANCHORS), TAG_WINDOW))
+
+
+#: Extractors by name: functions from pages (page_id, text) to a table of spans.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"rules": extract}
+
+
+def extractor(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The extractor of that name; others, such as a model's, are registered in ``EXTRACTORS``."""
+    if name not in EXTRACTORS:
+        raise ValueError(f"no extractor is named {name!r}; there are {', '.join(sorted(EXTRACTORS))}")
+    return EXTRACTORS[name]
 
 
 def chunks(text: Column, most: int = 1500) -> Column:

@@ -16,6 +16,18 @@ from ..functions.text import crawl_url, matches
 
 SORTS = ("first_seen_at", "published_at", "victim_name")
 OPEN = ("queued", "running")
+#: Fixed value: the title of a record without name and domain.
+UNNAMED = "Unnamed listing"
+#: The columns of a listing that are shown as they are; the source's slug comes beside them.
+LISTING = (
+    "id", "dedupe_hash", "victim_name", "victim_domain", "victim_country", "victim_sector", "actor_group", "source_id", "source_url",
+    "published_at", "published_at_raw", "first_seen_at", "last_seen_at", "status", "leak_type", "leak_size_bytes",
+)
+
+
+def listing(page: DataFrame) -> DataFrame:
+    """The 17 columns of a listing, of a page whose records have them all."""
+    return page.select(*LISTING, "source_slug")
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -28,15 +40,16 @@ def since(as_of: Column, days: int) -> Column:
     return as_of - F.make_dt_interval(days=F.lit(days))
 
 
-def condition(group: str | None = None, status: str | None = None, source_id: int | None = None, country: str | None = None, sector: str | None = None, start: Column | None = None, end: Column | None = None, q: str | None = None) -> Column:
-    """All filters that are given, in one condition; the times are inclusive."""
+def condition(group: str | None = None, status: str | None = None, source_id: int | None = None, country: str | None = None, sector: str | None = None, start: Column | None = None, end: Column | None = None, q: str | None = None, domains: bool = False) -> Column:
+    """All filters that are given, in one condition; the times are inclusive. ``domains``: whether the
+    records have a victim_domain for ``q`` to look at."""
     parts = [F.col(c) == v for c, v in (("actor_group", group), ("status", status), ("source_id", source_id), ("victim_country", country), ("victim_sector", sector)) if v is not None]
     if start is not None:
         parts.append(F.col("first_seen_at") >= start)
     if end is not None:
         parts.append(F.col("first_seen_at") <= end)
     if q is not None:
-        parts.append(matches(F.coalesce("victim_name", F.lit("")), F.lit(q)))
+        parts.append(matches(F.coalesce("victim_name", F.lit("")), F.col("victim_domain") if domains else F.lit(None).cast("string"), F.lit(q)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
@@ -94,11 +107,15 @@ def health() -> Column:
     return F.when(~F.col("enabled"), "disabled").when(failures == 0, "healthy").when(failures < 3, "degraded").otherwise("failing")
 
 
+def source_by_slug(sources: DataFrame, slug: str) -> DataFrame:
+    return sources.where(F.col("slug") == slug).limit(1)
+
+
 def source_list(sources: DataFrame, records: DataFrame, enabled: bool | None = None) -> DataFrame:
-    """Sources with their number of records, health and the address to collect from."""
+    """Sources by name, with their number of records, health and the address to collect from."""
     chosen = sources if enabled is None else sources.where(F.col("enabled") == enabled)
     counts = records.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("leak_count"))
-    return chosen.join(counts, "id", "left").select("id", "slug", "name", "enabled", "consecutive_failures", F.coalesce("leak_count", F.lit(0)).alias("leak_count"), health().alias("health"), crawl_url(F.col("active_url"), F.col("base_url")).alias("crawl_url"))
+    return chosen.join(counts, "id", "left").select("id", "slug", "name", "enabled", "consecutive_failures", F.coalesce("leak_count", F.lit(0)).alias("leak_count"), health().alias("health"), crawl_url(F.col("active_url"), F.col("base_url")).alias("crawl_url")).orderBy("name", "id")
 
 
 def source_stats(sources: DataFrame) -> DataFrame:
@@ -124,6 +141,19 @@ def newest(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.orderBy(F.col(by).desc_nulls_first(), F.desc("id")).limit(_within("limit", limit, 1, 100))
 
 
+def new_since_sync(requests: DataFrame) -> DataFrame:
+    """One row, ``since``: when the latest request started, if it succeeded; else null, and nothing counts as new."""
+    latest = requests.agg(F.max_by(F.struct("status", "started_at"), F.struct("requested_at", "id")).alias("r"))
+    return latest.select(F.when(F.col("r.status") == "succeeded", F.col("r.started_at")).alias("since"))
+
+
+def latest_arrivals(records: DataFrame, requests: DataFrame, count: int = 6) -> DataFrame:
+    """The newest records with title, monogram and whether the latest sync brought them."""
+    title = F.coalesce("victim_name", "victim_domain", F.lit(UNNAMED))
+    rows = newest(records, "first_seen_at", count).crossJoin(new_since_sync(requests))  # one row
+    return rows.select("id", title.alias("title"), F.upper(F.substring(title, 1, 2)).alias("monogram"), F.coalesce(F.col("first_seen_at") >= F.col("since"), F.lit(False)).alias("is_new"))
+
+
 def claim(requests: DataFrame) -> DataFrame:
     """The queued request that waits longest. A single writer marks it as running."""
     return requests.where("status = 'queued'").orderBy("requested_at", "id").limit(1)
@@ -169,23 +199,8 @@ def delete_rule(rules: DataFrame, alert_id: int, owner: str) -> DataFrame:
     return rules.where(~((F.col("alert_id") == alert_id) & (F.col("owner_id") == owner)))
 
 
-def waves(pages: int, width: int, most: int = 16) -> list[list[int]]:
-    """Page numbers in rounds: page 1, then ``width`` pages, then twice as many each time, up to ``most``."""
-    out, at, size = ([[1]] if pages > 0 else []), 2, max(1, width)
-    size = 2 if width == 2 else size
-    while at <= pages:
-        out.append(list(range(at, min(pages, at + size - 1) + 1)))
-        at, size = at + size, min(most, size * 2)
-    return out
-
-
 def before_end(pages: DataFrame, least: int = 50) -> DataFrame:
     """Pages (listing, page_no, text) before the first that is missing or too short."""
     bad = F.col("text").isNull() | (F.length(F.btrim("text", F.lit(" \t\n\r\f\x0b"))) < least)
     ends = pages.groupBy("listing").agg(F.min(F.when(bad, F.col("page_no"))).alias("_end"))
     return pages.join(ends, "listing").where("_end is null or page_no < _end").drop("_end")
-
-
-def fetch_budget(sources: int, pages: int, most: int = 0) -> int:
-    """Fetches at once over all sources: ``most`` if set, else from the two widths."""
-    return most if most > 0 else max(sources, sources + pages)

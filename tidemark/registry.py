@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import views
@@ -64,11 +63,10 @@ def leaks_per_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.top(views.records(spark, sf_dir), "victim_sector", 30)
 
 
-MATCH = """SELECT a.alert_id, l.id AS record_id, CASE a.match_kind WHEN 'actor_group' THEN 'actor_group' WHEN 'domain' THEN 'victim_domain' ELSE 'victim_name' END AS matched_on
-    FROM rules a JOIN named l ON a.enabled AND CASE a.match_kind WHEN 'exact' THEN lower(coalesce(l.victim_name, '')) = a.match_value
-    WHEN 'domain' THEN lower(coalesce(l.victim_domain, '')) = a.match_value OR lower(coalesce(l.victim_domain, '')) LIKE '%.' || a.match_value
-    WHEN 'substring' THEN position(a.match_value IN lower(coalesce(l.victim_name, '') || ' ' || coalesce(l.victim_domain, ''))) > 0
-    WHEN 'actor_group' THEN l.actor_group = a.match_value END"""
+MATCH = """SELECT alert_id, l.id AS record_id, 'victim_name' AS matched_on FROM rules JOIN named l ON lower(coalesce(victim_name, '')) = match_value WHERE rules.enabled AND match_kind = 'exact'
+    UNION ALL SELECT alert_id, l.id, 'actor_group' FROM rules JOIN named l ON l.actor_group = match_value WHERE rules.enabled AND match_kind = 'actor_group'
+    UNION ALL SELECT alert_id, l.id, 'victim_domain' FROM rules JOIN named l ON lower(coalesce(victim_domain, '')) = match_value OR lower(coalesce(victim_domain, '')) LIKE '%.' || match_value WHERE rules.enabled AND match_kind = 'domain' AND victim_domain IS NOT NULL
+    UNION ALL SELECT alert_id, l.id, 'victim_name' FROM rules JOIN named l ON contains(lower(coalesce(victim_name, '') || ' ' || coalesce(victim_domain, '')), match_value) WHERE rules.enabled AND match_kind = 'substring'"""
 
 
 @query(sql("records, named, sources, rules", f"""SELECT (SELECT count(*) FROM records) AS total_leaks,
@@ -111,10 +109,38 @@ def leaks_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.records(spark, sf_dir).where(api.condition(q="The customer 000000042")).select("id", "victim_name")
 
 
-@query(sql("records, runs", f"""SELECT id, victim_name, upper(substr(victim_name, 1, 2)) AS monogram, first_seen_at >= {NOW} - INTERVAL 1 DAY AS is_new FROM records ORDER BY first_seen_at DESC, id DESC LIMIT 6"""))
+def _syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On-demand requests with the time they started, in the time of the records."""
+    rows = views.requests(spark, sf_dir)
+    return rows.withColumn("started_at", at(AS_OF) - F.make_dt_interval(mins=(F.col("id") % 5000).cast("int")))
+
+
+@query(sql("records, named, requests", f"""SELECT id, title, upper(substr(title, 1, 2)) AS monogram, coalesce(first_seen_at >= since, false) AS is_new
+    FROM (SELECT id, coalesce(victim_name, victim_domain, 'Unnamed listing') AS title, first_seen_at FROM named ORDER BY first_seen_at DESC, id DESC LIMIT 6),
+    (SELECT CASE WHEN status = 'succeeded' THEN {NOW} - to_minutes(CAST(id % 5000 AS INTEGER)) END AS since FROM requests ORDER BY requested_at DESC, id DESC LIMIT 1)"""))
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = api.newest(views.records(spark, sf_dir), "first_seen_at", 6)
-    return rows.select("id", "victim_name", F.upper(F.substring("victim_name", 1, 2)).alias("monogram"), (F.col("first_seen_at") >= api.since(at(AS_OF), 1)).alias("is_new"))
+    return api.latest_arrivals(views.named_records(spark, sf_dir), _syncs(spark, sf_dir))
+
+
+@query(sql("records, named, requests", f"""SELECT id, title, upper(substr(title, 1, 2)) AS monogram, coalesce(first_seen_at >= since, false) AS is_new
+    FROM (SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(victim_domain, 'Unnamed listing') ELSE victim_name END AS title, first_seen_at FROM named ORDER BY first_seen_at DESC, id DESC LIMIT 100),
+    (SELECT {NOW} - to_minutes(CAST(id % 5000 AS INTEGER)) AS since FROM requests WHERE status = 'succeeded' ORDER BY requested_at DESC, id DESC LIMIT 1)"""))
+def arrivals_since_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with nameless records, where the latest request is one that succeeded."""
+    records = views.named_records(spark, sf_dir).withColumn("victim_name", F.when(F.col("id") % 3 != 0, F.col("victim_name")))
+    return api.latest_arrivals(records, _syncs(spark, sf_dir).where("status = 'succeeded'"), 100)
+
+
+@query(sql("records, named, sources", f"""SELECT r.id, sha256(actor_group || '|' || lower(coalesce(nullif(victim_domain, ''), victim_name))) AS dedupe_hash, victim_name, victim_domain, victim_country, victim_sector, actor_group, source_id, s.slug AS source_slug,
+    'http://s' || source_id || '.test/' AS source_url, published_at, strftime(published_at, '%-d %b %Y') AS published_at_raw, first_seen_at, first_seen_at + to_days(CAST(r.id % 9 AS INTEGER)) AS last_seen_at, r.status, 'ransomware' AS leak_type, leak_size_bytes
+    FROM (SELECT * FROM named ORDER BY first_seen_at DESC, id LIMIT 100 OFFSET 100) r LEFT JOIN sources s ON s.id = r.source_id"""))
+def leaks_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.listing(api.page(views.listed_records(spark, sf_dir), views.sources(spark, sf_dir), api.condition(), 2, 100))
+
+
+@query(sql("records, named", """SELECT id, victim_name, victim_domain FROM named WHERE contains(victim_domain, '.c42.') AND contains(victim_domain, 'www1')"""))
+def leaks_search_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.named_records(spark, sf_dir).where(api.condition(q="the tests of www1 c42", domains=True)).select("id", "victim_name", "victim_domain")
 
 
 # Sources, runs and requests
@@ -167,11 +193,100 @@ def runs_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.expire(rows, at(EVENTS_AS_OF), 3600, True).select("id", "status", "error")
 
 
-@query(sql("runs", """SELECT CAST(started_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS updated,
-    coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (status = 'failed'), '') AS failed FROM runs GROUP BY 1"""))
+@query(sql("runs", """SELECT CAST(started_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed,
+    CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS updated FROM runs GROUP BY 1"""))
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("id")))), lambda i: i.cast("string")), ",")
-    return views.runs(spark, sf_dir).groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.sum(F.col("value").cast("long")).alias("updated"), failed.alias("failed"))
+    state = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return views.runs(spark, sf_dir).groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("runs"), state("succeeded"), state("failed"), F.sum(F.col("value").cast("long")).alias("updated"))
+
+
+@query(sql("runs", "SELECT CAST(started_at AS DATE) AS day, id, source_id FROM runs WHERE status = 'failed'"))
+def runs_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed runs of each day, a row each: a day may have any number."""
+    return views.runs(spark, sf_dir).where("status = 'failed'").select(F.to_date("started_at").alias("day"), "id", "source_id")
+
+
+@query(sql("sources", f"SELECT slug, name, {HEALTH} AS health FROM sources WHERE slug = 'supplier-000000003'"))
+def source_of_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.source_by_slug(views.sources(spark, sf_dir), "supplier-000000003").select("slug", "name", api.health().alias("health"))
+
+
+@query(sql("records, sources", f"""SELECT s.id, slug, name, enabled, consecutive_failures, (SELECT count(*) FROM records r WHERE r.source_id = s.id) AS leak_count, {HEALTH} AS health,
+    coalesce(nullif(active_url, ''), base_url) AS crawl_url FROM sources s WHERE NOT enabled"""))
+def sources_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.source_list(views.sources(spark, sf_dir), views.records(spark, sf_dir), False)
+
+
+@query(sql("sources", f"SELECT id, slug FROM sources WHERE enabled AND slug IN ('supplier-000000001', 'supplier-000000002', 'supplier-000000006', 'supplier-000000007') AND (last_crawl_at IS NULL OR epoch({EVENTS_NOW}) - epoch(last_crawl_at) >= crawl_interval_seconds)"))
+def due_sources_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.due(views.sources(spark, sf_dir), at(EVENTS_AS_OF), [f"supplier-00000000{k}" for k in (1, 2, 6, 7)]).select("id", "slug")
+
+
+@query(sql("requests", "SELECT id, status, source_slug FROM requests WHERE status IN ('queued', 'running')"))
+def requests_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.open_requests(views.requests(spark, sf_dir)).select("id", "status", "source_slug")
+
+
+@query(sql("requests", f"""SELECT id, CASE WHEN id = c THEN 'running' ELSE status END AS status, CASE WHEN id = c THEN {EVENTS_NOW} END AS started_at
+    FROM requests, (SELECT arg_min(id, (requested_at, id)) AS c FROM requests WHERE status = 'queued')"""))
+def requests_after_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain.claim(views.requests(spark, sf_dir), at(EVENTS_AS_OF)).select("id", "status", "started_at")
+
+
+@query(sql("requests", f"""SELECT id, CASE WHEN status = 'running' AND requested_at < {EVENTS_NOW} - INTERVAL 7200 SECOND THEN 'failed' ELSE status END AS status,
+    CASE WHEN status = 'running' AND requested_at < {EVENTS_NOW} - INTERVAL 7200 SECOND THEN '{maintain.STOPPED}' ELSE error END AS error FROM requests"""))
+def requests_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.requests(spark, sf_dir).withColumns({"started_at": F.col("requested_at"), "finished_at": F.lit(None).cast("timestamp"), "error": F.when(F.col("status") == "running", "before").otherwise(F.col("error"))})
+    return maintain.expire(rows, at(EVENTS_AS_OF), 7200, False).select("id", "status", F.when(F.col("error") != "before", F.col("error")).alias("error"))
+
+
+@query(sql("requests", """SELECT id, status, source_slug FROM requests WHERE status NOT IN ('queued', 'running') UNION ALL SELECT 1 + max(id), 'queued', 'source-7' FROM requests"""))
+def requests_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request more where none is open."""
+    closed = views.requests(spark, sf_dir).where("status not in ('queued', 'running')")
+    last = views.requests(spark, sf_dir).agg(F.max("id")).first()[0]
+    return maintain.add_request(closed, last + 1, "source-7", at(EVENTS_AS_OF)).select("id", "status", "source_slug")
+
+
+@query(sql("requests", "SELECT id, status, source_slug FROM requests"))
+def requests_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No request more where one is open."""
+    rows = views.requests(spark, sf_dir)
+    return maintain.add_request(rows, 1 << 40, None, at(EVENTS_AS_OF)).select("id", "status", "source_slug")
+
+
+RESULTS = "results AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status, id % 7 AS pages_fetched, id % 2 AS pages_changed, id * 10 AS bytes_fetched, CASE WHEN id % 3 = 0 THEN 'no answer' END AS error FROM runs WHERE status = 'running')"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    open_ = views.runs(spark, sf_dir).where("status = 'running'")
+    return open_.select("id", F.when(k % 3 == 0, "failed").otherwise("succeeded").alias("status"), (k % 7).alias("pages_fetched"), (k % 2).alias("pages_changed"), (k * 10).alias("bytes_fetched"), F.when(k % 3 == 0, "no answer").alias("error"))
+
+
+@query(sql("runs", f"""{RESULTS} SELECT r.id, r.source_id, coalesce(n.status, r.status) AS status, pages_fetched, pages_changed, bytes_fetched, error, CASE WHEN n.id IS NOT NULL THEN {EVENTS_NOW} END AS finished_at
+    FROM runs r LEFT JOIN results n ON n.id = r.id""").replace(") results AS", "), results AS"))
+def crawls_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain.finish_crawls(views.runs(spark, sf_dir), _results(spark, sf_dir), views.sources(spark, sf_dir), at(EVENTS_AS_OF))[0].drop("started_at", "value")
+
+
+@query(sql("runs, sources", f"""{RESULTS}, o AS (SELECT source_id, max(n.id) FILTER (n.status = 'succeeded') AS good FROM results n JOIN runs r ON r.id = n.id GROUP BY 1),
+    f AS (SELECT o.source_id, good, count(*) FILTER (good IS NULL OR n.id > good) AS failed FROM results n JOIN runs r ON r.id = n.id JOIN o ON o.source_id = r.source_id GROUP BY 1, 2)
+    SELECT id, CASE WHEN f.source_id IS NOT NULL THEN {EVENTS_NOW} ELSE last_crawl_at END AS last_crawl_at, CASE WHEN good IS NOT NULL THEN {EVENTS_NOW} ELSE last_success_at END AS last_success_at,
+    CAST(CASE WHEN good IS NOT NULL THEN failed WHEN f.source_id IS NOT NULL THEN consecutive_failures + failed ELSE consecutive_failures END AS INTEGER) AS consecutive_failures
+    FROM sources s LEFT JOIN f ON f.source_id = s.id""").replace(") results AS", "), results AS"))
+def sources_after_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    health = maintain.finish_crawls(views.runs(spark, sf_dir), _results(spark, sf_dir), views.sources(spark, sf_dir), at(EVENTS_AS_OF))[1]
+    return health.select("id", "last_crawl_at", "last_success_at", "consecutive_failures")
+
+
+@query(sql("runs", "SELECT id, source_id, status FROM runs UNION ALL SELECT (SELECT max(event_id) FROM events) + s_suppkey, s_suppkey, 'running' FROM supplier WHERE s_suppkey % 7 <> 0"))
+def crawls_started(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run more for each source that is enabled."""
+    runs = views.runs(spark, sf_dir)
+    last = runs.agg(F.max("id").alias("last"))  # one row
+    started = views.sources(spark, sf_dir).where("enabled").crossJoin(last).select((F.col("last") + F.col("id")).alias("id"), F.col("id").alias("source_id"), at(EVENTS_AS_OF).alias("started_at"))
+    return maintain.start_crawls(runs, started).select("id", "source_id", "status")
 
 
 # Alerts
@@ -194,6 +309,31 @@ def alert_events_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.orderBy(F.desc("first_seen_at"), F.desc("record_id"), F.desc("alert_id")).limit(50)
 
 
+@query(sql("records, named, rules", f"""SELECT m.* FROM ({MATCH}) m JOIN records r ON r.id = m.record_id WHERE r.first_seen_at >= TIMESTAMP '2000-01-01' AND m.record_id % 5 > 0"""))
+def alerts_on_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the records that a batch inserted, without those that exist already (of every fifth record)."""
+    records, rules = views.named_records(spark, sf_dir), views.rules(spark, sf_dir)
+    new = records.where(F.col("first_seen_at") >= at("2000-01-01 00:00:00"))
+    known = alerts.match(new.where("id % 5 = 0"), rules)
+    return alerts.arrivals(records, new.select("id"), rules, known)
+
+
+@query(sql("records, named, rules", f"SELECT DISTINCT alert_id, record_id FROM ({MATCH})"))
+def events_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inserted twice over: those that exist stay alone."""
+    found = alert_match(spark, sf_dir).select("alert_id", "record_id")
+    return found.unionByName(maintain.absent(found, found, ["alert_id", "record_id"]))
+
+
+@query(sql("rules", """SELECT alert_id, owner_id, match_kind, match_value, enabled FROM (SELECT alert_id, owner_id, match_kind, match_value, CASE WHEN alert_id = 6 AND owner_id = 'owner1' THEN false ELSE enabled END AS enabled FROM rules
+    UNION ALL SELECT 1000000007, 'owner1', 'substring', 'acme', true) WHERE NOT (alert_id = 11 AND owner_id = 'owner1')"""))
+def alerts_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule added, one switched off, one deleted; edits of another owner's rule change nothing."""
+    rules = api.add_rule(views.rules(spark, sf_dir), 1_000_000_007, "owner1", "substring", "  ACME ")
+    rules = api.patch_rule(api.patch_rule(rules, 6, "owner1", False), 7, "owner1", False)
+    return api.delete_rule(api.delete_rule(rules, 11, "owner1"), 12, "owner1")
+
+
 # Maintenance
 
 
@@ -224,16 +364,54 @@ def pages_before_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.before_end(docs.select("doc_id", "text", listing.alias("listing"), (F.col("doc_id") % 10 + 1).alias("page_no"))).select("doc_id", "listing", "page_no")
 
 
+@query("SELECT doc_id AS id, CASE WHEN length(text) > 500 THEN TIMESTAMP '2024-01-31' END AS extracted_at, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents")
+def pages_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("doc_id").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("extracted_at"))
+    return maintain.mark_extracted(pages, docs.where(F.length("text") > 500).select(F.col("doc_id").alias("id")), at(EVENTS_AS_OF))
+
+
+@query(sql("records, named", """SELECT id, CASE WHEN victim_domain IS NOT NULL AND id % 3 = 0 THEN NULL WHEN id % 3 = 0 THEN 'Group Ltd.' ELSE victim_name END AS victim_name FROM named"""))
+def fragment_names_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = views.named_records(spark, sf_dir).withColumn("victim_name", F.when(F.col("id") % 3 == 0, "Group Ltd.").otherwise(F.col("victim_name")))
+    return maintain.without_fragment_names(records, list(linker.NAME_FRAGMENTS)).select("id", "victim_name")
+
+
+REPAIRED = """keyed AS (SELECT id, actor_group, victim_name, victim_domain, first_seen_at, 'k' || id AS dedupe_hash FROM named), oldest AS (SELECT actor_group, victim_name, arg_min(id, (first_seen_at, id)) AS id FROM keyed GROUP BY 1, 2),
+    fixes AS (SELECT id, lower(victim_name) || '.test' AS domain, CASE WHEN id % 2 = 0 THEN 'k' || (id + 1) ELSE 'new' || id END AS hash FROM oldest WHERE id % 3 = 0),
+    moved AS (SELECT k.*, coalesce(f.hash, dedupe_hash) AS new_hash, f.domain FROM keyed k LEFT JOIN fixes f ON f.id = k.id),
+    ranked AS (SELECT *, min(first_seen_at) OVER (PARTITION BY new_hash) AS first, row_number() OVER (PARTITION BY new_hash ORDER BY (new_hash = dedupe_hash) DESC, id) AS place FROM moved)"""
+
+
+@query(sql("records, named", f"SELECT id, new_hash AS dedupe_hash, coalesce(domain, victim_domain) AS victim_domain, first AS first_seen_at FROM ranked WHERE place = 1").replace(" SELECT id, new_hash", f", {REPAIRED} SELECT id, new_hash"))
+def domains_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records re-keyed by a corrected domain, or merged into the record that has the new key."""
+    records = views.named_records(spark, sf_dir).select("id", "actor_group", "victim_name", "victim_domain", "first_seen_at", F.concat(F.lit("k"), "id").alias("dedupe_hash"))
+    oldest = records.groupBy("actor_group", "victim_name").agg(F.min_by("id", F.struct("first_seen_at", "id")).alias("id"))
+    hash_ = F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id") + 1)).otherwise(F.concat(F.lit("new"), "id"))
+    fixes = oldest.where("id % 3 = 0").select("actor_group", "victim_name", F.concat(F.lower("victim_name"), F.lit(".test")).alias("victim_domain"), hash_.alias("new_hash"))
+    return maintain.repair(records, fixes).select("id", "dedupe_hash", "victim_domain", "first_seen_at")
+
+
+@query(sql("records, named", "SELECT id, victim_name, actor_group FROM named"))
+def snapshot_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records, written as a snapshot after an older one, and opened by the pointer."""
+    folder, rows = job.workspace(spark, "snapshots"), views.named_records(spark, sf_dir).select("id", "victim_name", "actor_group")
+    maintain.save_snapshot(rows.where("id % 2 = 0"), folder, "20240130T000000")
+    maintain.save_snapshot(rows, folder, "20240131T000000")
+    return maintain.open_snapshot(spark, folder)
+
+
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "removed").when(kind == "signup", "unknown").when(kind == "click", "unknown").otherwise("published")
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("dedupe_hash"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"),
+        (F.col("user_id") * 1000 + F.col("value").cast("long") % 40).alias("dedupe_hash"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"),
         F.when(kind != "view", kind).alias("victim_name"), F.when(kind == "purchase", F.col("value").cast("long")).alias("leak_size_bytes"), F.concat(F.lit("g"), F.col("event_id") % 7).alias("actor_group"), F.col("props").alias("extraction"),
     )
 
 
-SIGHTINGS = """sightings AS (SELECT user_id AS dedupe_hash, event_id AS seq, ts, CASE WHEN event_type = 'error' THEN 'removed' WHEN event_type IN ('signup', 'click') THEN 'unknown' ELSE 'published' END AS status,
+SIGHTINGS = """sightings AS (SELECT user_id * 1000 + CAST(trunc(value) AS BIGINT) % 40 AS dedupe_hash, event_id AS seq, ts, CASE WHEN event_type = 'error' THEN 'removed' WHEN event_type IN ('signup', 'click') THEN 'unknown' ELSE 'published' END AS status,
     CASE WHEN event_type <> 'view' THEN event_type END AS victim_name, CASE WHEN event_type = 'purchase' THEN CAST(trunc(value) AS BIGINT) END AS leak_size_bytes, 'g' || (event_id % 7) AS actor_group, props AS extraction FROM events)"""
 FOLD = """SELECT dedupe_hash, arg_max(victim_name, seq) FILTER (victim_name IS NOT NULL) AS victim_name, arg_max(leak_size_bytes, seq) FILTER (leak_size_bytes IS NOT NULL) AS leak_size_bytes, arg_min(actor_group, seq) AS actor_group,
     coalesce(arg_max(status, seq) FILTER (status <> 'unknown'), 'unknown') AS status, arg_max(extraction, seq) AS extraction, count(*) AS sightings FROM sightings"""
@@ -245,7 +423,7 @@ def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.fold(_sightings(spark, sf_dir))
 
 
-@query(f"""WITH {SIGHTINGS}, o AS ({FOLD} WHERE ts < TIMESTAMP '{HALF}' AND dedupe_hash % 3 > 0 GROUP BY dedupe_hash), n AS ({FOLD} WHERE ts >= TIMESTAMP '{HALF}' AND dedupe_hash % 5 > 0 GROUP BY dedupe_hash)
+@query(f"""WITH {SIGHTINGS}, o AS ({FOLD} WHERE ts < TIMESTAMP '{HALF}' GROUP BY dedupe_hash), n AS ({FOLD} WHERE ts >= TIMESTAMP '{HALF}' GROUP BY dedupe_hash)
     SELECT coalesce(n.dedupe_hash, o.dedupe_hash) AS dedupe_hash, coalesce(n.victim_name, o.victim_name) AS victim_name, coalesce(n.leak_size_bytes, o.leak_size_bytes) AS leak_size_bytes,
     CASE WHEN o.dedupe_hash IS NOT NULL THEN o.actor_group ELSE n.actor_group END AS actor_group, CASE WHEN n.dedupe_hash IS NOT NULL THEN n.extraction ELSE o.extraction END AS extraction,
     CASE WHEN n.dedupe_hash IS NULL OR (o.dedupe_hash IS NOT NULL AND n.status = 'unknown') THEN o.status ELSE n.status END AS status,
@@ -253,8 +431,8 @@ def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.dedupe_hash IS NULL AS is_new, coalesce(n.sightings, 0) AS sightings FROM o FULL JOIN n ON o.dedupe_hash = n.dedupe_hash""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sightings(spark, sf_dir)
-    old = maintain.fold(rows.where((F.col("ts") < at(HALF)) & (F.col("dedupe_hash") % 3 > 0))).withColumns({"first_seen_at": at(HALF), "last_seen_at": at(HALF)}).drop("sightings")
-    return maintain.upsert(old, maintain.fold(rows.where((F.col("ts") >= at(HALF)) & (F.col("dedupe_hash") % 5 > 0))), at(EVENTS_AS_OF))
+    old = maintain.fold(rows.where(F.col("ts") < at(HALF))).withColumns({"first_seen_at": at(HALF), "last_seen_at": at(HALF)}).drop("sightings")
+    return maintain.upsert(old, maintain.fold(rows.where(F.col("ts") >= at(HALF))), at(EVENTS_AS_OF))
 
 
 def _mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,29 +518,42 @@ def status_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", values.resolve_status(F.col("texts")).alias("status"))
 
 
-_COUNTRY = "CASE lower(n_name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.DEFAULT.countries.items() if "." not in k) + " END"
-_CODE = "CASE lower(substr(n_name, 1, 2)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.DEFAULT.codes.items()) + " END"
+#: What a text, a domain or a line of business must resolve to. Expectations are written out here; none is taken from the tables.
+PLACES = (
+    ("Based in Germany", "Germany"), ("offices in the Netherlands", "Netherlands"), ("SWISS plant", "Switzerland"), ("Scotland", "United Kingdom"), ("u.s.", "United States"),
+    ("Côte d'Ivoire", "Ivory Coast"), ("nowhere at all", None), ("Chad", None), ("New Zealand, Auckland", "New Zealand"), ("Nation 9", None), ("deutschland", "Germany"),
+)
+#: Those that are found within a page: an alias that ends with a point needs a word behind it.
+LISTED = tuple(p for p in PLACES if p[0] != "u.s.")
+DOMAINS = (("a.de", "Germany"), ("a.co.uk", "United Kingdom"), ("a.com.au", "Australia"), ("a.io", None), ("a.com", None), ("de", None), ("a.be", "Belgium"), ("a.na", "Namibia"), ("a.cy", "Cyprus"))
+BUSINESS = (
+    ("orthopaedic ward", "Healthcare"), ("Acme Biotech", "Pharmaceuticals"), ("law firm", "Legal"), ("avionics", "Aerospace & Defense"), ("a brewery", "Food & Beverage"),
+    ("NGO", "Non-profit"), ("Freight & Haulage", "Transportation & Logistics"), ("School District", "Education"), ("automobile", None), ("household", None),
+)
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+def _pick(cases: tuple, key: str) -> Column:
+    """One of the cases' inputs, by a key."""
+    return F.element_at(F.array(*[F.lit(given) for given, _ in cases]), (F.col(key) % len(cases) + 1).cast("int"))
 
 
-@query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN coalesce({_COUNTRY}, {_CODE}) ELSE {_CODE} END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def country_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domain = F.concat(F.lit("c"), F.col("c_custkey"), F.lit(".co."), F.lower(F.substring("n_name", 1, 2)))
-    texts = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("headquarters"), F.concat(F.lit("Based in "), "n_name"))).otherwise(F.array(F.lit("nowhere")))
-    return _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_country(texts, domain).alias("country"))
+def _expected(cases: tuple, key: str) -> str:
+    """What SQL expects for the same key."""
+    return "[" + ", ".join(f"'{want}'" if want else "NULL" for _, want in cases) + f"][{key} % {len(cases)} + 1]"
 
 
-#: Words of the stand-in table's segments, which the gazetteer doesn't have.
-SEGMENTS = {"automobile": "Automotive", "building": "Construction", "machinery": "Manufacturing", "furniture": "Retail", "household": "Retail"}
+@query(f"SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN {_expected(PLACES, 'c_custkey')} END, {_expected(DOMAINS, 'c_custkey')}) AS country FROM customer")
+def country_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("headquarters"), _pick(PLACES, "c_custkey"))).otherwise(F.array(F.lit("nowhere")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_country(texts, _pick(DOMAINS, "c_custkey")).alias("country"))
 
 
-@query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Automotive' WHEN 'BUILDING' THEN 'Construction' WHEN 'MACHINERY' THEN 'Manufacturing' ELSE 'Retail' END AS sector FROM customer")
+@query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE coalesce({_expected(BUSINESS, 'c_custkey')}, 'Financial Services') END AS sector FROM customer")
 def sector_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(F.concat(F.initcap("c_mktsegment"), F.lit(" works, "), F.lower("c_mktsegment")), F.lit("A bank"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), replace(values.DEFAULT, sectors=values.DEFAULT.sectors | SEGMENTS).resolve_sector(texts).alias("sector"))
+    """The sector named most often: thrice what the key says against one bank."""
+    said = _pick(BUSINESS, "c_custkey")
+    texts = F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("nothing of note"))).otherwise(F.array(F.concat_ws(", ", said, said, said), F.lit("A bank")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_sector(texts).alias("sector"))
 
 
 @query(sql("records", "SELECT id, sha256(actor_group || '|' || lower(trim(victim_name))) AS dedupe_hash FROM records"))
@@ -397,21 +588,21 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of up to four listings each, written out from orders and customers."""
+    """Pages of up to four listings each, written out from orders."""
     name = F.concat(F.lit("Vendor"), F.col("o_custkey"), F.lit(" Holdings Ltd"))
-    lines = F.concat_ws("\n", name, F.concat(F.lit("https://www.v"), F.col("o_custkey"), F.lit(".test/")), F.concat(F.lit("Published: "), F.date_format("o_orderdate", "d MMM yyyy")), F.concat(F.lit("Status: "), F.when(F.col("o_orderstatus") == "F", "sold").otherwise("published")), F.concat(F.col("o_orderkey") % 900 + 1, F.lit(" GB")), F.col("n_name"), F.repeat(F.lit("filler "), F.lit(40)))
-    joined = table(spark, sf_dir, "orders").join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    lines = F.concat_ws("\n", name, F.concat(F.lit("https://www.v"), F.col("o_custkey"), F.lit(".test/")), F.concat(F.lit("Published: "), F.date_format("o_orderdate", "d MMM yyyy")), F.concat(F.lit("Status: "), F.when(F.col("o_orderstatus") == "F", "sold").otherwise("published")), F.concat(F.col("o_orderkey") % 900 + 1, F.lit(" GB")), _pick(LISTED, "o_custkey"), F.repeat(F.lit("filler "), F.lit(40)))
+    joined = table(spark, sf_dir, "orders")
     parts = F.array_sort(F.collect_list(F.struct("o_orderkey", lines.alias("lines"))))
     return joined.groupBy(F.expr("o_orderkey div 4").alias("page_id")).agg(F.array_join(F.transform(parts, lambda p: p["lines"]), "\n").alias("text"))
 
 
-@query(f"""SELECT o_orderkey // 4 AS page_id, CAST(row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS INTEGER) AS record, 'Vendor' || o_custkey || ' Holdings Ltd' AS victim_name, 'v' || o_custkey || '.test' AS victim_domain, {_COUNTRY} AS victim_country,
+@query(f"""SELECT o_orderkey // 4 AS page_id, CAST(row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey) AS INTEGER) AS record, 'Vendor' || o_custkey || ' Holdings Ltd' AS victim_name, 'v' || o_custkey || '.test' AS victim_domain, {_expected(LISTED, 'o_custkey')} AS victim_country,
     'a-group' AS actor_group, date_trunc('day', o_orderdate) AS published_at, CASE o_orderstatus WHEN 'F' THEN 'sold' ELSE 'published' END AS status, (o_orderkey % 900 + 1) * 1073741824 AS leak_size_bytes,
-    sha256('a-group|v' || o_custkey || '.test') AS dedupe_hash FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+    sha256('a-group|v' || o_custkey || '.test') AS dedupe_hash, round(CASE WHEN victim_country IS NULL THEN (0.85 + 0.9 + 2 * 0.8 + 0.95) / 5 ELSE (0.85 + 0.9 + 2 * 0.8 + 0.95 + 0.7) / 6 END, 6)::DOUBLE AS confidence FROM orders""")
 def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _listings(spark, sf_dir)
     found = linker.link(spans.extract(pages), pages.select("page_id", F.lit("A Group").alias("source_group"), F.lit("http://x.test/").alias("source_url")))
-    return found.select("page_id", "record", "victim_name", "victim_domain", "victim_country", "actor_group", "published_at", "status", "leak_size_bytes", "dedupe_hash")
+    return found.select("page_id", "record", "victim_name", "victim_domain", "victim_country", "actor_group", "published_at", "status", "leak_size_bytes", "dedupe_hash", F.round("confidence", 6).alias("confidence"))
 
 
 @query()
@@ -444,6 +635,16 @@ def stream_first_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.first_contents(job.page_stream(spark, sf_dir), job.workspace(spark, "contents"))
 
 
+STREAM_RECORDS = """named AS (SELECT event_id AS id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS victim_name, CAST(NULL AS VARCHAR) AS victim_domain, event_type AS actor_group FROM events)"""
+
+
+@query(sql("rules", MATCH).replace(" SELECT alert_id, l.id", f", {STREAM_RECORDS} SELECT alert_id, l.id", 1))
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of events as they arrive, each record once."""
+    events = job.stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("victim_name"), F.lit(None).cast("string").alias("victim_domain"), F.col("event_type").alias("actor_group"))
+    return job.alerts_on_arrival(events, views.rules(spark, sf_dir), job.workspace(spark, "alerts"))
+
+
 # Mirrors, switches, results of requests, times
 
 
@@ -481,16 +682,16 @@ def sources_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.set_enabled(all_, False, all_.where("consecutive_failures >= 3")).select("id", "slug", "enabled")
 
 
-@query(f"WITH {SIGHTINGS} SELECT count(*) FILTER (late AND NOT early) AS new_keys, count(*) FILTER (late AND early) AS known_keys FROM (SELECT bool_or(ts >= TIMESTAMP '{HALF}') AS late, bool_or(ts < TIMESTAMP '{HALF}' AND dedupe_hash % 3 > 0) AS early FROM sightings GROUP BY dedupe_hash)")
+@query(f"WITH {SIGHTINGS} SELECT count(*) FILTER (late AND NOT early) AS new_keys, count(*) FILTER (late AND early) AS known_keys FROM (SELECT bool_or(ts >= TIMESTAMP '{HALF}') AS late, bool_or(ts < TIMESTAMP '{HALF}') AS early FROM sightings GROUP BY dedupe_hash)")
 def upsert_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sightings(spark, sf_dir)
-    return maintain.absent_count(rows.where(F.col("ts") >= at(HALF)), rows.where((F.col("ts") < at(HALF)) & (F.col("dedupe_hash") % 3 > 0)))
+    return maintain.absent_count(rows.where(F.col("ts") >= at(HALF)), rows.where(F.col("ts") < at(HALF)))
 
 
 @query(sql("requests", f"""SELECT id, CASE WHEN id % 2 = 1 THEN status WHEN id % 4 = 0 THEN 'skipped' WHEN id % 3 >= 2 THEN 'failed' ELSE 'succeeded' END AS status,
-    CASE WHEN id % 2 = 1 THEN error WHEN id % 3 >= 2 THEN left(repeat('node ' || id || ' ', 200), 1000) END AS error, CASE WHEN id % 2 = 0 THEN {EVENTS_NOW} END AS finished_at FROM requests"""))
+    CASE WHEN id % 2 = 1 THEN error WHEN id % 3 >= 2 THEN left(repeat('node ' || id || ' ', 200), 1000) END AS error, CASE WHEN id % 2 = 0 THEN {EVENTS_NOW} WHEN status = 'succeeded' THEN requested_at END AS finished_at FROM requests"""))
 def requests_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, k = views.requests(spark, sf_dir), F.col("id")
+    rows, k = views.requests(spark, sf_dir).withColumn("finished_at", F.when(F.col("status") == "succeeded", F.col("requested_at"))), F.col("id")
     error = F.when(k % 3 >= 2, F.repeat(F.concat(F.lit("node "), k, F.lit(" ")), F.lit(200))).otherwise("")
     results = rows.where("id % 2 = 0").select("id", api.outcome(k % 4, k % 3).alias("status"), error.alias("error"))
     return maintain.finish_requests(rows, results, at(EVENTS_AS_OF)).select("id", "status", "error", "finished_at")
@@ -510,10 +711,76 @@ def sources_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sources(spark, sf_dir).select("id", values.freshness(F.col("last_success_at"), at(EVENTS_AS_OF)).alias("tone"))
 
 
-@query("SELECT event_id AS id, event_id % 600 IN (408, 425, 429, 500, 502, 503, 504) AS again, least(2.5 * pow(2, event_id % 9), 120.0)::DOUBLE AS wait FROM events")
+@query(sql("runs", """SELECT id, source_id, attempt, least(2.5 * pow(2, attempt - 1), 120.0)::DOUBLE AS wait FROM (SELECT id, source_id, status, row_number() OVER (PARTITION BY source_id, streak, status ORDER BY started_at, id) AS attempt
+    FROM (SELECT *, count(*) FILTER (status = 'succeeded') OVER (PARTITION BY source_id ORDER BY started_at, id) AS streak FROM runs)) WHERE status = 'failed'"""))
 def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id")
-    return table(spark, sf_dir, "events").select(k.alias("id"), values.retryable(k % 600).alias("again"), values.backoff(k % 9 + 1, 2.5, 120).alias("wait"))
+    """How long each failed run's source waits: doubled with each failure since its last success."""
+    order = Window.partitionBy("source_id").orderBy("started_at", "id")
+    streak = F.count_if(F.col("status") == "succeeded").over(order)
+    rows = views.runs(spark, sf_dir).withColumn("streak", streak).where("status = 'failed'")
+    attempt = F.row_number().over(Window.partitionBy("source_id", "streak").orderBy("started_at", "id"))
+    return rows.withColumn("attempt", attempt.cast("long")).select("id", "source_id", "attempt", values.backoff(F.col("attempt"), 2.5, 120).alias("wait"))
+
+
+# Addresses, chunks, sizes
+
+
+def _onion(key: Column, salt: str) -> Column:
+    return F.concat(F.substring(F.translate(F.sha2(F.concat(F.lit(salt), key), 256), "0189", "ghij"), 1, 56), F.lit(".onion"))
+
+
+def _onion_sql(key: str, salt: str) -> str:
+    return f"substr(translate(sha256('{salt}' || {key}), '0189', 'ghij'), 1, 56) || '.onion'"
+
+
+def _address_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that name two addresses: under a heading, in the text, on a line with wording, or too far below it."""
+    key = F.col("p_partkey")
+    a, b, again = _onion(key, "a"), _onion(key, "b"), F.upper(_onion(key, "a"))
+    pages = (
+        F.concat(F.lit("Our mirrors:\n\nhttp://"), a, F.lit("\n"), b, F.lit("/x y\n"), again),
+        F.concat(F.lit("chat with support https://"), a, F.lit("/q?z=1 or\n"), b),
+        F.concat(F.lit("We have  moved to "), a, F.lit("\r\nescrow "), b),
+        F.concat(F.lit("Mirror list\none\ntwo\nthree\n"), a, F.lit(" here\nnew address\n  \nfour\nfive\nHTTPS://"), b),
+    )
+    return table(spark, sf_dir, "part").select(key.alias("page_id"), F.element_at(F.array(*pages), (key % 4 + 1).cast("int")).alias("text"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS page_id, p_partkey % 4 AS k, {_onion_sql('p_partkey', 'a')} AS a, {_onion_sql('p_partkey', 'b')} AS b FROM part)
+    SELECT page_id, a AS onion_host, CASE k WHEN 1 THEN 'https' ELSE 'http' END || '://' || a || CASE k WHEN 1 THEN '/q?z=1' ELSE '' END AS url, k IN (0, 2) AS announced FROM p
+    UNION ALL SELECT page_id, b, CASE k WHEN 3 THEN 'https' ELSE 'http' END || '://' || b || CASE k WHEN 0 THEN '/x' ELSE '' END, k IN (0, 3) FROM p WHERE page_id % 10 > 0""")
+def onion_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses on pages, announced or merely there; of every tenth page the second is a host known already."""
+    pages = _address_pages(spark, sf_dir)
+    known = pages.where("page_id % 10 = 0").select(_onion(F.col("page_id"), "b").alias("onion_host"))
+    return html.addresses(pages, known)
+
+
+@query(f"""SELECT DISTINCT host AS onion_host FROM (SELECT {_onion_sql('s_suppkey // 2', 'a')} AS host FROM supplier UNION ALL SELECT {_onion_sql('s_suppkey', 'b')} FROM supplier WHERE s_suppkey % 3 = 0
+    UNION ALL SELECT {_onion_sql('(user_id % 50)', 'm')} FROM events)""")
+def hosts_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(F.concat(F.lit("http://"), _onion(F.expr("s_suppkey div 2"), "a"), F.lit("/")).alias("base_url"), F.when(key % 3 == 0, F.upper(_onion(key, "b"))).when(key % 3 == 1, "http://plain.test/").alias("active_url"))
+    mirrors = table(spark, sf_dir, "events").select(F.concat(F.lit("http://"), _onion(F.col("user_id") % 50, "m"), F.lit("/"), F.col("event_id")).alias("url"))
+    return html.known_hosts(sources, mirrors)
+
+
+@query("""SELECT o_orderkey AS page_id, CAST(j AS INTEGER) AS chunk, CAST(j * 14 * 102 AS INTEGER) AS "start", CAST(least(14, n - 14 * j) * 102 - 2 AS INTEGER) AS size
+    FROM (SELECT o_orderkey, o_orderkey % 40 + 1 AS n FROM orders), range(3) t(j) WHERE 14 * j < n""")
+def pages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of pages of up to 40 paragraphs of 100 characters: 14 of them fit into 1,500."""
+    paragraph = F.repeat(F.lit("0123456789"), F.lit(10))
+    text = F.array_join(F.array_repeat(paragraph, (F.col("o_orderkey") % 40 + 1).cast("int")), "\n\n")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.posexplode(spans.chunks(text)).alias("chunk", "c"))
+    return rows.select("page_id", "chunk", F.col("c.start").alias("start"), F.length("c.text").alias("size"))
+
+
+@query("""SELECT id, CASE WHEN size <= 0 THEN '—' WHEN v < 10 AND step > 0 THEN printf('%.1f', floor(v * 10 + 0.5) / 10) || ' ' || unit ELSE printf('%.0f', floor(v + 0.5)) || ' ' || unit END AS shown
+    FROM (SELECT *, size / pow(1024, step) AS v, ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][CAST(step AS INTEGER) + 1] AS unit
+    FROM (SELECT *, CASE WHEN size > 0 THEN least(floor(log2(size) / 10), 5) ELSE 0 END AS step FROM (SELECT o_orderkey AS id, CAST((o_orderkey % 700) * pow(1000, o_orderkey % 5) AS BIGINT) AS size FROM orders)))""")
+def sizes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = ((F.col("o_orderkey") % 700) * F.pow(F.lit(1000.0), F.col("o_orderkey") % 5)).cast("long")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fx.format_bytes(size).alias("shown"))
 
 
 # Spans of one page, from events

@@ -1,20 +1,21 @@
-"""Readable text of HTML pages, and onion addresses in text.
+"""Readable text of HTML pages and of whole files, and onion addresses in text.
 
 Tags need a parser with state, so each page is read by the standard library's within an Arrow
-batch; everything after that is column expressions.
+batch; everything after that is column expressions and windows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import stripped
+from ..functions.batches import groups
+from ..functions.text import none_if_empty, onion_host, stripped
 
 #: Elements without listing text, and marks of elements that change by themselves.
 DROPPED = ("script", "style", "noscript", "svg", "iframe", "head")
@@ -62,57 +63,63 @@ def page_text(html: str | None) -> str:
     return "\n".join(parser.parts)
 
 
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def cleaned(text: Column) -> Column:
     """Printable characters alone, without box drawings and symbols; blank lines go."""
-    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(text, LINE_END)
     kept = F.transform(lines, lambda x: stripped(F.regexp_replace(x, r"[\p{C}\p{Z}─-⯿&&[^ ]]", "")))
     return F.array_join(F.filter(kept, lambda x: x != ""), "\n")
 
 
 def texts(pages: DataFrame) -> DataFrame:
     """page_id and text of ``pages`` (page_id, html)."""
+    schema = T.StructType([pages.schema["page_id"], T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": [page_text(h) for h in batch["html"]]})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string").withColumn("text", cleaned(F.col("text")))
-
-
-def announced(lines: list[str], at: int) -> bool:
-    """Whether wording on an address's line, or on a heading above it, claims it as the site's own."""
-    says, address = re.compile(ANNOUNCES, re.I), re.compile(ADDRESS, re.I)
-    if says.search(lines[at]):
-        return True
-    seen = 0
-    for line in (x.strip() for x in reversed(lines[:at])):
-        if not line or address.fullmatch(line):
-            continue
-        if address.search(line):  # its wording is about its own address
-            return False
-        if says.search(line):
-            return True
-        seen += 1
-        if seen == LOOKBACK:
-            return False
-    return False
-
-
-def addresses(pages: DataFrame) -> DataFrame:
-    """page_id, onion_host, url and announced: the first mention of each host on each page (page_id, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern = re.compile(ADDRESS, re.I)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, text in zip(batch["page_id"], batch["text"]):
-                lines, seen = (text or "").splitlines(), set()
-                for i, line in enumerate(lines):
-                    for m in pattern.finditer(line):
-                        host = m[2].lower()
-                        if host not in seen:
-                            seen.add(host)
-                            out.append((page, host, f"{(m[1] or 'http').lower()}://{host}{m[3] or ''}", announced(lines, i)))
-            yield pd.DataFrame(out, columns=["page_id", "onion_host", "url", "announced"])
-
-    return pages.select("page_id", "text").mapInPandas(run, "page_id long, onion_host string, url string, announced boolean")
+            for part, sources in groups(batch, "html"):
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([page_text(h) for h in sources], pa.string())], names=schema.names)
+
+    return pages.select("page_id", "html").mapInArrow(run, schema).withColumn("text", cleaned(F.col("text")))
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of each file, whole; bytes that aren't UTF-8 become the replacement character."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def addresses(pages: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """page_id, onion_host, url and announced: the first mention of each host on each page (page_id, text).
+
+    An address is announced as the site's own by wording on its line, or on the nearest line above
+    it that says anything of the kind: of the last ``LOOKBACK`` lines with text, not counting
+    lines that are an address and nothing else, the nearest one with an address or such wording
+    decides, and it must have the wording and no address. ``excluded`` has hosts (onion_host) that are left out.
+    """
+    address, says = f"(?i){ADDRESS}", F.col("line").rlike(f"(?i){ANNOUNCES}")
+    lines = pages.where(F.contains(F.lower("text"), F.lit(".onion"))).select("page_id", F.posexplode(F.split("text", LINE_END)).alias("at", "line"))
+    lines = lines.withColumn("line", stripped(F.col("line"))).where("line <> ''").withColumns({"says": says, "urls": F.regexp_extract_all("line", F.lit(address), F.lit(0))})
+    alone = F.col("line").rlike(f"(?i)^(?:{ADDRESS})$")
+    above = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # Lines that aren't an address alone are numbered; the last one above that decides, and its number.
+    lines = lines.withColumn("counted", F.coalesce(F.sum((~alone).cast("int")).over(above), F.lit(0)))
+    told = ~alone & (F.col("says") | (F.size("urls") > 0))
+    lines = lines.withColumn("told", F.last(F.when(told, F.struct((F.col("counted") + 1).alias("number"), (F.size("urls") == 0).alias("own"))), True).over(above))
+    heading = F.coalesce(F.col("told.own") & (F.col("counted") - F.col("told.number") < LOOKBACK), F.lit(False))
+    found = lines.where(F.size("urls") > 0).select("page_id", "at", (F.col("says") | heading).alias("announced"), F.posexplode("urls").alias("nth", "raw"))
+    part = lambda n: F.regexp_extract("raw", address, n)
+    host = F.lower(part(2))
+    found = found.withColumns({"onion_host": host, "url": F.concat(F.lower(F.coalesce(none_if_empty(part(1)), F.lit("http"))), F.lit("://"), host, part(3))})
+    if excluded is not None:
+        found = found.join(excluded.select(F.lower("onion_host").alias("onion_host")), "onion_host", "left_anti")
+    first = F.min_by(F.struct("url", "announced"), F.struct("at", "nth"))
+    return found.groupBy("page_id", "onion_host").agg(first.alias("f")).select("page_id", "onion_host", "f.url", "f.announced")
+
+
+def known_hosts(sources: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """The hosts (onion_host) of all base and active addresses of sources and of all mirrors (url), once each."""
+    urls = sources.select(F.col("base_url").alias("url")).unionByName(sources.select(F.col("active_url").alias("url"))).unionByName(mirrors.select("url"))
+    return urls.select(onion_host(F.col("url")).alias("onion_host")).where("onion_host is not null").distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..operators import maintain
+from ..operators import alerts, maintain
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -69,23 +69,60 @@ def daily_counts(events: DataFrame, folder: str, late: str | None = None) -> Dat
     return saved.agg((F.max_by("total", "batch") if late else F.sum("total")).alias("total"))
 
 
+def _sightings(batch: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "unknown").otherwise("published")
+    return batch.select(F.col("user_id").cast("string").alias("dedupe_hash"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_type") != "view", F.col("value").cast("long")).alias("leak_size_bytes"))
+
+
+def _latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot with the highest number that is on disk."""
+    saved = spark.read.parquet(folder)
+    last = saved.agg(F.max("number")).first()[0]  # a partition column: no data is read for it
+    return saved.where(F.col("number") == last).drop("number")
+
+
 def keyed_state(events: DataFrame, folder: str) -> DataFrame:
     """Each source's record after all batches: state, value, first and last sighting, by the upsert of
-    ``maintain``. Time is that of the newest event of a batch, so that reruns agree."""
-    spark = events.sparkSession
-    done: list[str] = []
+    ``maintain``. Time is that of the newest event of a batch, so that reruns agree.
+
+    Batches are numbered without gaps, and each writes its snapshot before it is committed. So a batch
+    starts from the snapshot under the number before its own, whichever process wrote it: after a
+    restart with the same folder nothing is lost, and a batch that runs again replaces its own.
+    """
+    spark, snapshots = events.sparkSession, f"{folder}/snapshots"
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = _sightings(batch)
+        now = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
+        if number:
+            old = spark.read.parquet(f"{snapshots}/number={number - 1}")
+        else:
+            old = rows.limit(0).select("dedupe_hash", "status", "leak_size_bytes", now.alias("first_seen_at"), now.alias("last_seen_at"))
+        maintain.upsert(old, maintain.fold(rows), now).drop("is_new", "sightings").write.mode("overwrite").parquet(f"{snapshots}/number={number}")
+
+    drain(events, each, "append", folder)
+    return _latest(spark, snapshots)
+
+
+def alerts_on_arrival(events: DataFrame, rules: DataFrame, folder: str) -> DataFrame:
+    """alert_id, record_id and matched_on of a stream of records: each batch is matched by itself, and only
+    its records that no batch before it had. A batch that runs again replaces its own alerts.
+
+    ``events``: id, victim_name, victim_domain, actor_group; ``rules`` as in ``alerts.match``.
+    """
+    spark, seen = events.sparkSession, f"{folder}/seen"
 
     def each(batch: DataFrame, number: int) -> None:
-        status = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "unknown").otherwise("published")
-        rows = batch.select(F.col("user_id").cast("string").alias("dedupe_hash"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_type") != "view", F.col("value").cast("long")).alias("leak_size_bytes"))
-        now = F.lit(batch.agg(F.max("ts")).first()[0])
-        old = spark.read.parquet(done[-1]) if done else rows.limit(0).select("dedupe_hash", "status", "leak_size_bytes", now.alias("first_seen_at"), now.alias("last_seen_at"))
-        path = f"{folder}/snapshot-{number}"
-        maintain.upsert(old, maintain.fold(rows), now).drop("is_new", "sightings").write.mode("overwrite").parquet(path)
-        done.append(path)
+        fresh = batch.dropDuplicates(["id"])
+        if number:
+            fresh = fresh.join(spark.read.parquet(seen).where(F.col("number") < number).select("id"), "id", "left_anti")
+        fresh.select("id").write.mode("overwrite").parquet(f"{seen}/number={number}")
+        ids = spark.read.parquet(f"{seen}/number={number}")
+        new = batch.dropDuplicates(["id"]).join(ids, "id", "left_semi")
+        alerts.match(new, rules).write.mode("overwrite").parquet(f"{folder}/alerts/number={number}")
 
     drain(events, each, "append", folder)
-    return spark.read.parquet(done[-1])
+    return spark.read.parquet(f"{folder}/alerts").drop("number")
 
 
 def first_contents(pages: DataFrame, folder: str) -> DataFrame:

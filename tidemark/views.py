@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import dedupe_hash
+
 #: "Now" for queries over orders and over events: fixed, so that results can be compared.
 AS_OF = "2001-08-02 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -41,6 +43,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with all the columns of a listing."""
+    rows = named_records(spark, sf_dir)
+    identity = dedupe_hash(F.col("actor_group"), F.col("victim_domain"), F.col("victim_name"))
+    return rows.withColumns({
+        "dedupe_hash": identity, "source_url": F.concat(F.lit("http://s"), F.col("source_id"), F.lit(".test/")), "published_at_raw": F.date_format("published_at", "d MMM yyyy"),
+        "last_seen_at": F.col("first_seen_at") + F.make_dt_interval(days=(F.col("id") % 9).cast("int")), "leak_type": F.lit("ransomware"),
+    })
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each monitored source: suppliers."""
     key = F.col("s_suppkey")
@@ -76,21 +88,26 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each alert rule: parts, whose number grows much slower than the records'."""
+    """One row for each alert rule: parts. Each names a customer, a part of a name, a domain or a group.
+
+    Groups have few names; only one rule in 50 has one that exists.
+    """
     k = F.col("p_partkey")
     kind = F.element_at(F.array(*map(F.lit, ("exact", "actor_group", "substring", "domain"))), (k % 4 + 1).cast("int"))
+    existing = F.concat((k % 5 + 1).cast("string"), F.element_at(F.array(*map(F.lit, ("-urgent", "-high", "-medium", "-not-specified", "-low"))), (k % 5 + 1).cast("int")))
     value = (
         F.when(k % 4 == 0, F.concat(F.lit("customer#"), F.lpad(k.cast("string"), 9, "0")))
-        .when(k % 4 == 1, F.concat((k % 5 + 1).cast("string"), F.element_at(F.array(*map(F.lit, ("-urgent", "-high", "-medium", "-not-specified", "-low"))), (k % 5 + 1).cast("int"))))
-        .when(k % 4 == 2, F.concat(F.lit("#"), F.lpad(k.cast("string"), 9, "0")))
-        .otherwise(F.concat(F.lit("c"), (k % 50).cast("string"), F.lit(".test")))
+        .when(k % 4 == 1, F.when(k % 200 == 1, existing).otherwise(F.concat(F.lit("group-"), k)))
+        .when(k % 4 == 2, F.when(k % 100 == 2, F.concat(F.lit("#"), F.lpad(k.cast("string"), 9, "0"))).otherwise(F.concat(F.lpad(k.cast("string"), 7, "0"))))
+        .otherwise(F.when(k % 100 == 3, F.concat(F.lit("c"), k, F.lit("_.test"))).otherwise(F.concat(F.lit("c"), k, F.lit(".test"))))
     )
-    return table(spark, sf_dir, "part").where("p_size = 1").select(k.alias("alert_id"), F.concat(F.lit("owner"), k % 5).alias("owner_id"), kind.alias("match_kind"), value.alias("match_value"), (k % 9 != 0).alias("enabled"))
+    return table(spark, sf_dir, "part").select(k.alias("alert_id"), F.concat(F.lit("owner"), k % 5).alias("owner_id"), kind.alias("match_kind"), value.alias("match_value"), (k % 9 != 0).alias("enabled"))
 
 
 def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a domain, for alert rules."""
-    return records(spark, sf_dir).withColumn("victim_domain", F.when(F.col("id") % 4 == 0, F.concat(F.lit("www"), F.col("id") % 3, F.lit(".c"), F.col("id") % 60, F.lit(".test"))))
+    host = F.concat(F.lit("www"), F.col("id") % 3, F.lit(".c"), F.regexp_extract("victim_name", "([1-9][0-9]*)$", 1), F.lit(".test"))
+    return records(spark, sf_dir).withColumn("victim_domain", F.when(F.col("id") % 4 == 0, host))
 
 
 _SLUG = "lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '-', 'g'))"
@@ -112,9 +129,10 @@ SQL = {
         CASE WHEN event_id % 3 > 0 THEN 'source-' || user_id END AS source_slug, ts AS requested_at, CASE WHEN event_type = 'error' THEN repeat(props, 40) END AS error FROM events)""",
     "rules": """rules AS (SELECT p_partkey AS alert_id, 'owner' || (p_partkey % 5) AS owner_id, CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'actor_group' WHEN 2 THEN 'substring' ELSE 'domain' END AS match_kind,
         CASE p_partkey % 4 WHEN 0 THEN 'customer#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')
-        WHEN 1 THEN (p_partkey % 5 + 1) || CASE p_partkey % 5 WHEN 0 THEN '-urgent' WHEN 1 THEN '-high' WHEN 2 THEN '-medium' WHEN 3 THEN '-not-specified' ELSE '-low' END
-        WHEN 2 THEN '#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') ELSE 'c' || (p_partkey % 50) || '.test' END AS match_value, p_partkey % 9 <> 0 AS enabled FROM part WHERE p_size = 1)""",
-    "named": """named AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'www' || (id % 3) || '.c' || (id % 60) || '.test' END AS victim_domain FROM records)""",
+        WHEN 1 THEN CASE WHEN p_partkey % 200 = 1 THEN (p_partkey % 5 + 1) || CASE p_partkey % 5 WHEN 0 THEN '-urgent' WHEN 1 THEN '-high' WHEN 2 THEN '-medium' WHEN 3 THEN '-not-specified' ELSE '-low' END ELSE 'group-' || p_partkey END
+        WHEN 2 THEN CASE WHEN p_partkey % 100 = 2 THEN '#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') ELSE lpad(CAST(p_partkey AS VARCHAR), 7, '0') END
+        ELSE CASE WHEN p_partkey % 100 = 3 THEN 'c' || p_partkey || '_.test' ELSE 'c' || p_partkey || '.test' END END AS match_value, p_partkey % 9 <> 0 AS enabled FROM part)""",
+    "named": """named AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'www' || (id % 3) || '.c' || regexp_extract(victim_name, '([1-9][0-9]*)$', 1) || '.test' END AS victim_domain FROM records)""",
 }
 
 
