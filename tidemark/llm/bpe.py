@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts
+from .shared import map_texts, worker_cache
 
 #: Bytes that a generation of a worker's memory of chunks, and of words, may take.
-CHUNK_BYTES, WORD_BYTES = 32 << 20, 24 << 20
+CHUNK_BYTES, WORD_BYTES = 24 << 20, 16 << 20
 #: About how many bytes of text are looked up together.
 GROUP_BYTES = 2 << 20
 #: Words of at most so many symbols are merged by scanning; longer ones with a heap.
@@ -258,16 +258,13 @@ class Vocabulary:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.shown.take(pa.array(flat))), " ")
 
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(shared) -> Vocabulary:
-    source = shared.value
+    loaded, source = worker_cache("bpe"), shared.value
     key = hash(source)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(source)
-    return _loaded[key]
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Vocabulary(source)
+    return loaded[key]
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -285,7 +282,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None, text
         return [pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids, v.decode(ids)]
 
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, run, text, GROUP_BYTES, arrow=True)
+    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, run, text, GROUP_BYTES, arrow=True, operator="bpe")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

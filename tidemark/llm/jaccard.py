@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, every, fresh, map_texts, small
+from .shared import checkpointed, every, fresh, make_room, map_texts, small
 from .shingles import MinHash, mix, shingle_set
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 25, 5, 25, 1e-6, 384
@@ -118,7 +118,7 @@ def survivors(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iter
 class _Bits:
     """Shingle sets as bitmaps, or as sorted arrays where bitmaps would take too much memory."""
 
-    def __init__(self, sets: list[np.ndarray], most: int = 1 << 26):
+    def __init__(self, sets: list[np.ndarray], most: int = 1 << 24):
         self.sets, self.sizes = sets, np.array([len(s) for s in sets])
         every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         width = (len(every) + 63) // 64
@@ -223,6 +223,7 @@ def _values(group: pd.DataFrame) -> np.ndarray:
 
 def _bucket_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges that tie together the members of each bucket whose MinHash values are alike."""
+    make_room()
     a, b = [], []
     for _, group in pdf.groupby("group", sort=False):
         nodes, forest = group["node"].to_numpy(), _Forest(len(group))
@@ -238,6 +239,7 @@ def _bucket_unit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _join_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links within one unit: for each member its linked documents and a member it is connected to."""
+    make_room()
     out = []
     for _, group in pdf.drop_duplicates(["group", "node"]).groupby("group", sort=False):  # rows may repeat
         nodes, copies, forest = group["node"].to_numpy(), group["copies"].to_numpy(), _Forest(len(group))

@@ -99,10 +99,28 @@ def text_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False) -> DataFrame:
+#: What operators keep in a worker between tasks, by operator.
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """A dictionary that stays in the worker as long as its tasks are of this operator."""
+    return _kept.setdefault(operator, {})
+
+
+def make_room(operator: str | None = None) -> None:
+    """Forget what other operators keep in this worker, and give unused memory of Arrow back."""
+    for name in list(_kept):
+        if name != operator:
+            _kept.pop(name).clear()
+    pa.default_memory_pool().release_unused()
+
+
+def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False, operator: str | None = None) -> DataFrame:
     """One pass over the texts without a shuffle: ``fn`` turns a list of them (null: empty), or with
     ``arrow`` an Arrow array, into one list or array for each column of ``added`` (name: type).
     Columns of ``keep`` pass through as Arrow arrays, so that their nulls and large integers survive.
+    ``operator`` names whose cache may stay in the worker.
     """
     keep = [c for c in keep if c.lower() not in {a.lower() for a in added}]
     types = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items()])
@@ -111,6 +129,7 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
     names = [*keep, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(operator)
         for batch in batches:
             column = batch.column(len(keep))
             # Only a group's texts become Python objects at a time.
@@ -118,6 +137,7 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
                 part = pc.fill_null(column.slice(start, end - start), "")
                 made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(fn(part if arrow else part.to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
+        make_room(operator)
 
     # Numbered on the way in: Spark looks the columns of a map up by name, and takes dots in names for fields.
     return df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(text).alias("text")).mapInArrow(run, schema)

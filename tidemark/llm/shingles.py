@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
