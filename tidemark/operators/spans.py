@@ -27,6 +27,7 @@ SIZE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:[kmgtp]i?b)\b"
 STATUS = r"(?i)\b(status\s*[:\-]\s*\w+|published|leaked|leak|disclosed|released|full\s+dump|sold|purchased|buyer\s+found|countdown|deadline|time\s+left|days?\s+left|expires?\s+in|removed|deleted|taken\s+down|withdrawn|negotiat\w*|in\s+talks|payment\s+pending|paid)\b"
 SUFFIXES = "Inc|LLC|Ltd|Limited|GmbH|SA|SAS|BV|NV|AB|AG|Corp|Corporation|Group|Holdings|Industries|Technologies|Solutions|Systems|Services|Partners|Associates|Manufacturing|Logistics|Health|Medical|Financial|Bank"
 ORG = rf"\b([A-Z][A-Za-z0-9&'’.-]*(?:[ \t]+[A-Z][A-Za-z0-9&'’.-]*){{0,4}}(?:[ \t]+(?:{SUFFIXES})\b\.?)?)"
+ORG_FIND = re.compile(ORG).finditer
 ORG_SUFFIX = rf"(?i)\b({SUFFIXES})\b"
 #: Words that are never part of a victim's name.
 NOT_AN_ORG = (
@@ -55,33 +56,75 @@ def _denied(domain: str) -> bool:
     return domain in DENIED_DOMAINS or domain.endswith(tuple(f".{d}" for d in DENIED_DOMAINS))
 
 
-def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
-    """A function from a text to its spans, in the order the kinds are listed here; tags not yet tested for nearness."""
-    suffix, domain = re.compile(ORG_SUFFIX), re.compile(f"(?i){DOMAIN}")
+#: The words that a state's pattern may begin with (``negotiat`` begins others); months by their first letters.
+STATUS_BEGINS = (
+    "status", "published", "leaked", "leak", "disclosed", "released", "full", "sold", "purchased", "buyer", "countdown", "deadline",
+    "time", "day", "days", "expire", "expires", "removed", "deleted", "taken", "withdrawn", "in", "payment", "paid",
+)
+MONTH_BEGINS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+LABELS = ("date", "date", "date", "date", "leak_size", "status", "victim_url", "victim_org", "location", "sector")
+CONFIDENCE = (0.9, 0.9, 0.9, 0.9, 0.95, 0.8, 0.85, 0.6, 0.7, 0.6)
 
-    def listing(text: str, m: re.Match) -> str | None:
-        host = m[1]
-        return None if _denied(host.lower()) else host
 
-    def company(text: str, m: re.Match) -> str | None:
+def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
+    """A function from a text to its spans; tags not yet tested for nearness.
+
+    All patterns but two begin at the start of a word. So the words are passed over once, and a pattern
+    is tried only at words that it may begin with. Tags count near anchors alone, so texts without
+    an anchor aren't searched for them.
+    """
+    suffix, domain, dotted, word = re.compile(ORG_SUFFIX), re.compile(f"(?i){DOMAIN}"), re.compile(r"(?i)[a-z0-9]\.[a-z]"), re.compile(r"\w+")
+    url, org = 6, 7
+    patterns = dict(enumerate(map(re.compile, (*DATES, SIZE, STATUS)))) | {8: re.compile(places.country_pattern()), 9: re.compile(places.sector_pattern())}
+    numbers, others = (0, 1, 2, 4), (3, 5, 8, 9)
+    begins: dict[str, set[int]] = {}
+    for kind, terms in ((5, STATUS_BEGINS), (8, places.names), (9, places.sectors)):
+        for term in terms:
+            begins.setdefault(word.match(term)[0], set()).add(kind)
+    at = {w: tuple(sorted(k | ({3} if w[:3] in MONTH_BEGINS else set()) | ({5} if w.startswith("negotiat") else set()))) for w, k in begins.items()}
+
+    def tried(run: str) -> tuple[int, ...]:
+        """The kinds that may begin at a word."""
+        if run[0].isdecimal():
+            return numbers
+        low = run.lower()
+        if (kinds := at.get(low)) is not None:
+            return kinds
+        if not run.isascii():  # letters that fold to others
+            return others
+        return (3,) if low[:3] in MONTH_BEGINS else (5,) if low.startswith("negotiat") else ()
+
+    def company(text: str, m: re.Match, hosts: bool) -> str | None:
         name = m[1].strip(BLANK)
+        if len(name) < 3:
+            return None
         suffixed = suffix.search(name)
-        if len(name) < 3 or not (suffixed or " " in name) or not plausible_name(name, places):
+        if not (suffixed or hosts and " " in name) or not plausible_name(name, places):
             return None
         return name if suffixed or domain.search(text[max(0, m.start() - ORG_WINDOW) : m.end() + ORG_WINDOW]) else None
 
-    whole = lambda text, m: m[0]
-    kinds = [*(("date", 0.9, p, whole) for p in DATES), ("leak_size", 0.95, SIZE, whole), ("status", 0.8, STATUS, whole), ("victim_url", 0.85, f"(?i){DOMAIN}", listing), ("victim_org", 0.6, ORG, company)]
-    kinds += [("location", 0.7, places.country_pattern(), whole), ("sector", 0.6, places.sector_pattern(), whole)]
-    kinds = [(label, confidence, re.compile(pattern), keep) for label, confidence, pattern, keep in kinds]
-
     def find(text: str) -> Iterator[Found]:
-        for place, (label, confidence, pattern, keep) in enumerate(kinds):
-            n = 0
-            for m in pattern.finditer(text):
-                if (kept := keep(text, m)) is not None:
-                    yield label, kept, m.start(), m.end(), confidence, place * 1_000_000 + n
-                    n += 1
+        count, anchored = [0] * len(LABELS), False
+
+        def found(kind: int, shown: str, m: re.Match) -> Found:
+            count[kind] += 1
+            return LABELS[kind], shown, m.start(), m.end(), CONFIDENCE[kind], kind * 1_000_000 + count[kind]
+
+        hosts = dotted.search(text) is not None
+        for m in domain.finditer(text) if hosts else ():
+            if not _denied(m[1].lower()):
+                anchored = True
+                yield found(url, m[1], m)
+        for m in ORG_FIND(text):
+            if (name := company(text, m, hosts)) is not None:
+                anchored = True
+                yield found(org, name, m)
+        ends = [0] * len(LABELS)
+        for w in word.finditer(text):
+            for kind in tried(w[0]):
+                if w.start() >= ends[kind] and (anchored or kind < 8) and (m := patterns[kind].match(text, w.start())):
+                    ends[kind] = m.end()
+                    yield found(kind, m[0], m)
 
     return find
 
