@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,11 +112,17 @@ def worker_cache(operator: str) -> dict:
 
 
 def make_room(operator: str | None = None) -> None:
-    """Forget what other operators keep in this worker, and give unused memory of Arrow back."""
+    """Forget what other operators keep in this worker, and give unused memory back to the system.
+
+    Workers live on between stages, and what each has freed but not returned adds up.
+    """
     for name in list(_kept):
         if name != operator:
             _kept.pop(name).clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False, operator: str | None = None) -> DataFrame:
