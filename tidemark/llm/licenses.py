@@ -240,9 +240,9 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 
 def _needed(rule: str, key: str) -> str:
-    """What a rule can't do without: the words its regex starts with, else its keyword."""
+    """What a rule can't do without: its keyword, or the words its regex starts with, whichever says more."""
     m = re.match(r" [a-z0-9 ]+(?![?*{])", rule)
-    return m[0] if m else f" {key}"
+    return max(m[0] if m else "", f" {key}", key=len)
 
 
 def _tree(words: list[str]) -> str:
@@ -266,7 +266,7 @@ def _tree(words: list[str]) -> str:
 def gate() -> str:
     """A pattern that finds what some rule or base phrase can't do without in a lower-cased text."""
     needed = {_needed(rule, key) for key, rule, _, _ in rules()} | {f" {phrase}" for phrase in BASE}
-    return f"(?:^|{BETWEEN.removesuffix('+')}){_tree([n.strip() for n in needed])}"
+    return f"(?:^|{BETWEEN.removesuffix('+')}){_tree([n.lstrip() for n in needed])}"
 
 
 def _spaces(c: Column) -> Column:
@@ -322,8 +322,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.array_min(F.array(*[F.when(n > 0, _spaces(p[0])) for n, p in zip(count, parts)]))
     last = F.array_max(F.array(*[F.when(n > 0, _spaces(norm) - _spaces(F.element_at(p, -1))) for n, p in zip(count, parts)]))
     base = F.array_sort(F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for n, label in zip(count, BASE.values())])))
-    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(r).alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority")) for k, r, label, p in rules()])
-    tried = F.filter(table, lambda r: F.contains(norm, F.concat(F.lit(" "), r["key"])))
+    table = F.array(*[F.struct(F.lit(f" {k}").alias("key"), F.lit(r).alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority")) for k, r, label, p in rules()])
+    tried = F.filter(table, lambda r: F.contains(norm, r["key"]))
     found = F.flatten(F.transform(tried, lambda r: _found(norm, r["regex"], r["label"], r["priority"])))
     out = cut.withColumn(kept, F.when(norm.isNotNull(), _surviving(found)))
     labels = F.array_sort(F.array_union(F.coalesce(F.col(kept)["labels"], F.expr("array_remove(array(''), '')")), base))
