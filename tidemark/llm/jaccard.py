@@ -43,6 +43,8 @@ from .shingles import MinHash, mix, shingle_set
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 25, 5, 25, 1e-6, 384
 HASHES = BANDS * ROWS
+#: Copies of a node's label for its neighbours to look up.
+SALTS = 8
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -183,11 +185,14 @@ def components(edges: DataFrame) -> DataFrame:
     sparse = kept.union(moved_edges)
     both = checkpointed(sparse.union(sparse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    # The nodes of a large component look one label up: it is copied, and they are spread over its copies.
+    salt, copies = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    both = both.select("a", "b", salt)
     while True:
-        seen = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(seen, "a").select("a", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        moved = checkpointed(lower.join(jump, "label", "left").select("a", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        seen = both.join(labels.select(F.col("a").alias("b"), "label", copies), ["b", "salt"]).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(seen, "a").select("a", F.col("label").alias("was"), F.least("label", "near").alias("label"), salt)
+        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"), copies)
+        moved = checkpointed(lower.join(jump, ["label", "salt"], "left").select("a", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = moved.select("a", "label")
         if moved.where("was <> label").isEmpty():
             return labels.toDF("node", "root")
@@ -225,7 +230,8 @@ def _bucket_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges that tie together the members of each bucket whose MinHash values are alike."""
     make_room()
     a, b = [], []
-    for _, group in pdf.groupby("group", sort=False):
+    # In order of nodes, so that all of a tree hang on its smallest one.
+    for _, group in pdf.sort_values("node").groupby("group", sort=False):
         nodes, forest = group["node"].to_numpy(), _Forest(len(group))
         for me, others in survivors(_values(group), *_sides(group)):
             for x in others.tolist():
@@ -241,7 +247,7 @@ def _join_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links within one unit: for each member its linked documents and a member it is connected to."""
     make_room()
     out = []
-    for _, group in pdf.drop_duplicates(["group", "node"]).groupby("group", sort=False):  # rows may repeat
+    for _, group in pdf.drop_duplicates(["group", "node"]).sort_values("node").groupby("group", sort=False):  # rows may repeat
         nodes, copies, forest = group["node"].to_numpy(), group["copies"].to_numpy(), _Forest(len(group))
         links = np.zeros(len(nodes), np.int64)
         for me, others in linked([np.frombuffer(s, np.uint64) for s in group["shingles"]], _values(group), *_sides(group)):
