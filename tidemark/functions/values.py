@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,20 +65,27 @@ def parse_size(raw: Column) -> Column:
     return F.when(raw.rlike(SIZE), (value.try_cast("double") * F.pow(F.lit(1024.0), power)).try_cast("long"))
 
 
+#: A word, or part of one, that each signal can't do without (one of several), in the order of the signals.
+STATUS_NEEDS = (
+    ("status",), ("status",), ("status",), ("sold", "purchased", "buyer"), ("removed", "deleted", "taken", "withdrawn"), ("negotiat", "talks", "pending"),
+    ("paid",), ("dump", "disclosed", "released", "published"), ("countdown", "deadline", "left", "expire"), ("leak",),
+)
+
+
 def resolve_status(texts: Column) -> Column:
     """The state that an array of phrases supports best; ``unknown`` without any.
 
-    Signals are counted only where one occurs at all, in a text that is folded to lower case once.
+    The text is folded to lower case once, and a signal's pattern is tried only where its word occurs.
     """
     # No pattern matches across a NUL. The four letters beyond ASCII that fold to ASCII ones count as those.
     joined = F.lower(F.translate(F.array_join(F.coalesce(texts, F.array().cast("array<string>")), "\x00"), "\u017f\u212a\u0130\u0131", "skii"))
     scores = {s: F.lit(0) for s in STATUS_PRECEDENCE}
-    for pattern, status, weight in STATUS_SIGNALS:
-        scores[status] = scores[status] + F.regexp_count(joined, F.lit(pattern)) * weight
+    for (pattern, status, weight), needs in zip(STATUS_SIGNALS, STATUS_NEEDS):
+        there = reduce(lambda a, b: a | b, [F.contains(joined, F.lit(w)) for w in needs])
+        scores[status] = scores[status] + F.when(there, F.regexp_count(joined, F.lit(pattern)) * weight).otherwise(0)
     # With no score at all, the last one wins.
     ranked = [*(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(s).alias("status")) for i, (s, score) in enumerate(scores.items())), F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit("unknown").alias("status"))]
-    some = "|".join(pattern for pattern, _, _ in STATUS_SIGNALS)
-    return F.when(joined.rlike(some), F.array_max(F.array(*ranked))["status"]).otherwise("unknown")
+    return F.array_max(F.array(*ranked))["status"]
 
 
 def alternation(terms: list[str]) -> str:

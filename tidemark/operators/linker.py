@@ -45,6 +45,12 @@ def owners(spans: DataFrame) -> DataFrame:
     return around.withColumn("record", record.cast("int")).drop("_n", "_before", "_after")
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once a row, though filters and several columns use it: a generator
+    is not copied into them as an expression would be."""
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     """One row for each usable record of ``spans``; ``pages`` has page_id, source_group, source_url."""
     spans = spans.where(stripped(F.col("text")) != "").withColumn("text", stripped(F.col("text")))
@@ -62,9 +68,9 @@ def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> Dat
     rows = grouped.join(pages.select("page_id", "source_group", "source_url"), "page_id")
     rows = rows.where("victims > 0 or victim_url is not null or date is not null")
     domain = F.coalesce(extract_domain(F.col("victim_url")), extract_domain(F.col("victim_org")))
-    rows = rows.withColumn("victim_domain", clean_domain(domain))
     name = F.when(F.col("victim_domain").isNotNull() & only_fragments(F.col("victim_org")), F.lit(None)).otherwise(F.col("victim_org"))
-    rows = rows.withColumn("victim_name", name).withColumn("actor_group", group_slug(F.coalesce("crew", "source_group")))
+    rows = _once(_once(rows, "victim_domain", clean_domain(domain)), "victim_name", name)
+    rows = rows.withColumn("actor_group", group_slug(F.coalesce("crew", "source_group")))
     usable = none_if_empty(F.col("victim_name")).isNotNull() | F.col("victim_domain").isNotNull()
     return rows.where(usable).select(
         "page_id", "record", "victim_name", "victim_domain",
