@@ -548,6 +548,14 @@ def country_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), values.DEFAULT.resolve_country(texts, _pick(DOMAINS, "c_custkey")).alias("country"))
 
 
+NAMES = (("New Zealand.", True), ("cote d'ivoire", True), ("Acme", False), ("GERMANY", True), ("German Bank", False), ("Chad", False), (" uk ", True))
+
+
+@query(f"SELECT o_orderkey AS id, {[want for _, want in NAMES]}[o_orderkey % {len(NAMES)} + 1] AS is_country FROM orders")
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), values.DEFAULT.is_country(_pick(NAMES, "o_orderkey")).alias("is_country"))
+
+
 @query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE coalesce({_expected(BUSINESS, 'c_custkey')}, 'Financial Services') END AS sector FROM customer")
 def sector_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sector named most often: thrice what the key says against one bank."""
@@ -682,6 +690,12 @@ def sources_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.set_enabled(all_, False, all_.where("consecutive_failures >= 3")).select("id", "slug", "enabled")
 
 
+@query(sql("sources", "SELECT id, CASE WHEN consecutive_failures < 3 THEN active_url END AS active_url, base_url FROM sources"))
+def active_urls_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = views.sources(spark, sf_dir)
+    return maintain.clear_active_url(all_, all_.where("consecutive_failures >= 3")).select("id", "active_url", "base_url")
+
+
 @query(f"WITH {SIGHTINGS} SELECT count(*) FILTER (late AND NOT early) AS new_keys, count(*) FILTER (late AND early) AS known_keys FROM (SELECT bool_or(ts >= TIMESTAMP '{HALF}') AS late, bool_or(ts < TIMESTAMP '{HALF}') AS early FROM sightings GROUP BY dedupe_hash)")
 def upsert_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sightings(spark, sf_dir)
