@@ -278,20 +278,25 @@ def fit(counts: dict[str, int]) -> SpanModel:
 
 
 CANDIDATES = "array<struct<kind:string,start:int,end:int,fine:boolean,key:string>>"
+SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
 
 
-def candidates(docs: DataFrame, keep: list[str], column: str = "spans") -> DataFrame:
-    """The columns of ``keep`` and, as ``column``, each text's candidates: one pass over the texts."""
+def _candidates(text: str) -> list[dict]:
+    fixed = base_spans(text)
+    return [{"kind": s[0], "start": s[1], "end": s[2], "fine": s[3], "key": key(text, *s)} for s in [*fixed, *added_spans(text, fixed)]]
+
 
-    def run(texts: list[str]) -> list:
-        out = []
-        for t in texts:
-            fixed = base_spans(t)
-            found = [*fixed, *added_spans(t, fixed)]
-            out.append([{"kind": s[0], "start": s[1], "end": s[2], "fine": s[3], "key": key(t, *s)} for s in found])
-        return [out]
+def _decided(found: list[dict], model: SpanModel, threshold: float) -> list[dict]:
+    """The candidates of one text that stay, ordered by kind as in ``KINDS``, then start."""
+    found = [s for s in found if s["fine"]]
+    scores = model.scores([s["key"] for s in found]) if found else []
+    rows = [{"kind": s["kind"], "start": s["start"], "end": s["end"], "base": s["kind"] in BASE, "score": float(p)} for s, p in zip(found, scores) if s["kind"] in BASE or p >= threshold]
+    return sorted(rows, key=lambda r: (KINDS.index(r["kind"]), r["start"]))
 
-    return map_texts(docs, keep, {column: CANDIDATES}, run)
+
+def candidates(docs: DataFrame, keep: list[str], column: str = "spans") -> DataFrame:
+    """The columns of ``keep`` and, as ``column``, each text's candidates: one pass over the texts."""
+    return map_texts(docs, keep, {column: CANDIDATES}, lambda texts: [[_candidates(t) for t in texts]])
 
 
 def train(docs: DataFrame) -> SpanModel:
@@ -305,29 +310,24 @@ def train_from(found: DataFrame) -> SpanModel:
 
 
 def decide(found: DataFrame, model: SpanModel, threshold: float = 0.5) -> DataFrame:
-    """``candidates`` with ``spans`` as kind, start, end, base and score: those that stay, ordered by kind as in ``KINDS``, then start."""
+    """``candidates`` with ``spans`` as kind, start, end, base and score: those that stay. No text is needed."""
     shared = found.sparkSession.sparkContext.broadcast(model)
     names = [c for c in found.columns if c != "spans"]
-    schema = T.StructType([found.schema[c] for c in names] + [T.StructField("spans", T.DataType.fromDDL("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"))])
+    schema = T.StructType([found.schema[c] for c in names] + [T.StructField("spans", T.DataType.fromDDL(SPANS))])
     kind = to_arrow_type(schema["spans"].dataType)
-    order = {k: i for i, k in enumerate(KINDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for spans in batch.column(len(names)).to_pylist():
-                spans = [s for s in spans if s["fine"]]
-                scores = shared.value.scores([s["key"] for s in spans]) if spans else []
-                rows = [{"kind": s["kind"], "start": s["start"], "end": s["end"], "base": s["kind"] in BASE, "score": float(p)} for s, p in zip(spans, scores) if s["kind"] in BASE or p >= threshold]
-                out.append(sorted(rows, key=lambda r: (order[r["kind"]], r["start"])))
+            out = [_decided(spans, shared.value, threshold) for spans in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, kind)], names=[*names, "spans"])
 
     return found.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], "spans").mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, model: SpanModel, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Documents with ``spans``. ``keep``: the columns that stay, all if not given."""
-    return decide(candidates(docs, docs.columns if keep is None else keep), model, threshold)
+    """Documents with ``spans``, in one pass. ``keep``: the columns that stay, all if not given."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs, docs.columns if keep is None else keep, {"spans": SPANS}, lambda texts: [[_decided(_candidates(t), shared.value, threshold) for t in texts]])
 
 
 def digests(found: DataFrame) -> DataFrame:
