@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, every, fresh, make_room, map_texts, small
+from .shared import checkpointed, every, fresh, looked_up, make_room, map_texts, small
 from .shingles import MinHash, mix, shingle_set
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 0.8, 25, 5, 25, 1e-6, 384
@@ -149,7 +149,7 @@ def linked(sets: list[np.ndarray], values: np.ndarray, first: np.ndarray, second
             yield me, others
 
 
-class _Forest:
+class Forest:
     """Which of n members hang together."""
 
     def __init__(self, n: int):
@@ -198,18 +198,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.toDF("node", "root")
 
 
-def _units(members: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+def in_units(members: DataFrame, sizes: DataFrame, total: int, most: int) -> DataFrame:
     """Give each member (group, node) the units it takes part in: a bundle of small groups, or pairs of blocks.
 
-    ``sizes`` has the size m of each group, ``total`` is the number of members.
+    ``sizes`` has the size m of each group, ``total`` is the number of members; a block has about ``most``.
     """
-    bundles = max(1, total // BLOCK)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    bundles = max(1, total // most)
+    blocks = F.ceil(F.col("m") / most).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     bundle = F.when(blocks <= 1, F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("long")).otherwise(F.col("group"))
-    return members.join(sizes, "group").select("node", "group", (blocks > 1).alias("large"), block.alias("block"), bundle.alias("bundle"), F.when(blocks > 1, pairs).otherwise(alone).alias("pairs"))
+    return looked_up(members, sizes, "group", "m", total).select("node", "group", (blocks > 1).alias("large"), block.alias("block"), bundle.alias("bundle"), F.when(blocks > 1, pairs).otherwise(alone).alias("pairs"))
 
 
 def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def _bucket_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = [], []
     # In order of nodes, so that all of a tree hang on its smallest one.
     for _, group in pdf.sort_values("node").groupby("group", sort=False):
-        nodes, forest = group["node"].to_numpy(), _Forest(len(group))
+        nodes, forest = group["node"].to_numpy(), Forest(len(group))
         for me, others in survivors(_values(group), *_sides(group)):
             for x in others.tolist():
                 forest.join(int(me), x)
@@ -248,7 +248,7 @@ def _join_unit(pdf: pd.DataFrame) -> pd.DataFrame:
     make_room()
     out = []
     for _, group in pdf.drop_duplicates(["group", "node"]).sort_values("node").groupby("group", sort=False):  # rows may repeat
-        nodes, copies, forest = group["node"].to_numpy(), group["copies"].to_numpy(), _Forest(len(group))
+        nodes, copies, forest = group["node"].to_numpy(), group["copies"].to_numpy(), Forest(len(group))
         links = np.zeros(len(nodes), np.int64)
         for me, others in linked([np.frombuffer(s, np.uint64) for s in group["shingles"]], _values(group), *_sides(group)):
             links[me] += copies[others].sum()
@@ -266,7 +266,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     sizes = banded.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("m > 1")
     chosen = checkpointed(sizes.groupBy("m", "s", "x").agg(F.min("band").alias("group")).select("group", "m"))
     total = chosen.agg(F.sum("m")).first()[0] or 0
-    units = _units(banded.withColumnRenamed("band", "group"), chosen, total)
+    units = in_units(banded.withColumnRenamed("band", "group"), chosen, total, BLOCK)
     placed = units.join(reps.select("node", "values"), "node").withColumn("pair", F.explode("pairs")).select("node", "group", "large", "block", "bundle", "pair.i", "pair.j", "values")
     return placed.groupBy("bundle", "i", "j", "large").applyInPandas(_bucket_unit, "a long, b long")
 
@@ -281,7 +281,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     reps = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
     groups = checkpointed(components(_candidates(reps)).withColumnRenamed("root", "group"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("m"))
-    units = _units(groups, sizes, groups.count())
+    units = in_units(groups, sizes, groups.count(), BLOCK)
     # The texts of the nodes alone.
     chosen = units.join(reps.select("node", "rep", "copies", "values", "f1", "f2"), "node")
     texts = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))

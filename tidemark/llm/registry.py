@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, mixing, pii, quality, sharding, topk, toxicity, warc
+from . import bpe, jaccard, licenses, mixing, periodic, pii, quality, sharding, simhash, topk, toxicity, variants, warc
 from .shared import checkpointed, documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,12 +63,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def rearranged(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Positions by which every tenth document, by the CRC-32 of its id, repeats a part of itself to its end (null id: none)."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    places = np.arange(n)
+    places[start:] = start + (places[start:] - start) % period
+    return places
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(documents(spark, sf_dir), ["doc_id"], rearranged, "doc_id")
+    nothing = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # Runs are in order, so that only a greater exponent takes the place of an earlier one.
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", nothing, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.counted(documents(spark, sf_dir), variants.one_left_out(199))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_pii, op5_toxicity, op6_licenses, op7_jaccard, op8_quality, op9_topk, op10_warc, pipeline)
+    f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_pii, op5_toxicity, op6_licenses, op7_jaccard, op8_quality, op9_topk, op10_warc, op11_simhash, op12_periodic, op13_variants, pipeline)
 }
 
 #: SQL for the queries that SQL can express. The others need crc32 (3) or what no SQL has: merges of a

@@ -53,6 +53,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key with more than one in so many rows is looked up by broadcast.
+HEAVY = 1000
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with the one row a key of ``right``, whose column ``rows`` counts a key's rows in ``left``
+    of ``total``. Keys with more than one row in ``HEAVY`` are fewer than ``HEAVY``: they are broadcast, so that
+    no task gets all rows of a frequent key. The column ``rows`` stays."""
+    heavy = right.where(F.col(rows) * HEAVY > total)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return left.join(F.broadcast(heavy), key).unionByName(light.join(right.where(F.col(rows) * HEAVY <= total), key, how))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -125,17 +138,19 @@ def make_room(operator: str | None = None) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False, operator: str | None = None) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callable, text: str = "text", most: int = 1 << 20, arrow: bool = False, operator: str | None = None, key: str | None = None) -> DataFrame:
     """One pass over the texts without a shuffle: ``fn`` turns a list of them (null: empty), or with
     ``arrow`` an Arrow array, into one list or array for each column of ``added`` (name: type).
     Columns of ``keep`` pass through as Arrow arrays, so that their nulls and large integers survive.
-    ``operator`` names whose cache may stay in the worker.
+    ``operator`` names whose cache may stay in the worker. With ``key``, ``fn`` gets the list of that kept
+    column's values besides.
     """
     keep = [c for c in keep if c.lower() not in {a.lower() for a in added}]
     types = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items()])
     schema = T.StructType([df.schema[c] for c in keep] + types.fields)
     kinds = [to_arrow_type(f.dataType) for f in types]
     names = [*keep, *added]
+    at = keep.index(key) if key else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room(operator)
@@ -144,7 +159,8 @@ def map_texts(df: DataFrame, keep: list[str], added: dict[str, str], fn: Callabl
             # Only a group's texts become Python objects at a time.
             for start, end in text_groups(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
                 part = pc.fill_null(column.slice(start, end - start), "")
-                made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(fn(part if arrow else part.to_pylist()), kinds)]
+                given = [part if arrow else part.to_pylist()] + ([] if at is None else [batch.column(at).slice(start, end - start).to_pylist()])
+                made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(fn(*given), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(start, end - start) for i in range(len(keep))] + made, names=names)
         make_room(operator)
 
