@@ -9,6 +9,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import places, values
 from tidemark.functions import text as fx
 from tidemark.operators import alerts, linker, maintain, spans
@@ -247,7 +248,7 @@ def test_alerts(spark):
 
 
 def test_alerts_against_plain(spark, monkeypatch):
-    """Random rules of all kinds against a comparison of every pair; also where values are too many to broadcast."""
+    """Random rules of all kinds against a comparison of every pair; also where values take several blocks."""
     r = random.Random(9)
     word = lambda n: "".join(r.choice("ab.c_%") for _ in range(n)) if r.random() < 0.2 else "".join(r.choice("abc. ") for _ in range(n))
     records = [(i, r.choice([None, word(12).upper(), word(5)]), r.choice([None, ".".join("".join(r.choice("abc") for _ in range(2)) for _ in range(3))]), r.choice("ab")) for i in range(120)]
@@ -266,8 +267,8 @@ def test_alerts_against_plain(spark, monkeypatch):
                 want.add((a, i, {"domain": "victim_domain", "actor_group": "actor_group"}.get(kind, "victim_name")))
     left = spark.createDataFrame(records, "id long, victim_name string, victim_domain string, actor_group string")
     right = spark.createDataFrame(rules, "alert_id long, match_kind string, match_value string, enabled boolean")
-    for most in (10_000, 1):
-        monkeypatch.setattr(alerts, "MOST", most)
+    for most in (1 << 20, 150):
+        monkeypatch.setattr(alerts, "BLOCK_BYTES", most)
         found = alerts.match(left, right).collect()
         assert len(found) == len(want) and {(f.alert_id, f.record_id, f.matched_on) for f in found} == want
     known = alerts.match(left.where("id < 10"), right)
@@ -275,15 +276,21 @@ def test_alerts_against_plain(spark, monkeypatch):
     assert {(f.alert_id, f.record_id) for f in new} == {(a, i) for a, i, _ in want if 10 <= i < 20}
 
 
-def test_substring_plan(spark):
-    """Many substrings meet records in equal joins, not in a nested loop."""
-    left = spark.range(1000).selectExpr("id", "concat('customer ', id) as victim_name", "cast(null as string) as victim_domain", "'g' as actor_group")
-    right = spark.range(500).selectExpr("id as alert_id", "'substring' as match_kind", "concat('r ', id) as match_value", "true as enabled")
-    values_ = right.select("match_value").withColumn("_parts", F.array("match_value"))
-    pairs = alerts.containing(left.withColumn("_both", F.col("victim_name")), "_both", values_, F.expr("position(match_value in _both) > 0"))
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
-    found = alerts.match(left, right)
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and pairs.count() == found.count() == sum(f"r {v}" in f"customer {i}" for i in range(1000) for v in range(500))
+def test_alert_plan(spark, sf):
+    """Records are read once, whatever kinds of rules there are, and no pairs are tried."""
+    found = registry.QUERIES["alert_match"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hot_alerts(spark):
+    """A value that all records meet, shared by several rules; a part that is empty; nothing at all."""
+    left = spark.range(5000).selectExpr("id", "concat('Customer ', id) as victim_name", "cast(null as string) as victim_domain", "'g' as actor_group")
+    rules = [(1, "substring", "customer", True), (2, "substring", "customer", True), (3, "actor_group", "g", True), (4, "substring", "r 77", True), (5, "domain", "%", True), (6, "domain", "", True), (7, "odd", "customer", True), (8, "exact", None, True)]
+    right = spark.createDataFrame(rules, "alert_id long, match_kind string, match_value string, enabled boolean")
+    counts = {r.alert_id: r.n for r in alerts.match(left, right).groupBy("alert_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 5000, 2: 5000, 3: 5000, 4: sum("r 77" in f"customer {i}"[7:] for i in range(5000))}
+    assert alerts.match(left, right.where("false")).count() == 0 == alerts.match(left.where("false"), right).count()
 
 
 def test_html_against_plain(spark, sf):

@@ -93,13 +93,16 @@ def top(records: DataFrame, column: str, limit: int, name: str = "value", as_of:
     return counts.orderBy(F.desc("total"), name).limit(_within("limit", limit, 1, 100))
 
 
+def source_summary(sources: DataFrame) -> DataFrame:
+    """One row on the sources that are switched on."""
+    return sources.where("enabled").agg(F.count("*").alias("active_sources"), F.max("last_success_at").alias("last_collection_at"), F.count_if(F.col("consecutive_failures") >= 3).alias("failing_sources"))
+
+
 def summary(records: DataFrame, sources: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
-    """The headline numbers in one row, from one pass over each table."""
+    """The headline numbers in one row, from one pass over each table. ``rollup`` keeps them instead."""
     recent = lambda days: F.count_if(F.col("first_seen_at") >= since(as_of, days))
     a = records.agg(F.count("*").alias("total_leaks"), recent(7).alias("leaks_last_7_days"), recent(30).alias("leaks_last_30_days"), F.count_distinct("actor_group").alias("tracked_groups"))
-    b = sources.where("enabled").agg(F.count("*").alias("active_sources"), F.max("last_success_at").alias("last_collection_at"), F.count_if(F.col("consecutive_failures") >= 3).alias("failing_sources"))
-    c = events.agg(F.count("*").alias("alerts_triggered"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    return a.crossJoin(source_summary(sources)).crossJoin(events.agg(F.count("*").alias("alerts_triggered")))  # one row each
 
 
 def health() -> Column:

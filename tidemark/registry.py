@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import views
 from .functions import text as fx
 from .functions import values
-from .operators import alerts, linker, maintain, spans
+from .operators import alerts, committed, linker, maintain, rollup, spans
 from .plans import api
 from .sources import html
 from .streaming import job
@@ -77,6 +77,42 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.summary(views.records(spark, sf_dir), views.sources(spark, sf_dir), alert_match(spark, sf_dir), at(AS_OF))
 
 
+def _in_two_commits(spark: SparkSession, sf_dir: str) -> committed.Table:
+    """The records as a committed table: the first commit lacks every fourth, has others with another day and some that are
+    none; the second puts this right."""
+    kept, columns = committed.Table(spark, job.workspace(spark, "records"), "id"), ["id", "victim_name", "victim_domain", "actor_group", "first_seen_at"]
+    rows = views.named_records(spark, sf_dir).select(columns)
+    early = rows.where("id % 4 <> 0").withColumn("first_seen_at", F.when(F.col("id") % 5 == 0, at(AS_OF)).otherwise(F.col("first_seen_at")))
+    stray = rows.where("id % 9 = 0").withColumns({"id": -F.col("id"), "actor_group": F.lit("stray")})
+    kept.create(early.unionByName(stray))
+    batch = rows.where("id % 4 = 0 or id % 5 = 0").withColumn("gone", F.lit(False)).unionByName(stray.withColumn("gone", F.lit(True)))
+
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("id"), "id", "left_anti").select(columns).unionByName(new.where("not gone").select(columns))
+
+    rollup.refresh(kept, counts := committed.Table(spark, f"{kept.folder}/counts", "day"))
+    rollup.refresh_events(kept, events := committed.Table(spark, f"{kept.folder}/events", "record_id"), views.rules(spark, sf_dir))
+    kept.update(batch, change)
+    rollup.refresh(kept, counts)
+    rollup.refresh_events(kept, events, views.rules(spark, sf_dir))
+    return kept
+
+
+@query(ORACLES["summary"])
+def summary_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline numbers from counts that are kept up with commits of the records, of which some come, change and go."""
+    records = _in_two_commits(spark, sf_dir)
+    counts, events = committed.Table(spark, f"{records.folder}/counts", "day"), committed.Table(spark, f"{records.folder}/events", "record_id")
+    a = rollup.headline(records.read(), counts.read(), at(AS_OF))
+    return a.crossJoin(api.source_summary(views.sources(spark, sf_dir))).withColumn("alerts_triggered", F.lit(events.version().rows))  # one row each
+
+
+@query(ORACLES["leaks_per_day"])
+def leaks_per_day_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _in_two_commits(spark, sf_dir)
+    return rollup.per_day(committed.Table(spark, f"{records.folder}/counts", "day").read(), at(AS_OF))
+
+
 # Listings
 
 COLUMNS = "r.id, victim_name, actor_group, r.status, first_seen_at, published_at, leak_size_bytes, victim_country, victim_sector, source_id, s.slug AS source_slug"
@@ -435,6 +471,29 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.upsert(old, maintain.fold(rows.where(F.col("ts") >= at(HALF))), at(EVENTS_AS_OF))
 
 
+@query(ORACLES["upsert_merge"].replace("o.dedupe_hash IS NULL AS is_new, coalesce(n.sightings, 0) AS sightings", "coalesce(n.dedupe_hash, o.dedupe_hash) AS dedupe_hash_").replace("SELECT coalesce(n.dedupe_hash, o.dedupe_hash) AS dedupe_hash, ", "SELECT ").replace("dedupe_hash_", "dedupe_hash"))
+def upsert_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two commits of a table, each of which folds its batch and writes anew the buckets it touches."""
+    rows, kept = _sightings(spark, sf_dir), committed.Table(spark, job.workspace(spark, "upserted"), "dedupe_hash", 16)
+    seen = {"first_seen_at": at(HALF), "last_seen_at": at(HALF)}
+    none = maintain.fold(rows).withColumns(seen).drop("sightings").where("false")
+    kept.create(none)
+    for batch, now in ((rows.where(F.col("ts") < at(HALF)), HALF), (rows.where(F.col("ts") >= at(HALF)), EVENTS_AS_OF)):
+        kept.update(batch, lambda old, new, now=now: maintain.upsert(old, maintain.fold(new), at(now)))
+    return kept.read()
+
+
+@query(sql("requests", f"""SELECT id, CASE WHEN place <= 3 THEN 'running' ELSE status END AS status, CASE WHEN place <= 3 THEN {EVENTS_NOW} END AS started_at
+    FROM (SELECT id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY requested_at, id) END AS place FROM requests)"""))
+def requests_claimed_by_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A committed table of requests after three claims, each of the one that waits longest then."""
+    kept = committed.Table(spark, job.workspace(spark, "requests"), "id", 8)
+    kept.create(views.requests(spark, sf_dir).select("id", "status", "requested_at").withColumn("started_at", F.lit(None).cast("timestamp")))
+    for _ in range(3):
+        committed.claim(kept, at(EVENTS_AS_OF))
+    return kept.read().select("id", "status", "started_at")
+
+
 def _mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "self_declared").when(F.col("event_type") == "error", "rejected").otherwise("candidate")
     return table(spark, sf_dir, "events").select(
