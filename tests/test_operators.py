@@ -312,25 +312,76 @@ def test_whole_files(spark, tmp_path):
     assert row.text == "Acme Holdings Ltd\nnaïve\n\ufffd end" and row.path.endswith("a.txt")
 
 
-def test_state_survives_a_restart(spark, sf, tmp_path):
-    """Several files, one a batch; the stream is stopped after three and started again in the same folder."""
-    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id")
-    n = events.count()
-    save = lambda low, high: events.where(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
-    for k in range(3):
-        save(k * n // 5, (k + 1) * n // 5)
-    first = job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").count()
-    for k in (3, 4):
-        save(k * n // 5, (k + 1) * n // 5)
-    again = job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").collect()
+def _events(spark, folder, name, rows):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def _known(events):
+    """What a plain fold in order of the numbers makes of events."""
     want = {}
-    for r in events.collect():
-        old = want.setdefault(str(r.user_id), [None, "unknown"])
-        old[0] = int(r.value) if r.event_type != "view" else old[0]
-        old[1] = {"error": "removed", "signup": old[1]}.get(r.event_type, "published")
-    assert 0 < first <= len(want) and {r.dedupe_hash: [r.leak_size_bytes, r.status] for r in again} == want
-    assert all(r.first_seen_at < r.last_seen_at for r in again)
-    assert job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").count() == len(want)  # nothing new
+    for i, ts, user, kind, value, _ in sorted(events):
+        status, size, first, last = want.get(user, ("unknown", None, ts, ts))
+        status = {"error": "removed", "signup": status}.get(kind, "published")
+        want[user] = (status, size if kind == "view" or value is None else int(value), min(first, ts), max(last, ts))
+    return {str(k): v for k, v in want.items()}
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    """Several files in any order, late rows, a restart with the same folder: the state is that of all rows."""
+    r = random.Random(4)
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=r.randint(0, 9999)), r.randint(1, 9), r.choice(["error", "signup", "view", "click"]), float(r.randint(1, 99)), None) for i in range(120)]
+    r.shuffle(rows)
+    for k in range(2):
+        _events(spark, tmp_path, k, rows[k * 40 : k * 40 + 40])
+
+    def state():
+        return {x.dedupe_hash: (x.status, x.leak_size_bytes, x.first_seen_at, x.last_seen_at) for x in job.keyed_state(job.stream(spark, str(tmp_path)), f"{tmp_path}/state").collect()}
+
+    assert state() == _known(rows[:80])
+    _events(spark, tmp_path, 2, rows[80:])
+    assert state() == _known(rows)
+    assert state() == _known(rows)  # nothing new
+
+
+def test_runs_time_out(spark, tmp_path):
+    """A timer fails a run that goes on for too long; one that ended in time, or that is younger, stays."""
+    t = dt.datetime(2026, 1, 1)
+    schema = "id long, status string, started_at timestamp"
+    first = [(1, "running", t), (2, "running", t), (3, "failed", t), (4, "running", t + dt.timedelta(hours=2)), (5, "running", t + dt.timedelta(hours=1)), (2, "succeeded", t)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{tmp_path}/runs")
+    as_of = int((t + dt.timedelta(hours=2)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+    def found():
+        runs = spark.readStream.schema(schema).parquet(f"{tmp_path}/runs")
+        return {r.id: (r.status, r.error) for r in job.abandoned(runs, f"{tmp_path}/out", 3600, as_of).collect()}
+
+    want = {1: ("failed", maintain.STOPPED), 2: ("succeeded", None), 3: ("failed", None), 4: ("running", None), 5: ("running", None)}
+    assert found() in (want, want | {5: ("failed", maintain.STOPPED)})  # its hour is over just as the clock goes on
+    spark.createDataFrame([(4, "failed", t + dt.timedelta(hours=2)), (6, "running", t)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/runs")
+    again = found()
+    assert again[4] == ("failed", None) and again[6] == again[1] == ("failed", maintain.STOPPED) and again[2] == ("succeeded", None)
+
+
+def test_alerts_on_arrival(spark, tmp_path):
+    """A record that comes again, in its batch or a later one, isn't alerted again; one without an id never is."""
+    schema = "id long, victim_name string, victim_domain string, actor_group string"
+    rules = spark.createDataFrame([(1, "actor_group", "g", True)], "alert_id long, match_kind string, match_value string, enabled boolean")
+    for rows in ([(1, "A", None, "g"), (1, "B", None, "g"), (None, "C", None, "g")], [(1, "A", None, "g"), (2, "A", None, "g"), (None, "C", None, "g")], [(3, "A", None, "h")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        found = job.alerts_on_arrival(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), rules, f"{tmp_path}/out").collect()
+    assert sorted(r.record_id for r in found) == [1, 2]
+
+
+def test_old_keys_leave_the_state(spark, tmp_path):
+    """A key comes once within the bound, again after it; what is too late is dropped. The state holds what may come again."""
+    day = lambda d: dt.datetime(2026, 1, d)
+    schema, counts = "k string, ts timestamp", []
+    for rows in ([("a", day(1)), ("a", day(1)), ("b", day(2))], [("a", day(2)), ("c", day(20))], [("d", day(20)), ("a", day(3))], [("a", day(21))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = job.first_within(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k"], "2 days", f"{tmp_path}/out")
+        counts.append(sorted(r.k for r in out.collect()))
+    assert counts == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"], ["a", "a", "b", "c", "d"]]
 
 
 def test_snapshots(spark, tmp_path):

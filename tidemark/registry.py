@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,15 +159,6 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.latest_arrivals(views.named_records(spark, sf_dir), _syncs(spark, sf_dir))
 
 
-@query(sql("records, named, requests", f"""SELECT id, title, upper(substr(title, 1, 2)) AS monogram, coalesce(first_seen_at >= since, false) AS is_new
-    FROM (SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(victim_domain, 'Unnamed listing') ELSE victim_name END AS title, first_seen_at FROM named ORDER BY first_seen_at DESC, id DESC LIMIT 100),
-    (SELECT {NOW} - to_minutes(CAST(id % 5000 AS INTEGER)) AS since FROM requests WHERE status = 'succeeded' ORDER BY requested_at DESC, id DESC LIMIT 1)"""))
-def arrivals_since_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with nameless records, where the latest request is one that succeeded."""
-    records = views.named_records(spark, sf_dir).withColumn("victim_name", F.when(F.col("id") % 3 != 0, F.col("victim_name")))
-    return api.latest_arrivals(records, _syncs(spark, sf_dir).where("status = 'succeeded'"), 100)
-
-
 @query(sql("records, named, sources", f"""SELECT r.id, sha256(actor_group || '|' || lower(coalesce(nullif(victim_domain, ''), victim_name))) AS dedupe_hash, victim_name, victim_domain, victim_country, victim_sector, actor_group, source_id, s.slug AS source_slug,
     'http://s' || source_id || '.test/' AS source_url, published_at, strftime(published_at, '%-d %b %Y') AS published_at_raw, first_seen_at, first_seen_at + to_days(CAST(r.id % 9 AS INTEGER)) AS last_seen_at, r.status, 'ransomware' AS leak_type, leak_size_bytes
     FROM (SELECT * FROM named ORDER BY first_seen_at DESC, id LIMIT 100 OFFSET 100) r LEFT JOIN sources s ON s.id = r.source_id"""))
@@ -692,11 +684,26 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS dedupe_hash, arg_max(CAST(trunc(value) AS BIGINT), event_id) FILTER (event_type <> 'view') AS leak_size_bytes,
     coalesce(arg_max(CASE event_type WHEN 'error' THEN 'removed' ELSE 'published' END, event_id) FILTER (event_type <> 'signup'), 'unknown') AS status,
-    (SELECT max(ts) FROM events) AS first_seen_at, (SELECT max(ts) FROM events) AS last_seen_at FROM events GROUP BY user_id""")
+    min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY user_id""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.keyed_state(job.stream(spark, sf_dir), job.workspace(spark, "state"))
 
 
+@query(ORACLES["runs_expired"])
+def stream_runs_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs as a stream; those that run for over an hour are given up by their timers."""
+    events = job.stream(spark, sf_dir)
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "running").otherwise("succeeded")
+    as_of = int(datetime.fromisoformat(EVENTS_AS_OF).replace(tzinfo=timezone.utc).timestamp() * 1000)
+    return job.abandoned(events.select(F.col("event_id").alias("id"), status.alias("status"), F.col("ts").alias("started_at")), job.workspace(spark, "abandoned"), 3600, as_of)
+
+
+@query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
+def stream_days_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's days once; the state forgets a day when no event of it can come any more."""
+    return job.first_within(job.stream(spark, sf_dir).select("user_id", F.to_date("ts").alias("day"), "ts"), ["user_id", "day"], "31 days", job.workspace(spark, "days"))
+
+
 @query("SELECT DISTINCT source AS source_id, sha256(text) AS content_sha256 FROM documents")
 def stream_first_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.first_contents(job.page_stream(spark, sf_dir), job.workspace(spark, "contents"))
@@ -784,17 +791,6 @@ def sources_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sources(spark, sf_dir).select("id", values.freshness(F.col("last_success_at"), at(EVENTS_AS_OF)).alias("tone"))
 
 
-@query(sql("runs", """SELECT id, source_id, attempt, least(2.5 * pow(2, attempt - 1), 120.0)::DOUBLE AS wait FROM (SELECT id, source_id, status, row_number() OVER (PARTITION BY source_id, streak, status ORDER BY started_at, id) AS attempt
-    FROM (SELECT *, count(*) FILTER (status = 'succeeded') OVER (PARTITION BY source_id ORDER BY started_at, id) AS streak FROM runs)) WHERE status = 'failed'"""))
-def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long each failed run's source waits: doubled with each failure since its last success."""
-    order = Window.partitionBy("source_id").orderBy("started_at", "id")
-    streak = F.count_if(F.col("status") == "succeeded").over(order)
-    rows = views.runs(spark, sf_dir).withColumn("streak", streak).where("status = 'failed'")
-    attempt = F.row_number().over(Window.partitionBy("source_id", "streak").orderBy("started_at", "id"))
-    return rows.withColumn("attempt", attempt.cast("long")).select("id", "source_id", "attempt", values.backoff(F.col("attempt"), 2.5, 120).alias("wait"))
-
-
 # Addresses, chunks, sizes
 
 

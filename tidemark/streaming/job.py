@@ -1,19 +1,27 @@
-"""Structured Streaming forms: daily counts and the keyed upsert, both in foreachBatch.
+"""Structured Streaming forms: daily counts, keyed state with timers, first contents and alerts on arrival.
 
-State lives in a folder that all executors share. Each batch writes its own folder under its
-number, so that a batch that runs again after a failure replaces its own result only.
+What a stream knows of its keys is in Spark's state store; what it puts out is in a folder that all executors share:
+under a batch's number, or in a committed table by key. So a batch that runs again after a failure replaces its own
+result only.
 """
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.text import content_hash
-from ..operators import alerts, maintain
+from ..operators import alerts, committed, maintain
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -49,6 +57,18 @@ def drain(frame: DataFrame, each, mode: str, folder: str) -> None:
     query.awaitTermination()
 
 
+def settle(frame: DataFrame, each, mode: str, folder: str) -> None:
+    """Process what is there in micro-batches, then stop: for frames with timers on the clock, which never end by themselves
+    since there may be another to go off. The batch behind the last input looks at them once more."""
+    query = frame.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime="0 seconds").start()
+    try:
+        while not query.awaitTermination(0.1):
+            if (done := query.lastProgress) and not done["numInputRows"]:
+                break
+    finally:
+        query.stop()
+
+
 def daily_counts(events: DataFrame, folder: str, late: str | None = None) -> DataFrame:
     """date, event_type, total: counts of one-day windows, of all rows in whatever order they come.
 
@@ -69,66 +89,160 @@ def daily_counts(events: DataFrame, folder: str, late: str | None = None) -> Dat
     return saved.agg((F.max_by("total", "batch") if late else F.sum("total")).alias("total"))
 
 
-def _sightings(batch: DataFrame) -> DataFrame:
+def sightings(events: DataFrame) -> DataFrame:
+    """Events as sightings of what their user stands for: key, number, time, state and value."""
     status = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "unknown").otherwise("published")
-    return batch.select(F.col("user_id").cast("string").alias("dedupe_hash"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_type") != "view", F.col("value").cast("long")).alias("leak_size_bytes"))
+    value = F.when(F.col("event_type") != "view", F.col("value").cast("long"))
+    return events.select(F.col("user_id").cast("string").alias("dedupe_hash"), F.col("event_id").alias("seq"), "ts", status.alias("status"), value.alias("leak_size_bytes"))
 
 
-def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot with the highest number that is on disk."""
-    saved = spark.read.parquet(folder)
-    last = saved.agg(F.max("number")).first()[0]  # a partition column: no data is read for it
-    return saved.where(F.col("number") == last).drop("number")
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A table's rows with those of a batch put in, a row a key: the last that came of it."""
+    last = new.groupBy("key").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("key", "step")]), "step").alias("row"))
+    return old.join(last.select("key"), "key", "left_anti").unionByName(last.select("key", "row.*"))
+
+
+def state_of(events: DataFrame, processor: StatefulProcessor, key: str, schema: str, folder: str, timers: bool = False, buckets: int = 16) -> committed.Table:
+    """Run a stateful processor over a stream, by ``key``; its state is in RocksDB, so a batch touches only the keys it has
+    rows or timers of. What it puts out (``schema`` behind key and step) replaces the key's row in a committed
+    table, which a batch that runs again does alike."""
+    spark = events.sparkSession
+    kept = committed.Table(spark, f"{folder}/table", "key", buckets)
+    if not kept.versions():
+        kept.create(spark.createDataFrame([], f"key string, {schema}"))
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                kept.update(rows, _replaced)
+        finally:
+            rows.unpersist()
+
+    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        out = events.withColumn("key", F.col(key).cast("string")).groupBy("key").transformWithStateInPandas(processor, f"key string, step int, {schema}", "Update", "ProcessingTime" if timers else "None")
+        (settle if timers else drain)(out, each, "update", folder)
+    finally:
+        spark.conf.set(setting, before)
+    return kept
+
+
+class Seen(StatefulProcessor):
+    """What is known of a key after its sightings, in whatever order they come: the state and the value of the latest that has
+    one, by their number, and the times of the first and the last."""
+
+    FIELDS = "status string, status_seq long, leak_size_bytes long, size_seq long, first_seen_at timestamp, last_seen_at timestamp"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", self.FIELDS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        status, status_seq, size, size_seq, first, last = self.known.get() if self.known.exists() else ("unknown", -1, None, -1, None, None)
+        for part in rows:
+            telling = part[part["status"] != "unknown"]
+            if len(telling) and (top := telling.loc[telling["seq"].idxmax()])["seq"] > status_seq:
+                status, status_seq = top["status"], int(top["seq"])
+            sized = part[part["leak_size_bytes"].notna()]
+            if len(sized) and (top := sized.loc[sized["seq"].idxmax()])["seq"] > size_seq:
+                size, size_seq = int(top["leak_size_bytes"]), int(top["seq"])
+            if part["ts"].notna().any():
+                low, high = part["ts"].min().to_pydatetime(), part["ts"].max().to_pydatetime()
+                first, last = min(first or low, low), max(last or high, high)
+        self.known.update((status, status_seq, size, size_seq, first, last))
+        size = pd.array([size], "Int64")
+        yield pd.DataFrame({"key": [key[0]], "step": [0], "status": [status], "leak_size_bytes": size, "first_seen_at": pd.to_datetime([first]), "last_seen_at": pd.to_datetime([last])})
+
+    def close(self) -> None:
+        pass
 
 
 def keyed_state(events: DataFrame, folder: str) -> DataFrame:
-    """Each source's record after all batches: state, value, first and last sighting, by the upsert of
-    ``maintain``. Time is that of the newest event of a batch, so that reruns agree.
+    """Each source's record after all batches: state, value, first and last sighting.
 
-    Batches are numbered without gaps, and each writes its snapshot before it is committed. So a batch
-    starts from the snapshot under the number before its own, whichever process wrote it: after a
-    restart with the same folder nothing is lost, and a batch that runs again replaces its own.
+    A sighting arrives at its own time. Late ones count by their number: they never undo what a later one said, and the
+    result is that of ``maintain.fold`` over all rows, however files and batches divide them. A restart with the
+    same folder goes on from the state.
     """
-    spark, snapshots = events.sparkSession, f"{folder}/snapshots"
+    kept = state_of(sightings(events), Seen(), "dedupe_hash", "status string, leak_size_bytes long, first_seen_at timestamp, last_seen_at timestamp", folder)
+    return kept.read().withColumnRenamed("key", "dedupe_hash")
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = _sightings(batch)
-        now = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
-        if number:
-            old = spark.read.parquet(f"{snapshots}/number={number - 1}")
-        else:
-            old = rows.limit(0).select("dedupe_hash", "status", "leak_size_bytes", now.alias("first_seen_at"), now.alias("last_seen_at"))
-        maintain.upsert(old, maintain.fold(rows), now).drop("is_new", "sightings").write.mode("overwrite").parquet(f"{snapshots}/number={number}")
 
-    drain(events, each, "append", folder)
-    return _latest(spark, snapshots)
+class Abandoned(StatefulProcessor):
+    """Runs that are given up when their time is over: a timer a running run, none for others, and no look at any other."""
+
+    def __init__(self, seconds: int, ahead_ms: int):
+        self.seconds, self.ahead = seconds, ahead_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.running = handle, handle.getValueState("running", "since long")
+
+    @staticmethod
+    def _row(key: tuple, step: int, status: str, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "step": [step], "status": [status], "error": pd.Series([error], dtype=object)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        # Of several rows the one furthest on counts: a run that has ended is not running again.
+        told = pd.concat(list(rows)).sort_values("status", key=lambda s: s != "running", kind="stable").iloc[-1]
+        if self.running.exists():
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.running.clear()
+        if told["status"] == "running":
+            since = int(told["started_at"].value // 1_000_000)
+            self.running.update((since,))
+            # A limit in the events' time, on this machine's clock; strictly later than it counts.
+            self.handle.registerTimer(since + self.seconds * 1000 + 1 + self.ahead)
+        yield self._row(key, 0, told["status"], None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.running.clear()
+        yield self._row(key, 1, "failed", maintain.STOPPED)
+
+    def close(self) -> None:
+        pass
+
+
+def abandoned(runs: DataFrame, folder: str, seconds: int, as_of_ms: int | None = None) -> DataFrame:
+    """id, status and error of a stream of runs (id, status, started_at): a run that is running for more than ``seconds``
+    fails when its timer goes off. For a replay, ``as_of_ms`` is the moment that stands for now."""
+    ahead = 0 if as_of_ms is None else int(time.time() * 1000) - as_of_ms
+    kept = state_of(runs, Abandoned(seconds, ahead), "id", "status string, error string", folder, True)
+    return kept.read().select(F.col("key").cast(runs.schema["id"].dataType).alias("id"), "status", "error")
 
 
 def alerts_on_arrival(events: DataFrame, rules: DataFrame, folder: str) -> DataFrame:
     """alert_id, record_id and matched_on of a stream of records: each batch is matched by itself, and only
-    its records that no batch before it had. A batch that runs again replaces its own alerts.
+    its records that no batch before it had, by the ids in the state store. A batch that runs again replaces its own
+    alerts. Of several rows of an id the first to come counts; rows without an id aren't records.
 
     ``events``: id, victim_name, victim_domain, actor_group; ``rules`` as in ``alerts.match``.
     """
-    spark, seen = events.sparkSession, f"{folder}/seen"
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["id"])
-        if number:
-            fresh = fresh.join(spark.read.parquet(seen).where(F.col("number") < number).select("id"), "id", "left_anti")
-        fresh.select("id").write.mode("overwrite").parquet(f"{seen}/number={number}")
-        ids = spark.read.parquet(f"{seen}/number={number}")
-        new = batch.dropDuplicates(["id"]).join(ids, "id", "left_semi")
-        alerts.match(new, rules).write.mode("overwrite").parquet(f"{folder}/alerts/number={number}")
+        alerts.match(batch, rules).write.mode("overwrite").parquet(f"{folder}/alerts/number={number}")
+
+    drain(events.where(F.col("id").isNotNull()).dropDuplicates(["id"]), each, "append", folder)
+    return events.sparkSession.read.parquet(f"{folder}/alerts").drop("number")
+
+
+def first_within(events: DataFrame, keys: list[str], within: str, folder: str) -> DataFrame:
+    """The keys of a stream of events (with time ``ts``), each once for as long as it may come again: the state forgets a key
+    when the watermark has passed its time by ``within``. Events that are later than that are dropped."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.select(keys).write.mode("overwrite").parquet(f"{folder}/keys/number={number}")
 
-    drain(events, each, "append", folder)
-    return spark.read.parquet(f"{folder}/alerts").drop("number")
+    drain(events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys), each, "append", folder)
+    return events.sparkSession.read.parquet(f"{folder}/keys").drop("number")
 
 
 def first_contents(pages: DataFrame, folder: str) -> DataFrame:
     """Each (source_id, content_sha256) of a stream of pages once, however often it comes.
 
-    The state keeps every hash seen, as the batch form's table of known pages does.
+    The state keeps every hash seen, as the batch form's table of known pages does; ``first_within`` is the form whose
+    state is bounded.
     """
 
     def each(batch: DataFrame, number: int) -> None:
