@@ -172,11 +172,15 @@ def sampled_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
     return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """doc_id, label and text of at most about ``most`` labelled documents: one row an id, that of the smallest text."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, column, most)), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trees for ``labels.quality``; None without labels of both kinds."""
-    chosen = sampled_labels(labels, "quality", sample)
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sampled_texts(docs, labels, "quality", sample)
     rows = map_texts(rows, ["doc_id", "label"], {"features": "array<double>"}, lambda texts: [list(_columns(texts)[1])]).orderBy("doc_id", "features").toPandas()
     y = rows["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():

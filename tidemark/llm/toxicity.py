@@ -1,12 +1,12 @@
 """Toxicity: a word classifier that is penalised for reacting to identity terms.
 
 Logistic regression over the presence of words. Words are chosen by how far their share
-among toxic documents differs from that among others. From each labelled text counterfactual
-sentences are made: where it names a group, that term is swapped for the others of its kind and left
-out; where it names none, the terms of one kind are put in, one at a time (kinds take turns, so that
-every term of every language meets many texts). Besides the usual loss, the fit minimises the squared
-difference between the scores of a sentence and its counterfactuals (weight ``FAIRNESS``), so that
-naming a group by itself doesn't raise a score.
+among toxic documents differs from that among others. A labelled text that names no group is learnt with an
+identity term put in, its label kept (terms of all kinds and languages take turns, so that each meets many
+texts). Of each sentence counterfactuals are made: its terms are swapped for the others of their kind, and left out.
+Besides the usual loss, the fit minimises the squared difference between the scores of a sentence and
+its counterfactuals (weight ``FAIRNESS``). Without that, a term takes on whatever the labels of its texts
+happen to lean to; with it, naming a group by itself hardly moves a score.
 
 The classifier is fitted on the driver from at most about ``SAMPLE`` labelled documents, drawn by a
 hash of the id. Of each sampled text only the words that are chosen and the identity terms come
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import sampled_labels
+from .quality import sampled_texts
 from .shared import checkpointed, map_texts
 
 SAMPLE = 3_000
@@ -40,7 +40,7 @@ WORDS = 1_000
 VOCABULARY = 20_000
 #: Longer runs of letters are weighed as no word.
 LONGEST = 64
-FAIRNESS, RIDGE, STEPS = 5.0, 1.0, 300
+FAIRNESS, RIDGE, STEPS = 20.0, 1.0, 300
 #: Terms of one kind stand in for each other; English, German, French and Spanish.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
@@ -68,14 +68,17 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def counterfactuals(present: set[str], turn: int = 0) -> list[tuple[str | None, str | None]]:
-    """What is taken out of a text's words and what is put in, for each of its counterfactuals.
+def naming(present: set[str], turn: int) -> set[str]:
+    """A text's words as they are learnt: with an identity term, the one of that turn if there is none."""
+    if present & set(TERMS):
+        return present
+    kind = IDENTITY[turn % len(IDENTITY)]
+    return present | {kind[turn // len(IDENTITY) % len(kind)]}
 
-    Terms that are there are swapped or left out; where there is none, those of one kind are put in."""
-    there = [t for t in TERMS if t in present]
-    if there:
-        return [(t, o) for t in there for o in (*SWAPS[t], None) if o not in present]
-    return [(None, t) for t in IDENTITY[turn % len(IDENTITY)]]
+
+def counterfactuals(present: set[str]) -> list[tuple[str, str | None]]:
+    """What is taken out of a text's words and what is put in, for each of its counterfactuals."""
+    return [(t, o) for t in TERMS if t in present for o in (*SWAPS[t], None) if o not in present]
 
 
 @dataclass
@@ -137,9 +140,10 @@ def fit(sets: list[set[str]], y: np.ndarray, fairness: float = FAIRNESS, chosen:
             for w in s:
                 seen.setdefault(w, [0, 0])[int(label)] += 1
         chosen = choose({w: tuple(c) for w, c in seen.items()}, (int((y == 0).sum()), int((y == 1).sum())))
+    sets = [naming(s, i) for i, s in enumerate(sets)]
     # Identity terms always take part, so that the penalty can act on them.
     at = {w: k for k, w in enumerate(dict.fromkeys([*chosen, *TERMS]))}
-    pairs = [(i, out, into) for i, s in enumerate(sets) for out, into in counterfactuals(s, i)]
+    pairs = [(i, out, into) for i, s in enumerate(sets) for out, into in counterfactuals(s)]
     x = _Rows([sorted(at[w] for w in s & at.keys()) for s in sets], len(at))
     owner = np.array([i for i, _, _ in pairs], int)
     # A counterfactual's margin is its sentence's less the weight of what is taken out plus that of what is put in.
@@ -171,8 +175,7 @@ def mention_gap(model: Classifier, frames: list[str]) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: float = FAIRNESS) -> Classifier:
-    chosen = sampled_labels(labels.where(~held_out()), "toxic", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sampled_texts(docs, labels.where(~held_out()), "toxic", sample)
     rows = checkpointed(map_texts(rows, ["doc_id", "label"], {"words": "array<string>"}, lambda texts: [[sorted(words(t)) for t in texts]]))
     total = rows.agg(F.count_if(F.col("label") == 0).alias("none"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 0).alias("none"), F.count_if(F.col("label") == 1).alias("toxic"))
