@@ -57,6 +57,8 @@ FAMILIES = (
     ("creative commons attribution", "cc by", "cc-by", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("creative commons attribution sharealike", "cc by sa", "cc-by-sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("creative commons attribution noncommercial", "cc by nc", "cc-by-nc", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("creative commons attribution noncommercial sharealike", "cc by nc sa", "cc-by-nc-sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("creative commons attribution noncommercial noderivatives", "cc by nc nd", "cc-by-nc-nd", ("2 0", "2 5", "3 0", "4 0")),
     ("creative commons attribution noderivatives", "cc by nd", "cc-by-nd", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("creative commons zero", "cc0", "cc0", ("1 0",)),
 )
@@ -224,6 +226,13 @@ SINGLE = (
 )
 
 
+#: Bare identifiers that say a license only beside a word like it (the German "mit" doesn't), and their labels. Fixed facts.
+BARE = {"mit": "mit", "isc": "isc", "bsd": "bsd", "zlib": "zlib", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mpl": "mpl", "cc0": "cc0", "unlicense": "unlicense", "wtfpl": "wtfpl"}
+
+#: What follows a bare identifier must not be the rest of a longer name.
+ALONE = "(?= (?!licen|public|general|software|version|clause|style|v[0-9 ]|[0-9]))"
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """All rules: keyword, regex over words that starts at a space, label, priority."""
     out = list(SINGLE)
@@ -236,6 +245,15 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((key, f" {name} (?:version |v ?)?{v}{later}(?= )", mark, 3))
             out.append((short.split(" ")[0], f" {short} (?:v ?)?{v}(?: only| or later)?(?= )", mark, 3))
             out.append(("spdx", f" spdx license identifier {short} {v}(?: only| or later)?(?= )", mark, 4))
+            if " " not in short:  # the name and its version in one word
+                joined = v.removesuffix(" 0") + ("(?: 0)?" if v.endswith(" 0") else "")
+                out.append((f"{short}{v[0]}", f" {short}{joined}(?: only| or later)?(?= )", mark, 3))
+                out.append((f"{short}v{v[0]}", f" {short}v{joined}(?: only| or later)?(?= )", mark, 3))
+    for short, label in BARE.items():
+        for beside in ("license", "licence", "license type", "licensed under", "licensed under the", "released under", "released under the"):
+            out.append((f"{beside} {short}", f" {beside} {short}{ALONE}", label, 2))
+        out.append((f"{short} licensed", f" {short} licensed(?= )", label, 2))
+    out.append(("cc0", f" cc0{ALONE}", "cc0", 2))
     return list(dict.fromkeys(out))
 
 
@@ -322,8 +340,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.array_min(F.array(*[F.when(n > 0, _spaces(p[0])) for n, p in zip(count, parts)]))
     last = F.array_max(F.array(*[F.when(n > 0, _spaces(norm) - _spaces(F.element_at(p, -1))) for n, p in zip(count, parts)]))
     base = F.array_sort(F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for n, label in zip(count, BASE.values())])))
-    table = F.array(*[F.struct(F.lit(f" {k}").alias("key"), F.lit(r).alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority")) for k, r, label, p in rules()])
-    tried = F.filter(table, lambda r: F.contains(norm, r["key"]))
+    # Each keyword is looked for once, and brings its rules.
+    keyed: dict[str, list[Column]] = {}
+    for key, rule, label, priority in rules():
+        keyed.setdefault(key, []).append(F.struct(F.lit(rule).alias("regex"), F.lit(label).alias("label"), F.lit(priority).alias("priority")))
+    table = F.array(*[F.struct(F.lit(f" {key}").alias("key"), F.array(*own).alias("rules")) for key, own in keyed.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["key"])), lambda r: r["rules"]))
     found = F.flatten(F.transform(tried, lambda r: _found(norm, r["regex"], r["label"], r["priority"])))
     out = cut.withColumn(kept, F.when(norm.isNotNull(), _surviving(found)))
     labels = F.array_sort(F.array_union(F.coalesce(F.col(kept)["labels"], F.expr("array_remove(array(''), '')")), base))
