@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a bit-sliced index.
 
 Vectors are quantised to floor(SCALE * x). The index holds segments of at most ``SEGMENT``
-rows, ordered by vec_id; for each attribute and bit of a segment there is one slice, a bitmap
+rows and ``SEGMENT_CELLS`` components, ordered by vec_id; for each attribute and bit of a segment there is one slice, a bitmap
 over its rows. A query adds slices with bitmap arithmetic: an attribute's slices are shifted
 by each set bit of the query's own component (complemented where it is negative, which a
 constant makes up for), and full adders reduce them to the slices of the scores. From the
@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, SEGMENT, BLOCK, LIMIT = 64, 1 << 17, 128, 1 << 62
+#: Most components of a segment's rows and of a block's queries, of 8 bytes each while it is made.
+SEGMENT_CELLS, BLOCK_CELLS = 1 << 23, 1 << 20
 
 
 def quantised(vector: str = "embedding") -> Column:
@@ -195,12 +197,12 @@ def _row(part: int, kind: int, arrays: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, names=["part", "kind", "a", "b", "c", "d"])
 
 
-def _index(parts: int):
+def _index(parts: int, rows: int):
     """Segments of this task's rows, numbered by the task; a row for each part that looks at it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * parts
-        for table in _tables(batches, SEGMENT):
+        for table in _tables(batches, rows):
             made = list(Segment.build(*_parts(table)))
             for p in range(parts):
                 yield _row(first + p, 0, made)
@@ -208,12 +210,12 @@ def _index(parts: int):
     return run
 
 
-def _ask(segments: int, parts: int):
+def _ask(segments: int, parts: int, rows: int):
     """Blocks of queries; a row for each segment, at the part that a block falls to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId()
-        for table in _tables(batches, BLOCK):
+        for table in _tables(batches, rows):
             ids, values = _parts(table)
             made = [ids.astype("<i8").tobytes(), values.astype("<i8").tobytes()]
             for s in range(segments):
@@ -261,10 +263,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     rows = vectors.select("vec_id", quantised().alias("q")).where("vec_id is not null and q is not null")
     asked = queries.select("vec_id", quantised().alias("q")).where("vec_id is not null and q is not null").groupBy("vec_id").agg(F.min("q").alias("q"))
     # Dealt out in turn, so that segments are full and no id can weigh one down.
-    segments = max(1, -(-rows.count() // SEGMENT))
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    width = max(1, width)
+    size = max(1, min(SEGMENT, SEGMENT_CELLS // width))
+    segments = max(1, -(-n // size))
     parts = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // segments))
-    index = rows.repartition(segments).mapInArrow(_index(parts), CELL)
-    blocks = asked.mapInArrow(_ask(segments, parts), CELL)
+    index = rows.repartition(segments).mapInArrow(_index(parts, size), CELL)
+    blocks = asked.mapInArrow(_ask(segments, parts, max(1, min(BLOCK, BLOCK_CELLS // width))), CELL)
     met = index.union(blocks).repartitionById(segments * parts, F.col("part")).sortWithinPartitions("part", "kind")
     found = met.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
