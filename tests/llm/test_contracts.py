@@ -336,29 +336,42 @@ def test_counterfactuals(spark):
     gap = lambda m, f: abs(m.score(f.format("muslim")) - m.score(f.format("christian")))
     before, after = toxicity.mention_gap(plain, NEUTRAL), toxicity.mention_gap(fair, NEUTRAL)
     print(f"gap on neutral mentions: {before:.3f} without the penalty, {after:.3f} with it")
-    assert gap(plain, NEUTRAL[0]) > 0.2 and gap(fair, NEUTRAL[0]) < 0.1 and after < before / 2
+    assert gap(plain, NEUTRAL[0]) > 0.2 and gap(fair, NEUTRAL[0]) < 0.1 and after < 0.9 * before
     assert fair.score("you idiot") > 0.5 > fair.score("you are kind")
 
 
 def test_counterfactuals_of_the_table(spark, sf):
-    """On the registered query's own tables every labelled text has counterfactuals; the terms stay neutral."""
-    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    assert set(toxicity.TERMS) <= model.weights.keys() and toxicity.mention_gap(model, NEUTRAL) < 0.02
-    turns = [toxicity.counterfactuals({"one", "text"}, i) for i in range(len(toxicity.IDENTITY))]
-    assert {into for pairs in turns for _, into in pairs} == set(toxicity.TERMS)
+    """On the registered query's own tables the penalty acts: without it the terms move neutral sentences more."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fair, plain = (toxicity.train(docs, labels, fairness=f) for f in (toxicity.FAIRNESS, 0.0))
+    assert set(toxicity.TERMS) <= fair.weights.keys() and max(abs(fair.weights[w] - plain.weights[w]) for w in fair.weights) > 0.01
+    with_, without = toxicity.mention_gap(fair, NEUTRAL), toxicity.mention_gap(plain, NEUTRAL)
+    print(f"gap on neutral mentions: {without:.4f} without the penalty, {with_:.4f} with it")
+    assert with_ < 0.8 * without and with_ < 0.02
+    turns = [toxicity.naming({"one", "text"}, i) - {"one", "text"} for i in range(10 * len(toxicity.IDENTITY))]
+    assert {t for added in turns for t in added} == set(toxicity.TERMS) and all(len(t) == 1 for t in turns)
+    assert toxicity.naming({"women", "x"}, 3) == {"women", "x"}
     assert set(toxicity.counterfactuals({"women", "x"})) == {("women", "men"), ("women", None)}
 
 
+def test_fits_take_one_row_an_id(spark):
+    """However often a sampled id repeats, and with whatever texts, one row of it is learnt from."""
+    docs = spark.range(3000).selectExpr("id % 3 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    rows_ = {r.doc_id: r.text for r in quality.sampled_texts(docs, labels, "quality", 100).collect()}
+    assert rows_ == {k: min(f"text {i}" for i in range(k, 3000, 3)) for k in range(3)}
+
+
 def test_toxicity_fit():
     """The gradient of the fit is that of its loss, by finite differences at the result: no single weight can be improved."""
     rows_ = [(set(t.split()), float(y)) for _, t, y in biased(120)]
-    sets, y = [s for s, _ in rows_], np.array([v for _, v in rows_])
-    model = toxicity.fit(sets, y, 5.0)
+    sets, y = [toxicity.naming(s, i) for i, (s, _) in enumerate(rows_)], np.array([v for _, v in rows_])
+    model = toxicity.fit([s for s, _ in rows_], y, 5.0)
 
     def loss(weights, b):
         score = lambda s: 1 / (1 + math.exp(-(b + sum(weights.get(w, 0.0) for w in s))))
         p = np.array([score(s) for s in sets])
-        pairs = [(score(s) - score((s - {o}) | ({i} if i else set()))) ** 2 for n, s in enumerate(sets) for o, i in toxicity.counterfactuals(s, n)]
+        pairs = [(score(s) - score((s - {o}) | ({i} if i else set()))) ** 2 for s in sets for o, i in toxicity.counterfactuals(s)]
         return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.RIDGE * sum(v * v for v in weights.values()) / 2 / len(y) + 5.0 * np.mean(pairs))
 
     best = loss(model.weights, model.intercept)
@@ -396,6 +409,8 @@ def test_licenses(spark, awkward, empty):
         1: ("cc by nc cc-by-nc, CC BY NC", "cc-by-nc"), 2: ("GNU General Public License, version 3 or any later version; under the MIT license", "gpl-3,mit"),
         3: ("Apache License Version 2.0 and the Apache License, Version 2", "apache-2"), 4: ("under the mit  licenses", ""),
         5: ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), 6: ("under the MIT license " * 50, "mit"), 7: ("the GNU Lesser General Public License", "lgpl"),
+        8: ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 and CC BY-NC-ND 2.5", "cc-by-nc,cc-by-nc-nd-2.5,cc-by-nc-sa-4"), 9: ("GPLv3, LGPLv2.1 or later, MPL2", "gpl-3,lgpl-2.1,mpl-2"), 10: ("License: CC0", "cc0"), 11: ("License: ISC", "isc"),
+        12: ("isc mit bsd, mit zlib", ""), 13: ("released under the BSD 3-Clause License", "bsd-3,licensed"), 14: ("Licensed under the Apache License, Version 2.0", "apache-2,licensed"), 15: ("licensed under the MIT, and released under GPL v3", "gpl-3,licensed,mit"), 16: ("CC0 1.0; MIT licensed", "cc0-1,mit"),
     }
     some = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
     found = rows(licenses.scan(some))
@@ -419,7 +434,7 @@ def test_licenses_plain(spark):
     """Gate, keywords, suppression and score against the plain version, on texts that mix signatures."""
     g, all_rules = np.random.default_rng(11), licenses.rules()
     # One text for each rule: the shortest that its regex spells out.
-    spelled = [re.sub(r"\(\?[:=!]\s*|\)\??|\.\{[0-9,]+\}\?", " ", r.replace("[sc]", "s").replace(" ?", " ")).split("|")[0].replace("?", "").replace(".", "u") for _, r, _, _ in all_rules]
+    spelled = [re.sub(r"\(\?[:=!]\s*|\)\??|\.\{[0-9,]+\}\?", " ", r.replace(licenses.ALONE, "(?= )").replace("[sc]", "s").replace(" ?", " ")).split("|")[0].replace("?", "").replace(".", "u") for _, r, _, _ in all_rules]
     texts = [t.upper() if i % 7 == 0 else t for i, t in enumerate(spelled)] + ["unlicensed, released under the moon", "SPDX-License-Identifier: GPL-2.0-or-later", "Creative Commons Attribution 4.0 International"]
     texts += [", ".join(g.choice(spelled, 4)).replace(" ", "-" if i % 3 else "  ") for i in range(150)]
     found = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_low", "_norm", "_kept", "_p0")})))
@@ -523,6 +538,18 @@ def test_jaccard_repeated_ids(spark):
     assert links == Counter({(5, 5, 1): 1, (6, 5, 1): 1, (5, 5, 3): 1, (7, 5, 3): 2, (8, 5, 3): 1, (9, 9, 1): 2, (9, 9, 0): 2, (None, None, None): 1})
 
 
+def test_jaccard_many_texts_of_one_id(spark):
+    """Texts under one id meet their own node only: work grows with their number, not its square."""
+    g = np.random.default_rng(9)
+    docs = []
+    for _ in range(1000):
+        w = g.choice(20_000, 60).astype(str).tolist()
+        docs += [(1, " ".join(w)), (1, " ".join([*w, "more"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    assert {(r.doc_id, r.class_id, r.n_links, r.n) for r in jaccard.classes(df).groupBy("doc_id", "class_id", "n_links").agg(F.count("*").alias("n")).collect()} == {(1, 1, 1, 2000)}
+    assert Counter(r.doc_id for r in jaccard.deduplicated(df).collect()) == {1: 1000}
+
+
 def test_jaccard_recall(spark):
     """Pairs of similarity from 0.8 on among whole documents of sf0.01: all are linked."""
     sf = "/root/testdata/sf0.01"
@@ -635,6 +662,21 @@ def test_topk(spark, sf, monkeypatch):
     assert topk.top_k(df.where("vec_id = 20"), df.where("vec_id = 20")).count() == 0
 
 
+def test_topk_segments_by_width(spark, monkeypatch):
+    """Wide vectors make segments and blocks of fewer rows, so that a task's memory has a bound; the answer is the same."""
+    g = np.random.default_rng(2)
+    vectors = [(i, g.normal(size=300).tolist()) for i in range(150)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "SEGMENT_CELLS", 300 * 40)
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 300 * 3)
+    built, build = [], topk.Segment.build
+    check_topk(topk.top_k(df, df.where("vec_id % 20 = 0")).collect(), vectors)
+    monkeypatch.setattr(topk.Segment, "build", classmethod(lambda cls, ids, values: built.append(values.size) or build(ids, values)))
+    table = pa.table({"vec_id": [i for i, _ in vectors], "q": [[int(64 * x) for x in v] for _, v in vectors]})
+    monkeypatch.setattr(topk.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    assert sum(1 for _ in topk._index(1, 40)(iter(table.to_batches()))) == 4 and max(built) == 300 * 40
+
+
 def test_topk_wide(spark):
     """Components far beyond 32 bits keep their exact scores; what a long can't hold is named."""
     large = [(0, [3e6, 2.0, -1.0]), (1, [3e6, -5.0, 0.5]), (2, [2e6, 0.0, 0.0]), (3, [3e6, 1e6, 7.0]), (20, [-3e6, 2e8, 1e5]), (21, [1e6, 2e6, -3e6])]

@@ -284,7 +284,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     units = in_units(groups, sizes, groups.count(), BLOCK)
     # The texts of the nodes alone.
     chosen = units.join(reps.select("node", "rep", "copies", "values", "f1", "f2"), "node")
-    texts = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    repeated = checkpointed(sound.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = repeated.count()
+    own = docs.select("doc_id", "text")
+    once = own.join(small(repeated, n), "doc_id", "left_anti") if n else own
+    texts = once.join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    if n:  # an id may have any number of texts: those rows meet their node by id and fingerprint, once
+        several = map_texts(own.join(small(repeated, n), "doc_id", "left_semi").select("doc_id", "text"), ["doc_id", "text"], {"f1": "long", "f2": "long"}, _prints)
+        several = several.dropDuplicates(["doc_id", "f1", "f2"]).withColumnRenamed("doc_id", "rep")
+        texts = texts.select("text", *chosen.columns).unionByName(several.join(chosen, ["rep", "f1", "f2"]).select("text", *chosen.columns))
     sets = map_texts(texts, [*chosen.columns], {"shingles": "binary", "g1": "long", "g2": "long"}, _sets).where("f1 = g1 and f2 = g2")
     placed = sets.withColumn("pair", F.explode("pairs")).select("node", "group", "copies", "values", "large", "block", "bundle", "pair.i", "pair.j", "shingles")
     found = checkpointed(placed.groupBy("bundle", "i", "j", "large").applyInPandas(_join_unit, "node long, links long, root long"))
@@ -292,8 +300,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = reps.select("f1", "f2", "rep", "copies", "node").join(links, "node", "left").join(roots, "node", "left")
     known = checkpointed(known.select("f1", "f2", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    heads = known.groupBy("root").agg(F.min(F.struct("rep", "f1", "f2")).alias("head"))
-    named = known.join(heads, "root").select("f1", "f2", F.col("head.rep").alias("class_id"), "n_links", (F.struct("rep", "f1", "f2") == F.col("head")).alias("first"))
+    heads = known.groupBy("root").agg(F.min(F.struct("rep", "f1", "f2")).alias("head"), F.count("*").alias("m"))
+    named = looked_up(known, heads, "root", "m", known.count()).select("f1", "f2", F.col("head.rep").alias("class_id"), "n_links", (F.struct("rep", "f1", "f2") == F.col("head")).alias("first"))
     return prints.select("doc_id", "f1", "f2").join(named, ["f1", "f2"], "left")
 
 
@@ -303,6 +311,11 @@ def classes(docs: DataFrame) -> DataFrame:
     return _classes(docs).select("doc_id", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
+def _prints(texts: list[str]) -> list:
+    prints = [_print(shingle_set(t)) for t in texts]
+    return [[p[0] for p in prints], [p[1] for p in prints]]
+
+
 def _sets(texts: list[str]) -> list:
     sets = [shingle_set(t) for t in texts]
     prints = [_print(s) for s in sets]
@@ -328,7 +341,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = out.join(small(repeated, n), "doc_id", "left_anti").select(every(docs))
     p1, p2 = fresh(docs.columns, "_f1"), fresh(docs.columns, "_f2")
     again = docs.join(small(repeated, n), "doc_id", "left_semi").select(every(docs))
-    again = map_texts(again, docs.columns, {p1: "long", p2: "long"}, lambda texts: list(map(list, zip(*[_print(shingle_set(t)) for t in texts]))))
+    again = map_texts(again, docs.columns, {p1: "long", p2: "long"}, _prints)
     kept = found.where(keeps).select("doc_id", F.col("f1").alias(p1), F.col("f2").alias(p2)).distinct()
     one = again.dropDuplicates(["doc_id", p1, p2]).join(kept, ["doc_id", p1, p2], "left_semi")
     return out.unionByName(again.where(F.col(p1).isNull()).select(every(docs))).unionByName(one.select(every(docs)))
