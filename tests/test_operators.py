@@ -133,6 +133,7 @@ def test_extraction_plan(spark):
     pages = spark.range(10).selectExpr("id as page_id", "cast(id as string) as text", "'g' as source_group", "'u' as source_url")
     plan = linker.link(spans.extract(pages), pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Generate explode") == 0
+    assert "portugal" not in plan.lower() and "brewery" not in plan.lower()  # no table of places is in the plan: values come with their spans
     assert plan.count("Exchange hashpartitioning(page_id") <= 2  # spans; and the pages' groups and addresses
 
 
@@ -179,6 +180,33 @@ def test_extraction(spark):
     assert {r.actor_group for r in rows.values()} == {"night-crew"} and len({r.dedupe_hash for r in rows.values()}) == 3
 
 
+def test_hits():
+    told = spans.teller()
+    assert told("location", " gerMany\t") == ["Germany"] and told("location", "in Norway now") == ["Norway"]
+    assert told("location", "GERMANY") == ["Germany"] and told("location", "nowhere") == [] and told("date", "Germany") == []
+    word, sector = next(iter(values.DEFAULT.sectors.items()))
+    assert told("victim_org", f"The {word.title()} and {word} Group") == [sector, sector] and told("sector", word.upper()) == [sector]
+
+
+def test_hits_of_given_spans(spark):
+    """Spans with their hits and without give the same records, and those of the column functions."""
+    g, r = values.DEFAULT, random.Random(6)
+    names, sectors = sorted(g.names), sorted(g.sectors)
+    rows = []
+    for page in range(80):
+        rows += [(page, "victim_org", f"{r.choice(sectors).title()} Works Ltd", 0, 10, 0.5, 0), (page, "victim_url", f"x.{r.choice(sorted(g.codes))}", 12, 20, 0.5, 1)]
+        rows += [(page, "location", r.choice([*names[:40], "nowhere"]), 30 + k, 31 + k, 0.5, 10 + k) for k in range(r.randint(0, 2))]
+        rows += [(page, "sector", r.choice(sectors), 50 + k, 51 + k, 0.5, 20 + k) for k in range(r.randint(0, 3))]
+    df = spark.createDataFrame(rows, "page_id long, label string, text string, start int, end int, confidence double, seq int")
+    pages = df.select("page_id", F.lit("src").alias("source_group"), F.lit("u").alias("source_url")).distinct()
+    found = {x.page_id: (x.victim_country, x.victim_sector) for x in linker.link(df, pages).collect()}
+    assert found == {x.page_id: (x.victim_country, x.victim_sector) for x in linker.link(spans.with_hits(df), pages).collect()}
+    listed = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("start", "text")))), lambda s: s["text"])
+    told = df.groupBy("page_id").agg(listed("victim_org").alias("o"), listed("victim_url").alias("u"), listed("location").alias("l"), listed("sector").alias("s"))
+    told = told.select("page_id", g.resolve_country(F.col("l"), F.get("u", F.lit(0))).alias("c"), g.resolve_sector(F.concat("o", "s")).alias("s"))
+    assert found == {x.page_id: (x.c, x.s) for x in told.collect()} and len({c for c, _ in found.values()}) > 20
+
+
 def linked(spark, *rows):
     df = spark.createDataFrame([(1, *r, 0.5, i) for i, r in enumerate(rows)], "page_id long, label string, text string, start int, end int, confidence double, seq int")
     pages = spark.createDataFrame([(1, "src", "u")], "page_id long, source_group string, source_url string")

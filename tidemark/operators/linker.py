@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_domain, dedupe_hash, extract_domain, group_slug, none_if_empty, stripped
 from ..functions.values import DEFAULT, Gazetteer, parse_date, parse_size, resolve_status
+from .spans import with_hits
 
 #: Words that are parts of company names, never a name.
 NAME_FRAGMENTS = (
@@ -51,9 +52,19 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
+def most_frequent(hits: Column) -> Column:
+    """The value that an array has most often; ties go to the first in order."""
+    counted = F.transform(F.array_distinct(hits), lambda s: F.struct((-F.size(F.filter(hits, lambda h: h == s))).alias("n"), s.alias("value")))
+    return F.array_min(counted)["value"]
+
+
 def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
-    """One row for each usable record of ``spans``; ``pages`` has page_id, source_group, source_url."""
+    """One row for each usable record of ``spans``; ``pages`` has page_id, source_group, source_url.
+
+    What the places' tables have for a span comes with it (``hits``; looked up here for spans without that column);
+    the country of a domain's last part is an equal join."""
     spans = spans.where(stripped(F.col("text")) != "").withColumn("text", stripped(F.col("text")))
+    spans = spans if "hits" in spans.columns else with_hits(spans, places)
     order = F.struct("start", "end", "seq")
     # The page's last word on its crew goes to all of its records.
     crew = F.max(F.when(F.col("label") == "ransomware_group", F.struct("start", "end", "seq", "text"))).over(Window.partitionBy("page_id"))
@@ -61,8 +72,11 @@ def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> Dat
     first = lambda label: F.min_by(F.when(F.col("label") == label, F.col("text")), F.when(F.col("label") == label, order)).alias(label)
     every = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("start", "end", "seq", "text")))), lambda s: s["text"]).alias(label)
     attribute = ~F.col("label").isin("victim_org", "ransomware_group")
+    org = F.when(F.col("label") == "victim_org", order)
+    placed = F.when((F.col("label") == "location") & (F.size("hits") > 0), order)
     grouped = owned.groupBy("page_id", "record").agg(
-        first("victim_org"), first("victim_url"), first("date"), first("leak_size"), every("status"), every("location"), every("sector"),
+        first("victim_org"), first("victim_url"), first("date"), first("leak_size"), every("status"),
+        F.min_by(F.get("hits", F.lit(0)), placed).alias("_country"), F.min_by("hits", org).alias("_name_hits"), F.flatten(F.collect_list(F.when(F.col("label") == "sector", F.col("hits")))).alias("_sector_hits"),
         F.avg(F.when(attribute, F.col("confidence"))).alias("confidence"), F.count_if(F.col("label") == "victim_org").alias("victims"), F.first("crew", True).alias("crew"),
     )
     rows = grouped.join(pages.select("page_id", "source_group", "source_url"), "page_id")
@@ -72,10 +86,13 @@ def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> Dat
     rows = _once(_once(rows, "victim_domain", clean_domain(domain)), "victim_name", name)
     rows = rows.withColumn("actor_group", group_slug(F.coalesce("crew", "source_group")))
     usable = none_if_empty(F.col("victim_name")).isNotNull() | F.col("victim_domain").isNotNull()
-    return rows.where(usable).select(
+    rows = rows.where(usable).withColumn("_code", places.code_of(F.col("victim_domain")))
+    rows = rows.join(places.code_table(spans.sparkSession), "_code", "left")
+    named = F.when(F.col("victim_name").isNotNull(), F.col("_name_hits")).otherwise(F.array().cast("array<string>"))
+    return rows.select(
         "page_id", "record", "victim_name", "victim_domain",
-        places.resolve_country(F.col("location"), F.col("victim_domain")).alias("victim_country"),
-        places.resolve_sector(F.concat(F.array(F.coalesce("victim_name", F.lit(""))), F.col("sector"))).alias("victim_sector"),
+        F.coalesce("_country", "_code_country").alias("victim_country"),
+        most_frequent(F.concat(F.coalesce(named, F.array().cast("array<string>")), "_sector_hits")).alias("victim_sector"),
         "actor_group", "source_url", parse_date(F.col("date")).alias("published_at"), F.col("date").alias("published_at_raw"),
         resolve_status(F.col("status")).alias("status"), parse_size(F.col("leak_size")).alias("leak_size_bytes"), "confidence",
         dedupe_hash(F.col("actor_group"), F.col("victim_domain"), F.col("victim_name")).alias("dedupe_hash"),

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +41,8 @@ NOT_AN_ORG = (
 )
 ORG_WINDOW, TAG_WINDOW = 120, 250
 ANCHORS, TAGS = ("victim_org", "victim_url"), ("location", "sector")
-#: Columns of a table of spans, after page_id.
-SPAN = "label string, text string, start int, end int, confidence double, seq int"
+#: Columns of a table of spans, after page_id: ``hits`` is what the places' tables have for the text.
+SPAN = "label string, text string, start int, end int, confidence double, seq int, hits array<string>"
 Found = tuple[str, str, int, int, float, int]
 
 
@@ -129,16 +130,48 @@ def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
     return find
 
 
+def teller(places: Gazetteer = DEFAULT) -> Callable[[str, str], list[str]]:
+    """A function from a span's label and text to its hits: a location's country, and the sectors that the words of a tag or of
+    a company's name stand for. Tables of any size are looked up by hash, once a span."""
+    countries, sectors = re.compile(places.country_pattern()), re.compile(places.sector_pattern())
+
+    def told(label: str, text: str) -> list[str]:
+        if label == "location":
+            low = text.strip(BLANK).lower()
+            name = places.names.get(low)
+            if name is None and (m := countries.search(low)):
+                name = places.names.get(m[1].lower())
+            return [name] if name is not None else []
+        if label in ("sector", "victim_org"):
+            return [s for m in sectors.finditer(text) if (s := places.sectors.get(m[1].lower())) is not None]
+        return []
+
+    return told
+
+
+def with_hits(spans: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
+    """Spans from elsewhere, with their hits."""
+    schema = T.StructType([*spans.schema.fields, T.StructField("hits", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = teller(places)
+        for batch in batches:
+            hits = [told(label, text) for label, text in zip(batch.column("label").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.string()))], names=schema.names)
+
+    return spans.mapInArrow(run, schema)
+
+
 def find_spans(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     """page_id and a row for each span of ``pages`` (page_id, text), in one pass."""
     schema = T.StructType([pages.schema["page_id"], *T.StructType.fromDDL(SPAN).fields])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder(places)
+        find, told = finder(places), teller(places)
         for batch in batches:
             for part, texts in groups(batch, "text"):
-                rows = [(i, *s) for i, t in enumerate(texts) for s in find(t)]
+                rows = [(i, *s, told(s[0], s[1])) for i, t in enumerate(texts) for s in find(t)]
                 if rows:
                     at, *columns = zip(*rows)
                     yield pa.RecordBatch.from_arrays([part.column("page_id").take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
@@ -171,7 +204,7 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
-    """page_id, label, text, start, end, confidence and seq of each span of ``pages`` (page_id, text)."""
+    """page_id, label, text, start, end, confidence, seq and hits of each span of ``pages`` (page_id, text)."""
     found = find_spans(pages, places)
     return without_overlaps(_near(found, F.col("label").isin(*TAGS), F.col("label").isin(*ANCHORS), TAG_WINDOW))
 
