@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.functions import places, values
+from tidemark.functions import places, stems, values
 from tidemark.functions import text as fx
-from tidemark.operators import alerts, linker, maintain, spans
+from tidemark.operators import alerts, linker, maintain, search, spans
+from tidemark.operators.committed import Table
 from tidemark.plans import api
 from tidemark.sources import html
 from tidemark.streaming import job
@@ -426,7 +427,47 @@ def test_search(spark):
     find = lambda q: [bool(r[0]) for r in df.select(fx.matches(F.col("n"), F.col("d"), F.lit(q))).collect()]
     assert find("northwind") == [True, False, False] and find("the farm") == [False, True, False] and find("logistic") == [True, False, False]
     assert find("wind, NORTH") == [False, True, True] and find("the of") == [False, False, False] and find("north.wind.test") == [False, True, True]
-    assert apply(spark, fx.stem, ["companies", "company", "hopping", "leaked", "leaks", "classes", "sing", "housing", "house"]) == ["compani", "compani", "hop", "leak", "leak", "class", "sing", "hous", "hous"]
+    assert find("companies") == [False] * 3 and find("logistics farmed") == [False, False, False] and find("FARMS northern") == [False, False, False]
+
+
+def test_stems():
+    """Words and their stems from the published sample of the stemmer's vocabulary, and of each of its rules."""
+    known = """consign consign consigned consign consignment consign consistency consist consistently consist consolation consol consolatory consolatori console consol
+        consolidating consolid consolingly consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir constables constabl constancy constanc
+        knackeries knackeri knavish knavish kneaded knead kneeling kneel knightly knight knitted knit knives knive knockers knocker generate generat generously generous
+        communication communic arsenal arsenal relational relat hopping hop hoping hope happy happi flies fli ties tie dies die by by say say enjoy enjoy skies sky news news
+        proceed proceed agreed agre feed feed probably probabl technology technolog rationalize ration helplessly helpless decision decis addition addit gas gas this this
+        controll control cease ceas rate rate youth youth national nation luxuriated luxuri bias bias dying die"""
+    pairs = list(zip(known.split()[::2], known.split()[1::2]))
+    assert [(w, stems.stem(w)) for w, _ in pairs] == pairs
+    assert [stems.stem(w) for w in ("", "a", "'s", "y", "ye", "aaa")] == ["", "a", "'s", "y", "ye", "aaa"]
+
+
+def test_index(spark, tmp_path):
+    """Searches of the index against a look at every record; rows that come later, go, have no id or no text."""
+    r = random.Random(8)
+    pool = ["Northwind", "Logistics", "logistic", "farms", "Farming", "the", "wind", "north", "company", "Companies", "42", "x"]
+    rows = [(r.choice([i, i + 70_000, i + 200_000]), " ".join(r.choice(pool) for _ in range(r.randint(0, 4))) or None, r.choice([None, "north.wind.test", "farm.test"])) for i in range(300)]
+    schema = "id long, victim_name string, victim_domain string"
+    index, later = Table(spark, str(tmp_path), "term", 4), spark.createDataFrame(rows[200:] + [(None, "Northwind", None)], schema)
+    search.add(index, spark.createDataFrame(rows[:200], schema), "victim_name", "victim_domain")
+    search.add(index, later, "victim_name", "victim_domain")
+    search.add(index, later, "victim_name", "victim_domain")  # again: nothing changes
+    words = lambda n, d: {stems.stem(w) for w in re.findall("[a-z0-9]+", f"{n or ''} {d or ''}".lower()) if w not in fx.STOP}
+
+    def check(have):
+        for query in ("northwind", "the farmed company", "logistics farm", "wind of the north", "42", "nothing", "the", "", "WIND test farms"):
+            want = words(query, None)
+            found = [x.id for x in search.find(index, query).collect()]
+            assert sorted(found) == sorted(i for i, n, d in have if want and want <= words(n, d))
+
+    check(rows)
+    search.without(index, spark.createDataFrame(rows[50:120], schema), "victim_name", "victim_domain")
+    check(rows[:50] + rows[120:])
+    plan = search.find(index, "northwind farm")._jdf.queryExecution().executedPlan().toString()
+    assert "term IN" in plan or "term#" in plan and len(index.touched(spark.createDataFrame([("farm",), ("northwind",)], "term string"))) <= 2
+
+
 
 
 def test_html(spark):

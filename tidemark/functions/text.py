@@ -1,9 +1,13 @@
-"""Column functions for identities, domains, addresses and display. All stay in the JVM."""
+"""Column functions for identities, domains, addresses, display and search. All but the stems of search stay in the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .stems import stem
 
 #: Hosts that are never a victim's, nor are their subdomains.
 DENIED_DOMAINS = (
@@ -97,30 +101,26 @@ STOP = (
     "over", "under", "again", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such",
     "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will", "just", "should", "now",
 )
-#: Steps of a light English stemmer, each tried on what the one before left: plurals, then -ed and -ing, then final -e and -y.
-STEMS = (
-    (r"^(.{2,})sses$", "$1ss"), (r"^(.{2,})ies$", "$1i"), (r"^(.*[aeiouy].*[^aeious])s$", "$1"), (r"^(.*[aeiouy].*e)s$", "$1"), (r"^(.*[aeiouy].*)eed$", "$1ee"),
-    (r"^(.*[aeiouy].*?)(?:ed|ing)$", "$1"), (r"^(.+)([bdfgmnprt])\2$", "$1$2"), (r"^(.*[aeiouy].*[^aeiou])e$", "$1"), (r"^(.*[aeiouy].*[^aeiou])y$", "$1i"),
-)
+def words(text: Column) -> Column:
+    """The distinct runs of lower-case letters and digits, without stop words."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_except(tokens, F.array(*map(F.lit, STOP)))
 
 
-def stem(word: Column) -> Column:
-    """A word's stem, so that its forms find each other. Lighter than a full English stemmer: no derivations (-ation, -ness)."""
-    for pattern, kept in STEMS:
-        word = F.regexp_replace(word, pattern, kept)
-    return word
+def terms_of(words_: list[str] | None) -> list[str]:
+    """The stems of words, in their order."""
+    return [] if words_ is None else [stem(w) for w in words_]
 
 
-def words(text: Column) -> Column:
-    """Distinct search tokens: stems of runs of lower-case letters and digits, without stop words."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    return F.array_distinct(F.transform(F.array_except(tokens, F.array(*map(F.lit, STOP))), stem))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(found: pd.Series) -> pd.Series:
+    return found.map(terms_of)
 
 
 def matches(name: Column, domain: Column, query: Column) -> Column:
-    """Whether all tokens of a query are in a record's name or domain; a query without tokens matches nothing.
+    """Whether all terms of a query are in a record's name or domain; a query without terms matches nothing.
 
-    A domain is found whole and, like a name, by its parts.
+    A domain is found whole and, like a name, by its parts. For a record at a time; ``operators.search`` keeps an index.
     """
-    asked, text = words(query), F.concat_ws(" ", name, domain)
-    return (F.size(asked) > 0) & (F.size(F.array_except(asked, words(text))) == 0)
+    asked, text = _stems(words(query)), _stems(words(F.concat_ws(" ", name, domain)))
+    return (F.size(asked) > 0) & (F.size(F.array_except(asked, text)) == 0)

@@ -95,7 +95,8 @@ class Table:
 
     # Data
 
-    def _at(self, version: Version, buckets: list[int]) -> DataFrame:
+    def at(self, version: Version, buckets: list[int]) -> DataFrame:
+        """The rows of a version in some buckets."""
         places = sorted(version.buckets[b][0] for b in buckets if b in version.buckets)
         if not places:
             return self.spark.createDataFrame([], version.schema)
@@ -104,7 +105,7 @@ class Table:
     def read(self, number: int | None = None) -> DataFrame:
         """The rows of a version, the newest if no number is given."""
         version = self.version(number)
-        return self._at(version, list(version.buckets))
+        return self.at(version, list(version.buckets))
 
     def _bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -126,15 +127,16 @@ class Table:
         if not expected:
             return {}
         saved = self.spark.read.parquet(place)
-        found = {f.name: f.dataType for f in saved.schema}
+        found = dict(saved.dtypes)
         counts = {r[0]: r[1] for r in saved.groupBy("_bucket").agg(F.count("*")).collect()}
-        if sum(counts.values()) != expected or any(found.get(f.name) != f.dataType for f in schema):
+        if sum(counts.values()) != expected or any(found.get(f.name) != f.dataType.simpleString() for f in schema):
             raise OSError(f"{place} does not hold what was written")
         return {b: (f"{commit}/_bucket={b}", n) for b, n in counts.items()}
 
     def create(self, rows: DataFrame, note: str = "") -> Version:
         """The first version."""
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+        # Everything may be null, within arrays and structs too, whatever the first rows say.
+        schema = T.DataType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes))
         first = Version(1, schema, self._write(rows, schema), note)
         self._files.mkdirs(self._path(f"{self.folder}/manifests"))
         self._publish(first)
@@ -145,7 +147,7 @@ class Table:
         of them as of ``base``; it must keep keys in their buckets, and columns. ``reads`` has the keys that the
         change depends on, if more than those of the batch."""
         mine = self.touched(batch if reads is None else batch.select(self.key).union(reads.select(self.key)))
-        made = self._write(change(self._at(base, mine), batch), base.schema)
+        made = self._write(change(self.at(base, mine), batch), base.schema)
         if set(made) - set(mine):
             raise ValueError("a change moved rows to buckets that it did not read")
         while True:
@@ -173,7 +175,7 @@ class Table:
     def changes(self, before: Version, after: Version) -> tuple[DataFrame, DataFrame]:
         """The rows before and after in the buckets that differ: all that a reader of both need look at."""
         differ = [b for b in {*before.buckets, *after.buckets} if before.buckets.get(b) != after.buckets.get(b)]
-        return self._at(before, differ), self._at(after, differ)
+        return self.at(before, differ), self.at(after, differ)
 
     def expire(self, now: float, seconds: float, keep: int = 1) -> tuple[list[int], int]:
         """Remove versions older than ``seconds`` before ``now`` (seconds since 1970), but for the newest ``keep``, and

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import views
 from .functions import text as fx
 from .functions import values
-from .operators import alerts, committed, linker, maintain, rollup, spans
+from .operators import alerts, committed, linker, maintain, rollup, search, spans
 from .plans import api
 from .sources import html
 from .streaming import job
@@ -171,6 +171,15 @@ def leaks_search_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.named_records(spark, sf_dir).where(api.condition(q="the tests of www1 c42", domains=True)).select("id", "victim_name", "victim_domain")
 
 
+@query(sql("records, named", "SELECT id FROM named WHERE starts_with(victim_domain, 'www1.')"))
+def leaks_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of names and domains that is made in two commits, asked for terms of which two are in every or every fourth record."""
+    rows, index = views.named_records(spark, sf_dir), committed.Table(spark, job.workspace(spark, "terms"), "term", 16)
+    search.add(index, rows.where("id % 3 = 0"), "victim_name", "victim_domain")
+    search.add(index, rows.where("id % 3 <> 0"), "victim_name", "victim_domain")
+    return search.find(index, "The customers of www1 tested")
+
+
 # Sources, runs and requests
 
 HEALTH = "CASE WHEN NOT enabled THEN 'disabled' WHEN consecutive_failures = 0 THEN 'healthy' WHEN consecutive_failures < 3 THEN 'degraded' ELSE 'failing' END"
