@@ -179,9 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
     # Every node keeps one edge, to its smallest neighbour below it; its other such neighbours are
     # joined to that one instead. Members of a large group mostly share these, so few edges remain.
     down = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nearest = down.groupBy("a").agg(F.min("b").alias("nearest"))
+    nearest = down.groupBy("a").agg(F.min("b").alias("nearest"), F.count("*").alias("m"))
     kept = nearest.select("a", F.col("nearest").alias("b"))
-    moved_edges = down.join(nearest, "a").where("b <> nearest").select(F.col("b").alias("a"), F.col("nearest").alias("b"))
+    moved_edges = looked_up(down, nearest, "a", "m", down.count()).where("b <> nearest").select(F.col("b").alias("a"), F.col("nearest").alias("b"))
     sparse = kept.union(moved_edges)
     both = checkpointed(sparse.union(sparse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
