@@ -422,6 +422,54 @@ def test_snapshots(spark, tmp_path):
     assert [(r.name, r.rows) for r in maintain.snapshots(spark, str(tmp_path), 2).orderBy("place").collect()] == [("20240103", 9), ("20240102", 8)]
 
 
+def test_snapshots_go_by_age(spark, tmp_path, monkeypatch):
+    """Old ones go, the newest stays however old, one that was cut off goes with its age; a short write is no snapshot."""
+    rows = spark.range(10)
+    for name in ("20240101", "20240105", "20240109"):
+        maintain.save_snapshot(rows, str(tmp_path), name)
+    rows.write.parquet(f"{tmp_path}/data/snapshot=20240103")  # cut off
+    rows.write.parquet(f"{tmp_path}/data/snapshot=20240110")  # under way
+    assert maintain.remove_snapshots(spark, str(tmp_path), "20240106") == ["20240101", "20240103", "20240105"]
+    assert maintain.remove_snapshots(spark, str(tmp_path), "20250101", keep=1) == ["20240110"]
+    assert maintain.open_snapshot(spark, str(tmp_path)).count() == 10 and [r.name for r in maintain.snapshots(spark, str(tmp_path)).collect()] == ["20240109"]
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, **k: read(self, *p, **k).limit(3))
+    with pytest.raises(OSError):
+        maintain.save_snapshot(rows, str(tmp_path), "20240111")
+    monkeypatch.undo()
+    assert [r.name for r in maintain.snapshots(spark, str(tmp_path)).collect()] == ["20240109"]
+
+
+def test_roll_up(spark):
+    rows = [(1, "b", "failed", 0, 0, []), (1, "a", "failed", None, 1, None), (1, "c", "succeeded", 2, 1, [9, 3]), (2, "a", "succeeded", 0, 0, [])]
+    found = {r.run_id: tuple(r)[1:] for r in maintain.roll_up(spark.createDataFrame(rows, "run_id long, slug string, status string, inserted long, updated long, new_ids array<long>")).collect()}
+    assert found == {1: (3, 2, 2, 2, ["a", "b"], [3, 9]), 2: (1, 0, 0, 0, [], [])}
+
+
+def test_lists_are_in_order(spark, sf):
+    names = [r.name for r in registry.QUERIES["sources_health"](spark, sf).collect()]
+    assert names == sorted(names) and len(names) > 5
+    seen = [(r.slug, -r.times_seen, r.onion_host) for r in registry.QUERIES["mirrors_listed"](spark, sf).collect()]
+    assert seen == sorted(seen) and seen
+    mirrors = spark.createDataFrame([(1, "h", 3), (2, "h", 1), (1, "g", 9)], "source_id long, onion_host string, times_seen long")
+    sources = spark.createDataFrame([(1, "one"), (2, "two")], "id long, slug string")
+    assert [(r.slug, r.onion_host) for r in maintain.list_mirrors(mirrors, sources, slug="one").collect()] == [("one", "g"), ("one", "h")]
+
+
+def test_extraction_by_sql(spark, sf):
+    """The table function gives what the operator gives, on documents, pages, nulls and mixtures that tags and overlaps are in."""
+    r = random.Random(12)
+    parts = ["10 Feb 2026", "www.acme.test", "Acme Holdings Ltd", "Germany", "a brewery", "filler " * 50, "United Kingdom", "\n", "hospital", "status: sold", "1.2 TB"]
+    texts = ["".join(r.choice(parts) + " " for _ in range(25)) for _ in range(80)] + [None, ""]
+    texts += [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [x.text for x in html.texts(spark.read.parquet(f"{sf}/pages.parquet")).collect()]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    spans.register(spark, "spans_of")
+    shown = ["page_id", "label", "text", "start", "end", "confidence", "seq", "hits"]
+    found = spark.sql("SELECT p.page_id, s.* FROM {p} p, LATERAL spans_of(p.text) AS s", p=pages).select(shown).collect()
+    want = spans.extract(pages).select(shown).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, want)) and len({x.label for x in want}) == 7 and len(want) > 500
+
+
 def test_search(spark):
     df = spark.createDataFrame([("Northwind Logistics", None), ("Wind farms of the North", "farming.test"), (None, "north.wind.test")], "n string, d string")
     find = lambda q: [bool(r[0]) for r in df.select(fx.matches(F.col("n"), F.col("d"), F.lit(q))).collect()]

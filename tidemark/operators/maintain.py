@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Columns of which the latest known value stays.
@@ -251,22 +251,24 @@ def claim(requests: DataFrame, now: Column) -> DataFrame:
 
 
 def save_snapshot(table: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a snapshot under ``name`` (names sort by time), check its rows, point to it, and return it.
+    """Write a snapshot under ``name`` (names are times, and sort by them), verify it, point to it, and return it.
 
-    The pointer is a row of its own, written after the data; readers follow it (``open_snapshot``), so a
-    snapshot that was cut off is never seen.
+    It is read back: its columns and its number of rows must be those of what was to be written. The pointer is a row of its
+    own, written after that; readers follow it (``open_snapshot``), so a snapshot that was cut off or that isn't whole is never seen.
     """
-    spark = table.sparkSession
+    spark, seen = table.sparkSession, Observation()
     path = f"{folder}/data/snapshot={name}"
-    table.write.mode("overwrite").parquet(path)
-    saved = spark.read.schema(table.schema).parquet(path)
-    entry = saved.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-    entry.write.mode("overwrite").parquet(f"{folder}/pointers/pointer={name}")
+    table.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(path)
+    saved = spark.read.parquet(path)
+    rows = saved.count()
+    if saved.dtypes != table.dtypes or rows != seen.get["rows"]:
+        raise OSError(f"snapshot {name} is not what was to be saved")
+    spark.createDataFrame([(name, rows)], "name string, rows long").write.mode("overwrite").parquet(f"{folder}/pointers/pointer={name}")
     return saved
 
 
 def snapshots(spark, folder: str, keep: int = 7) -> DataFrame:
-    """name, rows and place of the newest ``keep`` finished snapshots; those beyond are to be removed."""
+    """name, rows and place of the newest ``keep`` finished snapshots."""
     listed = spark.read.parquet(f"{folder}/pointers").select("name", "rows")
     return listed.orderBy(F.desc("name")).limit(keep).withColumn("place", F.row_number().over(Window.orderBy(F.desc("name"))))
 
@@ -277,6 +279,32 @@ def open_snapshot(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/data/snapshot={name}")
 
 
+def remove_snapshots(spark, folder: str, before: str, keep: int = 1) -> list[str]:
+    """Remove snapshots whose name, a time, is before ``before``, finished or cut off, but for the newest ``keep`` finished
+    ones; first their pointers, then their data. Returns their names."""
+    kept = {r["name"] for r in snapshots(spark, folder, keep).collect()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = {f.getPath().getName().removeprefix("snapshot=") for f in files.listStatus(path(f"{folder}/data"))}
+    gone = sorted(n for n in held if n < before and n not in kept)
+    for name in gone:
+        files.delete(path(f"{folder}/pointers/pointer={name}"), True)
+        files.delete(path(f"{folder}/data/snapshot={name}"), True)
+    return gone
+
+
+def roll_up(results: DataFrame) -> DataFrame:
+    """One row for each collection run of ``results`` (run_id, slug, status, inserted, updated, new_ids): how many of its sources
+    were collected and failed, what they brought in all, the slugs of the failed and the ids of the new records, in order.
+
+    A run has at most one result a source, so its lists are bounded by the sources and what a crawl brings."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("slug"))))
+    return results.groupBy("run_id").agg(
+        F.count("*").alias("crawled"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"), F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
+        failed.alias("failed_slugs"), F.array_sort(F.flatten(F.collect_list("new_ids"))).alias("new_ids"),
+    )
+
+
 def add_request(requests: DataFrame, request_id: int, slug: str | None, as_of: Column) -> DataFrame:
     """Requests with one more, unless one is open already: then that one serves."""
     new = requests.sparkSession.range(request_id, request_id + 1).select("id", F.lit("queued").alias("status"), F.lit(slug).cast("string").alias("source_slug"), as_of.alias("requested_at"))

@@ -8,11 +8,12 @@ serves them, and the linker after them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -209,6 +210,41 @@ def extract(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
     return without_overlaps(_near(found, F.col("label").isin(*TAGS), F.col("label").isin(*ANCHORS), TAG_WINDOW))
 
 
+def settled(found: list[Found]) -> list[Found]:
+    """One page's spans without tags far from any anchor, and without those that lie within an earlier one of their label."""
+    anchors = sorted((start, end) for label, _, start, end, *_ in found if label in ANCHORS)
+    starts, reach, furthest = [a for a, _ in anchors], [], -1
+    for _, end in anchors:
+        reach.append(furthest := max(furthest, end))
+    out, ends = [], {}
+    for s in sorted(found, key=lambda s: (s[2], s[3], s[5])):
+        label, _, start, end, *_ = s
+        if label in TAGS:
+            k = bisect_right(starts, end + TAG_WINDOW)
+            if not k or reach[k - 1] < start - TAG_WINDOW:
+                continue
+        if ends.get(label, -1) < end:
+            out.append(s)
+        ends[label] = max(end, ends.get(label, -1))
+    return out
+
+
+class PageSpans:
+    """A table function for SQL: the spans of one page's text."""
+
+    def __init__(self) -> None:
+        self.find, self.told = finder(), teller()
+
+    def eval(self, text: str | None) -> Iterator[tuple]:
+        for s in settled(list(self.find(text or ""))):
+            yield *s, self.told(s[0], s[1])
+
+
+def register(spark: SparkSession, name: str = "extract_spans") -> None:
+    """Let SQL call extraction: ``SELECT page_id, s.* FROM pages, LATERAL extract_spans(text) AS s``."""
+    spark.udtf.register(name, F.udtf(PageSpans, returnType=SPAN, useArrow=True))
+
+
 #: Extractors by name: functions from pages (page_id, text) to a table of spans.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"rules": extract}
 

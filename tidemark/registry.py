@@ -159,6 +159,15 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.latest_arrivals(views.named_records(spark, sf_dir), _syncs(spark, sf_dir))
 
 
+@query(sql("records, named, requests", f"""SELECT id, title, upper(substr(title, 1, 2)) AS monogram, coalesce(first_seen_at >= since, false) AS is_new
+    FROM (SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(victim_domain, 'Unnamed listing') ELSE victim_name END AS title, first_seen_at FROM named ORDER BY first_seen_at DESC, id DESC LIMIT 100),
+    (SELECT {NOW} - to_minutes(CAST(id % 5000 AS INTEGER)) AS since FROM requests ORDER BY requested_at DESC, id DESC LIMIT 1)"""))
+def arrivals_since_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with nameless records, when all requests have come to succeed."""
+    records = views.named_records(spark, sf_dir).withColumn("victim_name", F.when(F.col("id") % 3 != 0, F.col("victim_name")))
+    return api.latest_arrivals(records, _syncs(spark, sf_dir).withColumn("status", F.lit("succeeded")), 100)
+
+
 @query(sql("records, named, sources", f"""SELECT r.id, sha256(actor_group || '|' || lower(coalesce(nullif(victim_domain, ''), victim_name))) AS dedupe_hash, victim_name, victim_domain, victim_country, victim_sector, actor_group, source_id, s.slug AS source_slug,
     'http://s' || source_id || '.test/' AS source_url, published_at, strftime(published_at, '%-d %b %Y') AS published_at_raw, first_seen_at, first_seen_at + to_days(CAST(r.id % 9 AS INTEGER)) AS last_seen_at, r.status, 'ransomware' AS leak_type, leak_size_bytes
     FROM (SELECT * FROM named ORDER BY first_seen_at DESC, id LIMIT 100 OFFSET 100) r LEFT JOIN sources s ON s.id = r.source_id"""))
@@ -180,6 +189,17 @@ def leaks_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(index, "The customers of www1 tested")
 
 
+@query(sql("records, sources", f"""SELECT {COLUMNS} FROM (SELECT * FROM records WHERE actor_group = '1-urgent' AND victim_country = 'GERMANY' AND status = 'countdown' ORDER BY leak_size_bytes IS NULL, first_seen_at DESC, id LIMIT 100) r
+    LEFT JOIN sources s ON s.id = r.source_id"""))
+def leaks_of_group_and_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.page(views.records(spark, sf_dir), views.sources(spark, sf_dir), api.condition(group="1-urgent", country="GERMANY", status="countdown"), 1, 100)
+
+
+@query(sql("records", "SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM records WHERE source_id = 7 AND victim_sector = 'MACHINERY' AND first_seen_at >= TIMESTAMP '1994-01-01'"))
+def leaks_of_source_and_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.total(views.records(spark, sf_dir), api.condition(source_id=7, sector="MACHINERY", start=at("1994-01-01 00:00:00")), 10)
+
+
 # Sources, runs and requests
 
 HEALTH = "CASE WHEN NOT enabled THEN 'disabled' WHEN consecutive_failures = 0 THEN 'healthy' WHEN consecutive_failures < 3 THEN 'degraded' ELSE 'failing' END"
@@ -277,12 +297,13 @@ def requests_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.expire(rows, at(EVENTS_AS_OF), 7200, False).select("id", "status", F.when(F.col("error") != "before", F.col("error")).alias("error"))
 
 
-@query(sql("requests", """SELECT id, status, source_slug FROM requests WHERE status NOT IN ('queued', 'running') UNION ALL SELECT 1 + max(id), 'queued', 'source-7' FROM requests"""))
+@query(sql("requests", """SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'skipped' ELSE status END AS status, source_slug FROM requests UNION ALL SELECT 1 + coalesce(max(id), 0), 'queued', 'source-7' FROM requests"""))
 def requests_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request more where none is open."""
-    closed = views.requests(spark, sf_dir).where("status not in ('queued', 'running')")
-    last = views.requests(spark, sf_dir).agg(F.max("id")).first()[0]
-    return maintain.add_request(closed, last + 1, "source-7", at(EVENTS_AS_OF)).select("id", "status", "source_slug")
+    """One request more when all that were open have been finished."""
+    rows = views.requests(spark, sf_dir)
+    done = maintain.finish_requests(rows, api.open_requests(rows).select("id", F.lit("skipped").alias("status"), F.lit("").alias("error")), at(EVENTS_AS_OF))
+    last = rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return maintain.add_request(done, last + 1, "source-7", at(EVENTS_AS_OF)).select("id", "status", "source_slug")
 
 
 @query(sql("requests", "SELECT id, status, source_slug FROM requests"))
@@ -355,11 +376,13 @@ def alerts_on_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.arrivals(records, new.select("id"), rules, known)
 
 
-@query(sql("records, named, rules", f"SELECT DISTINCT alert_id, record_id FROM ({MATCH})"))
+@query(sql("records, named, rules", f"SELECT DISTINCT alert_id, record_id, CASE WHEN record_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM ({MATCH})"))
 def events_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events inserted twice over: those that exist stay alone."""
+    """All events inserted, each twice, where those of every third record exist already."""
     found = alert_match(spark, sf_dir).select("alert_id", "record_id")
-    return found.unionByName(maintain.absent(found, found, ["alert_id", "record_id"]))
+    existing = found.where("record_id % 3 = 0")
+    new = maintain.absent(found.union(found), existing, ["alert_id", "record_id"])
+    return existing.withColumn("origin", F.lit("kept")).unionByName(new.withColumn("origin", F.lit("new")))
 
 
 @query(sql("rules", """SELECT alert_id, owner_id, match_kind, match_value, enabled FROM (SELECT alert_id, owner_id, match_kind, match_value, CASE WHEN alert_id = 6 AND owner_id = 'owner1' THEN false ELSE enabled END AS enabled FROM rules
@@ -495,6 +518,47 @@ def requests_claimed_by_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read().select("id", "status", "started_at")
 
 
+#: For each merged column, a value of every few events.
+TEXTS = tuple(c for c in maintain.MERGED if c not in ("published_at", "leak_size_bytes"))
+_WIDE = ", ".join(f"CASE WHEN event_id % {k + 2} = 0 THEN '{c}' || event_id END AS {c}" for k, c in enumerate(TEXTS))
+_LATEST = ", ".join(f"arg_max({c}, seq) FILTER ({c} IS NOT NULL) AS {c}" for c in maintain.MERGED)
+
+
+@query(f"""WITH w AS (SELECT user_id % 97 AS dedupe_hash, event_id AS seq, {_WIDE}, CASE WHEN event_id % 11 = 0 THEN ts END AS published_at, CASE WHEN event_id % 13 = 0 THEN event_id END AS leak_size_bytes,
+    user_id AS source_id, 'type' || (event_id % 5) AS leak_type, 'g' || (event_id % 7) AS actor_group FROM events)
+    SELECT dedupe_hash, {_LATEST}, arg_min(source_id, seq) AS source_id, arg_min(leak_type, seq) AS leak_type, arg_min(actor_group, seq) AS actor_group, count(*) AS sightings FROM w GROUP BY 1""")
+def upsert_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merged column by its own latest value, folded from two batches that are committed one after the other."""
+    k = F.col("event_id")
+    wide = {c: F.when(k % (i + 2) == 0, F.concat(F.lit(c), k)) for i, c in enumerate(TEXTS)} | {"published_at": F.when(k % 11 == 0, F.col("ts").cast("timestamp")), "leak_size_bytes": F.when(k % 13 == 0, k)}
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 97).alias("dedupe_hash"), k.alias("seq"), *[v.alias(c) for c, v in wide.items()], F.col("user_id").alias("source_id"), F.concat(F.lit("type"), k % 5).alias("leak_type"),
+        F.concat(F.lit("g"), k % 7).alias("actor_group"), F.lit("published").alias("status"),
+    )
+    middle = rows.agg(F.expr("max(seq) div 2").alias("_middle"))  # one row
+    rows = rows.crossJoin(middle)
+    first, second = (maintain.fold(rows.where(c).drop("_middle")) for c in ("seq <= _middle", "seq > _middle"))
+    old = first.withColumns({"first_seen_at": at(HALF), "last_seen_at": at(HALF)})
+    merged = maintain.upsert(old.drop("sightings"), second, at(EVENTS_AS_OF)).withColumnRenamed("sightings", "later")
+    out = merged.join(first.select("dedupe_hash", "sightings"), "dedupe_hash", "left").withColumn("sightings", F.coalesce("sightings", F.lit(0)) + F.col("later"))
+    return out.select("dedupe_hash", *maintain.MERGED, *("source_id", "leak_type", "actor_group"), "sightings")
+
+
+@query("""SELECT event_id // 20 AS run_id, count(*) AS crawled, count(*) FILTER (event_type = 'error') AS failed, CAST(sum(event_id % 3) AS BIGINT) AS inserted, CAST(sum(event_id % 4) AS BIGINT) AS updated,
+    coalesce(string_agg('source-' || lpad(CAST(event_id AS VARCHAR), 12, '0'), ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_slugs,
+    coalesce(string_agg(CASE event_id % 3 WHEN 1 THEN CAST(event_id * 10 AS VARCHAR) WHEN 2 THEN (event_id * 10) || ',' || (event_id * 10 + 1) END, ',' ORDER BY event_id), '') AS new_ids FROM events GROUP BY 1""")
+def runs_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each collection run of twenty crawls brought, with the slugs of those that failed and the ids of new records."""
+    k = F.col("event_id")
+    ids = F.when(k % 3 == 1, F.array(k * 10)).when(k % 3 == 2, F.array(k * 10, k * 10 + 1)).otherwise(F.array().cast("array<bigint>"))
+    results = table(spark, sf_dir, "events").select(
+        F.expr("event_id div 20").alias("run_id"), F.concat(F.lit("source-"), F.lpad(k.cast("string"), 12, "0")).alias("slug"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"),
+        (k % 3).alias("inserted"), (k % 4).alias("updated"), ids.alias("new_ids"),
+    )
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return maintain.roll_up(results).select("run_id", "crawled", "failed", "inserted", "updated", joined("failed_slugs"), joined("new_ids"))
+
+
 def _mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "self_declared").when(F.col("event_type") == "error", "rejected").otherwise("candidate")
     return table(spark, sf_dir, "events").select(
@@ -678,6 +742,45 @@ def spans_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.extract(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
+def _one_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order, with a span of each kind that has no table of places behind it."""
+    k = F.col("o_custkey")
+    lines = (
+        F.concat(F.lit("Vendor"), k, F.lit(" Holdings Ltd")), F.concat(F.lit("https://www.v"), k, F.lit(".test/")), F.concat(F.lit("Published: "), F.date_format("o_orderdate", "d MMM yyyy")),
+        F.concat(F.lit("Status: "), F.when(F.col("o_orderstatus") == "F", "sold").otherwise("published")), F.concat(F.col("o_orderkey") % 900 + 1, F.lit(" GB")),
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+ONE_LISTING = """WITH p AS (SELECT o_orderkey AS page_id, 'Vendor' || o_custkey || ' Holdings Ltd' AS org, 'www.v' || o_custkey || '.test' AS url, strftime(o_orderdate, '%-d %b %Y') AS day,
+        'Status: ' || CASE o_orderstatus WHEN 'F' THEN 'sold' ELSE 'published' END AS state, (o_orderkey % 900 + 1) || ' GB' AS size FROM orders),
+    -- Where each line starts.
+    l AS (SELECT *, length(org) + 1 AS l2, l2 + length(url) + 10 AS l3, l3 + 12 + length(day) AS l4, l4 + length(state) + 1 AS l5 FROM p),
+    s AS (SELECT page_id, 'victim_org' AS label, org AS text, 0 AS start, 0.6 AS confidence FROM l UNION ALL SELECT page_id, 'victim_url', url, l2 + 8, 0.85 FROM l UNION ALL SELECT page_id, 'status', 'Published', l3, 0.8 FROM l
+        UNION ALL SELECT page_id, 'date', day, l3 + 11, 0.9 FROM l UNION ALL SELECT page_id, 'status', state, l4, 0.8 FROM l UNION ALL SELECT page_id, 'leak_size', size, l5, 0.95 FROM l)
+    SELECT page_id, label, text, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", CAST(confidence AS DOUBLE) AS confidence FROM s"""
+SHOWN = ("page_id", "label", "text", "start", "end", "confidence")
+
+
+@query(ONE_LISTING)
+def spans_of_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.extract(_one_listing(spark, sf_dir)).select(*SHOWN)
+
+
+@query(ONE_LISTING)
+def spans_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, called from SQL as a table function."""
+    spans.register(spark)
+    return spark.sql("SELECT p.page_id, s.label, s.text, s.start, s.end, s.confidence FROM {pages} p, LATERAL extract_spans(p.text) AS s", pages=_one_listing(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS page_id, 'Vendor' || o_custkey || ' & Co' || chr(10) || 'Order ' || o_orderkey || chr(10) || 'one line' AS text FROM orders")
+def html_of_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head, tail = F.lit("<!doctype html><html><head><title>none</title><style>p {}</style></head><body><!-- none --><p>Vendor"), F.lit("</div><script>var none = '<p>';</script>\n\n<p> one line \u2588</p></body></html>")
+    page = F.concat(head, "o_custkey", F.lit(" &amp; Co</p><div>Order "), "o_orderkey", tail)
+    return html.texts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), page.alias("html")))
+
+
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.texts(table(spark, sf_dir, "pages"))
