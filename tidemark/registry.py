@@ -742,6 +742,17 @@ def spans_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.extract(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
+@query("""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 > 0 THEN 'Vendor' || o_custkey || ' Holdings Ltd' END AS victim_name, 'v' || o_custkey || '.test' AS victim_domain, sha256('a-group|v' || o_custkey || '.test') AS dedupe_hash FROM orders""")
+def linked_fragment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of which every third is headed by parts of company names alone: the domain stands for its victim."""
+    k = F.col("o_custkey")
+    name = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Vendor"), k, F.lit(" Holdings Ltd"))).otherwise("Customer Services Ltd")
+    text = F.concat(name, F.lit("\nhttps://www.v"), k, F.lit(".test/\nStatus: sold"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), text.alias("text"))
+    found = linker.link(spans.extract(pages), pages.select("page_id", F.lit("A Group").alias("source_group"), F.lit("http://x.test/").alias("source_url")))
+    return found.select("page_id", "victim_name", "victim_domain", "dedupe_hash")
+
+
 def _one_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each order, with a span of each kind that has no table of places behind it."""
     k = F.col("o_custkey")
