@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import fresh, named
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words of a text, and of one in lower case.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Name, SPDX name in words, label, versions. Fixed facts about public licenses.
@@ -275,8 +276,14 @@ def _tree(words: list[str]) -> str:
     def branches(at: dict) -> str:
         if "" in at:  # what goes on behind a word needn't be looked at
             return ""
-        parts = [(BETWEEN if c == " " else c) + branches(rest) for c, rest in sorted(at.items())]
-        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return either([(c, (BETWEEN if c == " " else c) + branches(rest)) for c, rest in sorted(at.items())])
+
+    def either(parts: list[tuple[str, str]]) -> str:
+        if len(parts) < 5 or parts[0][0] == " ":
+            return parts[0][1] if len(parts) == 1 else f"(?:{'|'.join(p for _, p in parts)})"
+        # Of many branches a look at the next character leaves half.
+        low, high = parts[: len(parts) // 2], parts[len(parts) // 2 :]
+        return f"(?:(?=[{''.join(c for c, _ in low)}]){either(low)}|{either(high)})"
 
     return branches(node)
 
@@ -326,11 +333,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     docs = docs.select([named(c) for c in docs.columns if c.lower() not in added or c == text])
-    low, norm_name, kept = (fresh(docs.columns, n) for n in ("_low", "_norm", "_kept"))
+    norm_name, kept = (fresh(docs.columns, n) for n in ("_norm", "_kept"))
     raw = F.coalesce(named(text), F.lit(""))
-    # "^ word word ... " for texts that may hold a license, else null.
-    cut = docs.withColumn(low, F.translate(raw, string.ascii_uppercase, string.ascii_lowercase))
-    cut = cut.withColumn(norm_name, F.when(F.col(low).rlike(gate()), F.concat(F.lit("^ "), F.trim(F.regexp_replace(low, BETWEEN, " ")), F.lit(" "))))
+    # "^ word word ... " for texts that may hold a license, else null. To pass a text over, all letters may be in lower case.
+    low = F.translate(raw, string.ascii_uppercase, string.ascii_lowercase)
+    cut = docs.withColumn(norm_name, F.when(F.lower(raw).rlike(gate()), F.concat(F.lit("^ "), F.trim(F.regexp_replace(low, BETWEEN, " ")), F.lit(" "))))
     norm = F.col(norm_name)
     phrases = [fresh(docs.columns, f"_phrase{i}") for i in range(len(BASE))]
     for name, phrase in zip(phrases, BASE):
@@ -352,7 +359,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     n_base = sum(count[1:], count[0])
     return out.select(
         *[named(c) for c in docs.columns if c.lower() not in added],
-        F.when(norm.isNull(), F.regexp_count(raw, F.lit(WORD))).otherwise(F.when(F.length(norm) > 3, _spaces(norm) - 1).otherwise(0)).cast("long").alias("n_words"),
+        F.when(norm.isNull(), F.size(F.array_remove(F.split(raw, APART, -1), ""))).otherwise(F.when(F.length(norm) > 3, _spaces(norm) - 1).otherwise(0)).cast("long").alias("n_words"),
         n_base.cast("long").alias("n_base"),
         first.cast("long").alias("first_word"),
         last.cast("long").alias("last_word"),
