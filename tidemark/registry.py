@@ -189,10 +189,10 @@ def leaks_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(index, "The customers of www1 tested")
 
 
-@query(sql("records, sources", f"""SELECT {COLUMNS} FROM (SELECT * FROM records WHERE actor_group = '1-urgent' AND victim_country = 'GERMANY' AND status = 'countdown' ORDER BY leak_size_bytes IS NULL, first_seen_at DESC, id LIMIT 100) r
+@query(sql("records, sources", f"""SELECT {COLUMNS} FROM (SELECT * FROM records WHERE actor_group = '1-urgent' AND victim_country = 'NATION_11' ORDER BY first_seen_at DESC, id LIMIT 100) r
     LEFT JOIN sources s ON s.id = r.source_id"""))
 def leaks_of_group_and_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.page(views.records(spark, sf_dir), views.sources(spark, sf_dir), api.condition(group="1-urgent", country="GERMANY", status="countdown"), 1, 100)
+    return api.page(views.records(spark, sf_dir), views.sources(spark, sf_dir), api.condition(group="1-urgent", country="NATION_11"), 1, 100)
 
 
 @query(sql("records", "SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM records WHERE source_id = 7 AND victim_sector = 'MACHINERY' AND first_seen_at >= TIMESTAMP '1994-01-01'"))
