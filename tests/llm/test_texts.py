@@ -94,7 +94,7 @@ def test_fingerprint_pieces(monkeypatch):
 
 def test_chains():
     """Whatever two bits differ, some start passes every chain; three bits never link."""
-    assert simhash.BUDGETS == [0, 0, 0, 1, 1, 1, 2] and sum(int(c) .bit_count() for c in simhash.CHAINS[:, 0]) == 64
+    assert simhash.BUDGETS == [0, 0, 0, 1, 1, 1, 2] and sum(int(c).bit_count() for c in simhash.CHAINS[:, 0]) == 64
     for a, b in itertools.combinations(range(64), 2):
         diff = (1 << a) | (1 << b)
         assert any(all((diff & int(mask)).bit_count() <= budget for mask, budget in zip(row, simhash.BUDGETS)) for row in simhash.CHAINS)
