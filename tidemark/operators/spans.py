@@ -41,6 +41,8 @@ NOT_AN_ORG = (
     "bitcoin", "btc", "monero", "xmr", "buy", "payment", "pay", "wallet", "escrow", "negotiation", "negotiations", "chat", "decrypt", "decryptor",
 )
 ORG_WINDOW, TAG_WINDOW = 120, 250
+#: A finder remembers at most so many words, each of at most so many characters.
+WORDS, WORD_LENGTH = 1 << 16, 32
 ANCHORS, TAGS = ("victim_org", "victim_url"), ("location", "sector")
 #: Columns of a table of spans, after page_id: ``hits`` is what the places' tables have for the text.
 SPAN = "label string, text string, start int, end int, confidence double, seq int, hits array<string>"
@@ -72,10 +74,12 @@ def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
     """A function from a text to its spans; tags not yet tested for nearness.
 
     All patterns but two begin at the start of a word. So the words are passed over once, and a pattern
-    is tried only at words that it may begin with. Tags count near anchors alone, so texts without
+    is tried only at words that it may begin with; which these are is remembered by word. Tags count near anchors alone, so texts without
     an anchor aren't searched for them.
     """
-    suffix, domain, dotted, word = re.compile(ORG_SUFFIX), re.compile(f"(?i){DOMAIN}"), re.compile(r"(?i)[a-z0-9]\.[a-z]"), re.compile(r"\w+")
+    # A domain's first part runs up to a dot: looking for it first spares retries at words without one.
+    suffix, domain = re.compile(ORG_SUFFIX), re.compile(rf"(?i)\b(?=[a-z0-9-]{{1,63}}+\.){DOMAIN}")
+    dotted, word = re.compile(r"(?i)[a-z0-9]\.[a-z]"), re.compile(r"\w+")
     url, org = 6, 7
     patterns = dict(enumerate(map(re.compile, (*DATES, SIZE, STATUS)))) | {8: re.compile(places.country_pattern()), 9: re.compile(places.sector_pattern())}
     numbers, others = (0, 1, 2, 4), (3, 5, 8, 9)
@@ -96,6 +100,15 @@ def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
             return others
         return (3,) if low[:3] in MONTH_BEGINS else (5,) if low.startswith("negotiat") else ()
 
+    known: dict[str, tuple[int, ...]] = {}
+
+    def kinds_at(run: str) -> tuple[int, ...]:
+        if len(run) > WORD_LENGTH:
+            return tried(run)
+        if len(known) >= WORDS:
+            known.clear()
+        return known.setdefault(run, tried(run))
+
     def company(text: str, m: re.Match, hosts: bool) -> str | None:
         name = m[1].strip(BLANK)
         if len(name) < 3:
@@ -123,7 +136,8 @@ def finder(places: Gazetteer = DEFAULT) -> Callable[[str], Iterator[Found]]:
                 yield found(org, name, m)
         ends = [0] * len(LABELS)
         for w in word.finditer(text):
-            for kind in tried(w[0]):
+            kinds = known.get(w[0])
+            for kind in kinds_at(w[0]) if kinds is None else kinds:
                 if w.start() >= ends[kind] and (anchored or kind < 8) and (m := patterns[kind].match(text, w.start())):
                     ends[kind] = m.end()
                     yield found(kind, m[0], m)
