@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import map_texts, worker_cache
 
 #: Bytes that a generation of a worker's memory of chunks, and of words, may take.
-CHUNK_BYTES, WORD_BYTES = 10 << 20, 6 << 20
+CHUNK_BYTES, WORD_BYTES = 20 << 20, 16 << 20
 #: About how many bytes of text are looked up together.
 GROUP_BYTES = 1 << 20
 #: Words of at most so many symbols are merged by scanning; longer ones with a heap.
