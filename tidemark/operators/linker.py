@@ -1,13 +1,24 @@
-"""From spans to records: attributes find their victim by windows, records by grouping."""
+"""From spans to records: attributes find their victim, and a victim's attributes make a record.
+
+``read`` does so page by page in the pass that finds the spans: what goes on is a row a record, and nothing is exchanged.
+``link`` is for spans whose rows lie anywhere: owners by windows, records by grouping. Both end in the same columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.batches import groups
 
-from ..functions.text import clean_domain, dedupe_hash, extract_domain, group_slug, none_if_empty, stripped
+from ..functions.text import BLANK, clean_domain, dedupe_hash, extract_domain, group_slug, none_if_empty, stripped
 from ..functions.values import DEFAULT, Gazetteer, parse_date, parse_size, resolve_status
-from .spans import with_hits
+from .spans import finder, settled, teller, with_hits
 
 #: Words that are parts of company names, never a name.
 NAME_FRAGMENTS = (
@@ -79,7 +90,67 @@ def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> Dat
         F.min_by(F.get("hits", F.lit(0)), placed).alias("_country"), F.min_by("hits", org).alias("_name_hits"), F.flatten(F.collect_list(F.when(F.col("label") == "sector", F.col("hits")))).alias("_sector_hits"),
         F.avg(F.when(attribute, F.col("confidence"))).alias("confidence"), F.count_if(F.col("label") == "victim_org").alias("victims"), F.first("crew", True).alias("crew"),
     )
-    rows = grouped.join(pages.select("page_id", "source_group", "source_url"), "page_id")
+    return _finished(grouped.join(pages.select("page_id", "source_group", "source_url"), "page_id"), places)
+
+
+#: What ``gathered`` has for each record, in this order.
+GATHERED = "record int, victim_org string, victim_url string, date string, leak_size string, status array<string>, _country string, _name_hits array<string>, _sector_hits array<string>, confidence double, victims int, crew string"
+
+
+def gathered(spans: list[tuple]) -> Iterator[tuple]:
+    """The records of one page's spans (label, text, start, end, confidence, seq, hits): ``owners`` and the grouping of ``link``."""
+    spans = sorted(((s[0], text, *s[2:]) for s in spans if (text := s[1].strip(BLANK))), key=lambda s: (s[2], s[3], s[5]))
+    victims = [(s[2], s[3]) for s in spans if s[0] == "victim_org"]
+    crew = next((s[1] for s in reversed(spans) if s[0] == "ransomware_group"), None)
+    records: dict[int, list[tuple]] = {}
+    n = 0
+    for s in spans:
+        label, _, start, end, *_ = s
+        n += label == "victim_org"
+        owner = max(n, 1)
+        if label == "victim_url" and n < len(victims):
+            after = victims[n]
+            gap = lambda v: max(start - v[1], v[0] - end, 0)  # noqa: B023, E731
+            ahead, back = gap(after), gap(victims[n - 1]) if n else None
+            if back is None or ahead < back or ahead == back and after[0] > end:
+                owner = n + 1
+        records.setdefault(owner, []).append(s)
+    for record, own in records.items():
+        by: dict[str, list[tuple]] = {}
+        for s in own:
+            by.setdefault(s[0], []).append(s)
+        first = [by[label][0][1] if label in by else None for label in ("victim_org", "victim_url", "date", "leak_size")]
+        country = next((s[6][0] for s in by.get("location", ()) if s[6]), None)
+        orgs, sure = by.get("victim_org", []), [s[4] for s in own if s[0] not in ("victim_org", "ransomware_group")]
+        yield (
+            record, *first, [s[1] for s in by.get("status", ())], country, orgs[0][6] if orgs else None, [h for s in by.get("sector", ()) for h in s[6]],
+            sum(sure) / len(sure) if sure else None, len(orgs), crew,
+        )
+
+
+def read(pages: DataFrame, places: Gazetteer = DEFAULT) -> DataFrame:
+    """One row for each usable record of ``pages`` (page_id, text, source_group, source_url), in one pass: what ``link`` makes of
+    the spans that ``extract`` finds, for pages that come once each."""
+    kept = pages.select("page_id", "source_group", "source_url", "text")
+    made = T.StructType.fromDDL(GATHERED).fields
+    schema = T.StructType([*kept.schema.fields[:3], *made])
+    kinds = [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, told = finder(places), teller(places)
+        for batch in batches:
+            for part, texts in groups(batch, "text"):
+                rows = [(i, *r) for i, t in enumerate(texts) for r in gathered([(*s, told(s[0], s[1])) for s in settled(list(find(t)))])]
+                if rows:
+                    at, *columns = zip(*rows)
+                    own = part.select(schema.names[:3]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return _finished(kept.mapInArrow(run, schema), places)
+
+
+def _finished(rows: DataFrame, places: Gazetteer) -> DataFrame:
+    """The columns of records, of those that are usable."""
     rows = rows.where("victims > 0 or victim_url is not null or date is not null")
     domain = F.coalesce(extract_domain(F.col("victim_url")), extract_domain(F.col("victim_org")))
     name = F.when(F.col("victim_domain").isNotNull() & only_fragments(F.col("victim_org")), F.lit(None)).otherwise(F.col("victim_org"))
@@ -87,7 +158,7 @@ def link(spans: DataFrame, pages: DataFrame, places: Gazetteer = DEFAULT) -> Dat
     rows = rows.withColumn("actor_group", group_slug(F.coalesce("crew", "source_group")))
     usable = none_if_empty(F.col("victim_name")).isNotNull() | F.col("victim_domain").isNotNull()
     rows = rows.where(usable).withColumn("_code", places.code_of(F.col("victim_domain")))
-    rows = rows.join(places.code_table(spans.sparkSession), "_code", "left")
+    rows = rows.join(places.code_table(rows.sparkSession), "_code", "left")
     named = F.when(F.col("victim_name").isNotNull(), F.col("_name_hits")).otherwise(F.array().cast("array<string>"))
     return rows.select(
         "page_id", "record", "victim_name", "victim_domain",
