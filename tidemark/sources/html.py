@@ -6,7 +6,9 @@ batch; everything after that is column expressions and windows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -42,25 +44,78 @@ class _Text(HTMLParser):
         if tag == "body":  # a head may lack its end
             self.open = [o for o in self.open if o[0] != "head"]
             self.open = [(t, False) for t, _ in self.open]
-        gone = tag in DROPPED or any(k == a and mark in (v or "") for k, v in attrs for a, mark in VOLATILE)
+        gone = tag in DROPPED or bool(attrs) and any(k == a and mark in (v or "") for k, v in attrs for a, mark in VOLATILE)
         self.open.append((tag, gone or self.hidden()))
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+        elif any(t == tag for t, _ in self.open):
             while self.open.pop()[0] != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden() and data.strip():
-            self.parts.append(data.strip())
+        if not self.hidden() and (data := data.strip()):
+            self.parts.append(data)
+
+
+#: Tags that every parser reads alike: attributes without values or with quoted ones, no references in them.
+_TAG = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9_:-]*(?:=(?:\"[^\"<>&]*\"|'[^'<>&]*'))?)*)[ \t\n]*(/?)>|</([a-zA-Z][a-zA-Z0-9]*)>|<!(?i:doctype)[ \t\n][^<>]*>")
+_ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z0-9_:-]*)(?:=(?:\"([^\"]*)\"|'([^']*)'))?")
+#: Elements whose content some versions of the parser read otherwise.
+_RAW = ("iframe", "math", "noembed", "noframes", "noscript", "plaintext", "svg", "textarea", "xmp")
+
+
+def _read_plainly(html: str, to: _Text) -> bool:
+    """Hand a page's tags and texts to ``to`` as its parser would, if they are all of the usual forms; whether they were."""
+    at, inside = 0, ""
+    while (k := html.find("<", at)) >= 0:
+        if k > at:
+            to.handle_data(unescape(html[at:k]))
+        if html[k + 1 : k + 2] == "!" and html.startswith("<!--", k):
+            at = html.find("--", k + 4) + 3
+            if at < k + 8 or html[at - 1 : at] != ">" or html[k + 4] in ">-" or inside:
+                return False
+            continue
+        m = _TAG.match(html, k)
+        if m is None:
+            return False
+        name, attributes, closed, end = m.groups()
+        at = m.end()
+        if inside and end is None or end and inside not in ("", end.lower()):
+            return False
+        inside = ""
+        if end:
+            to.handle_endtag(end.lower())
+        elif name:
+            tag = name.lower()
+            if tag in _RAW or closed and tag not in VOID:
+                return False
+            to.handle_starttag(tag, [(a.lower(), v or w or "") for a, v, w in _ATTRIBUTE.findall(attributes)] if attributes else [])
+            if tag == "title":
+                inside = tag
+            elif tag in ("script", "style"):
+                end = html.find("</", at)
+                if end < 0 or "<!--" in html[at:end]:
+                    return False
+                at, inside = end, tag
+    if inside:
+        return False
+    if at < len(html):
+        to.handle_data(unescape(html[at:]))
+    return True
 
 
 def page_text(html: str | None) -> str:
-    """The text nodes of a page outside dropped elements, a line each."""
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    return "\n".join(parser.parts)
+    """The text nodes of a page outside dropped elements, a line each. Pages of the usual forms are read by two
+    patterns, others by the parser; the result is the same."""
+    html = html or ""
+    reader = _Text()
+    if not _read_plainly(html, reader):
+        reader = _Text()
+        reader.feed(html)
+        reader.close()
+    return "\n".join(reader.parts)
 
 
 #: Fixed value: what ends a line.
